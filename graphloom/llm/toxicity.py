@@ -29,8 +29,9 @@ from graphloom.llm.linear import logistic, sigmoid
 SAMPLE, CANDIDATES, FEATURES = 20_000, 4096, 512
 #: A candidate is in so many toxic texts, and this share of the texts that have it is toxic. An entry is added while it marks
 #: so many toxic texts that have fewer than COVER entries so far.
-LEAST, PRECISION, COVER = 4, 0.8, 4
-PARTS = 4
+LEAST, PRECISION, COVER = 4, 0.9, 4
+#: Voters that each lexicon is dealt to.
+PARTS = 10
 _letters = regex.compile(r"\p{L}+").findall
 
 
@@ -76,9 +77,9 @@ def _count(batches):
 
 def lexicon(sample: DataFrame, most: int = FEATURES) -> list[str]:
     """Entries that between them mark each toxic text several times, chosen greedily, so that rare words which only
-    happen to stand in toxic texts beside a marking stem aren't entries."""
+    happen to stand in toxic texts beside a marking stem aren't entries. A chosen stem stands for its longer forms."""
     counted = sample.mapInArrow(_count, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    marked = counted.where((F.col("t") >= LEAST) & (F.col("t") >= PRECISION * (F.col("n") + 1)))
+    marked = counted.where((F.col("t") >= LEAST) & (F.col("t") >= PRECISION * F.col("n") + 0.4))
     names = [r.f for r in marked.orderBy(F.desc("t"), F.length("f"), "f").limit(CANDIDATES).collect()]
     rows = sample.where("y = 1").select("text").mapInArrow(_evidence({f: i for i, f in enumerate(names)}), _EVIDENCE).select("features").collect()
     has: list[list[int]] = [[] for _ in names]
@@ -96,7 +97,10 @@ def lexicon(sample: DataFrame, most: int = FEATURES) -> list[str]:
         for i in has[f]:
             cover[i] += 1
         out.append(names[f])
-        gain[f] = 0
+        for g, name in enumerate(names):
+            if name[1:].startswith(names[f][1:]):  # the stem's own longer forms would only vote as it does
+                gain[g] = 0
+                has[g] = []
     return out
 
 
@@ -150,17 +154,18 @@ class LabelModel:
         z = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
         for j in range(votes.shape[1]):
             ratio = np.log(self.table[j, 1] / self.table[j, 0])
+            ratio[0] = 0.0  # a voter that says nothing is no evidence: most lexicons have no word of a text's language
             z += self.weight[j] * ratio[votes[:, j]]
         return sigmoid(z)
 
     @classmethod
-    def fit(cls, votes: np.ndarray, rounds: int = 30) -> LabelModel:
+    def fit(cls, votes: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
+        """prior: the share of toxic texts, which the votes alone don't tell."""
         n, m = votes.shape
-        model = cls(np.zeros((m, 2, 3)), 0.5, np.ones(m))
+        model = cls(np.zeros((m, 2, 3)), float(np.clip(prior, 0.005, 0.995)), np.ones(m))
         toxic, clean = (votes == 1).sum(1), (votes == 2).sum(1)
         p = np.where(toxic > 0, np.minimum(0.98, 0.6 + 0.1 * toxic), np.where(clean > 0, 0.02, 0.2))
         for turn in range(rounds):
-            model.prior = float(np.clip(p.mean(), 0.005, 0.8))
             for c, q in enumerate((1 - p, p)):
                 for v in range(3):
                     model.table[:, c, v] = (q @ (votes == v) + 0.5) / (q.sum() + 1.5)
@@ -171,8 +176,8 @@ class LabelModel:
 
     @staticmethod
     def _shared(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """1 over one plus a voter's correlations with others that remain within the classes."""
-        signed = np.where(votes == 1, 1.0, np.where(votes == 2, -1.0, 0.0))
+        """1 over one plus a voter's correlations with others in voting toxic that remain within the classes."""
+        signed = (votes == 1).astype(float)
         rest = signed.copy()
         for q in (p, 1 - p):
             mean = (q @ signed) / max(q.sum(), 1e-9)
@@ -180,23 +185,21 @@ class LabelModel:
         cov = rest.T @ rest / max(1, len(votes))
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         r = np.clip(cov / np.outer(sd, sd), 0, 1)
-        r[r < 0.1] = 0
+        r[r < 0.3] = 0
         np.fill_diagonal(r, 0)
         return 1.0 / (1.0 + r.sum(1))
 
 
 def votes_of(features: list, patterns: list, names: list[str]) -> np.ndarray:
-    """Each lexicon kind is dealt into PARTS voters; one voter a kind votes clean without any of its entries; then the patterns."""
+    """Each lexicon kind is dealt into PARTS voters; one voter votes clean without any entry; then the patterns."""
     kinds = {k: i for i, k in enumerate("w45")}
     part_of = np.array([kinds[f[0]] * PARTS + i % PARTS for i, f in enumerate(names)], np.int64)
-    out = np.zeros((len(features), len(kinds) * (PARTS + 1) + len(PATTERNS)), np.int8)
-    base = len(kinds) * PARTS
-    out[:, base : base + len(kinds)] = 2
+    none = len(kinds) * PARTS
+    out = np.zeros((len(features), none + 1 + len(PATTERNS)), np.int8)
     for i, own in enumerate(features):
-        for f in own:
-            out[i, part_of[f]] = 1
-            out[i, base + part_of[f] // PARTS] = 0
-        out[i, base + len(kinds) :] = patterns[i]
+        out[i, part_of[own]] = 1
+        out[i, none] = 0 if own else 2
+        out[i, none + 1 :] = patterns[i]
     return out
 
 
@@ -222,14 +225,15 @@ def train(docs: DataFrame, labels: DataFrame, trains=lambda c: fold(c) != 0) ->
     rows = sample.select("text").mapInArrow(_evidence(index), _EVIDENCE).collect()
     if not names:
         return Model([], np.zeros(0), -40.0, LabelModel())
+    share = sample.agg(F.avg("y")).first()[0]
     own = [r.features for r in rows]
     votes = votes_of(own, [r.patterns for r in rows], names)
-    model = LabelModel.fit(votes)
+    model = LabelModel.fit(votes, share)
     p = model.posterior(votes)
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, fs in enumerate(own):
         x[i, fs] = 1
-    w, b = logistic(x, p, l2=0.5)
+    w, b = logistic(x, p, l2=0.02, steps=800)
     return Model(names, np.maximum(w, 0.0), b, model)
 
 
