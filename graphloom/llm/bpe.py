@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,81 +22,73 @@ from pyspark.sql import DataFrame
 from graphloom.llm.common import slices
 
 #: Pre-tokens kept with their ids, and the longest that is kept. The bound is on memory only.
-CACHE_ENTRIES, CACHE_BYTES = 300_000, 64
-_WORD = 64
-
-
-class RankQueue:
-    """Positions by rank; pop() gives the least rank's leftmost position."""
-
-    def __init__(self) -> None:
-        self.summary = 0
-        self.words: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        w = rank // _WORD
-        self.words[w] = self.words.get(w, 0) | 1 << rank % _WORD
-        self.summary |= 1 << w
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.summary:
-            return None
-        w = (self.summary & -self.summary).bit_length() - 1
-        bits = self.words[w]
-        rank = w * _WORD + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            bits &= bits - 1
-            self.words[w] = bits
-            if not bits:
-                self.summary &= self.summary - 1
-        return rank, at
+CACHE_ENTRIES, CACHE_BYTES = 400_000, 64
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the pair of least rank is merged, leftmost first, until no pair has a rank."""
+    """Ids of one pre-token: the pair of least rank is merged, leftmost first, until no pair has a rank.
+
+    The queue: buckets[rank] is a heap of positions, words[rank >> 6] has a bit for each bucket that holds any, summary a bit
+    for each word that isn't zero. It is written out here, as a call for each push would cost more than the push."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
+    rank_of = ranks.get
     end = list(range(1, n + 1))  # of the part that begins here
     before = list(range(-1, n - 1))
-    pair = [-1] * n  # rank of the part that begins here with its successor; -1: none, or no part begins here
-    queue = RankQueue()
-    push = queue.push
+    pair = [None] * n  # rank of the part that begins here with its successor; None: it has none, or no part begins here
+    summary, words, buckets = 0, {}, {}
     for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
+        r = rank_of(piece[i : i + 2])
         if r is not None:
             pair[i] = r
-            push(r, i)
-    while (top := queue.pop()) is not None:
-        rank, i = top
-        if pair[i] != rank:
+            if r in buckets:
+                buckets[r].append(i)  # ascending, so a heap
+            else:
+                buckets[r] = [i]
+                w = r >> 6
+                words[w] = words.get(w, 0) | 1 << (r & 63)
+                summary |= 1 << w
+    while summary:
+        w = (summary & -summary).bit_length() - 1
+        bits = words[w]
+        rank = (w << 6) + (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        i = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            words[w] = bits = bits & (bits - 1)
+            if not bits:
+                summary &= summary - 1
+        if pair[i] != rank:  # stale
             continue
         j = end[i]
-        pair[j] = -1
+        pair[j] = None
         k = end[i] = end[j]
         if k < n:
             before[k] = i
-            r = ranks.get(piece[i : end[k]])
-            pair[i] = -1 if r is None else r
+            pair[i] = r = rank_of(piece[i : end[k]])
             if r is not None:
-                push(r, i)
+                if r in buckets:
+                    heappush(buckets[r], i)
+                else:
+                    buckets[r] = [i]
+                    w = r >> 6
+                    words[w] = words.get(w, 0) | 1 << (r & 63)
+                    summary |= 1 << w
         else:
-            pair[i] = -1
+            pair[i] = None
         h = before[i]
         if h >= 0:
-            r = ranks.get(piece[h:k])
-            pair[h] = -1 if r is None else r
+            pair[h] = r = rank_of(piece[h:k])
             if r is not None:
-                push(r, h)
+                if r in buckets:
+                    heappush(buckets[r], h)
+                else:
+                    buckets[r] = [h]
+                    w = r >> 6
+                    words[w] = words.get(w, 0) | 1 << (r & 63)
+                    summary |= 1 << w
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -103,34 +96,48 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Codec:
-    """Encodes whole texts and decodes ids. blob: the text of a rank file (token in base64, space, rank)."""
+class Codec(dict):
+    """Encodes whole texts and decodes ids. blob: the text of a rank file (token in base64, space, rank).
+
+    As a mapping it gives of a pre-token the ids, the ids in decimal and the bytes that they decode to, from memory or newly
+    made. Pre-tokens seen lately are kept in two generations: when the younger is full it becomes the older, so frequent
+    ones stay. Encoding and decoding a text are then concatenations."""
 
     def __init__(self, blob: bytes, pattern: str) -> None:
         import regex
 
+        super().__init__()
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for b, i in self.ranks.items():
+            self.bytes_of[i] = b
         self.find = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _ids(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8", "surrogatepass")
-        ids = tuple(merge(raw, self.ranks))
-        if len(raw) <= CACHE_BYTES:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[piece] = ids
-        return ids
+        self.older: dict[str, tuple[list[int], str, bytes]] = {}
+
+    def __missing__(self, piece: str) -> tuple[list[int], str, bytes]:
+        entry = self.older.get(piece)
+        if entry is None:
+            ids = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
+            entry = ids, " ".join(map(str, ids)), self.decode(ids)
+            if len(entry[2]) > CACHE_BYTES:
+                return entry
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = entry
+        return entry
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.cache.get, []
-        for piece in self.find(text):
-            out += known(piece) or self._ids(piece)
-        return out
+        return list(chain.from_iterable([self[x][0] for x in self.find(text)]))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join([self.bytes_of[i] for i in ids])
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids in decimal with a space between two, and SHA-256 of the decoded bytes."""
+        found = [self[x] for x in self.find(text)]
+        ids, decoded = " ".join([x[1] for x in found]), b"".join([x[2] for x in found])
+        return (ids.count(" ") + 1 if found else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
@@ -171,12 +178,8 @@ def digest_table(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
         c = codec(blob.value, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
-                counts, coded, decoded = [], [], []
-                for t in part.column("text").to_pylist():
-                    ids = c.encode(t or "")
-                    counts.append(len(ids))
-                    coded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                rows = [c.digests(t or "") for t in part.column("text").to_pylist()]
+                counts, coded, decoded = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

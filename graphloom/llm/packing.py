@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -26,8 +27,8 @@ from graphloom.llm.common import slices
 WINDOW = 1024
 #: Penalties, in ids of padding: for a window as such, for a cut at a sentence end and for one inside a sentence.
 PER_WINDOW, SENTENCE, FORCED = 1, 2, 64
-#: Ids in a run, and pre-tokens in the cache: bounds on memory only.
-RUN, CACHE_ENTRIES = 1 << 18, 300_000
+#: Ids in a run, pre-tokens in the cache and the longest kept there: bounds on memory only.
+RUN, CACHE_ENTRIES, CACHE_BYTES = 1 << 18, 400_000, 64
 
 
 def places(ends_sentence: np.ndarray, doc_ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -83,34 +84,47 @@ def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, open_end: bo
     return out[::-1]
 
 
-class Ids:
-    """Ids of whole texts by the tokenizers library: each distinct match of the pre-token pattern is encoded once and kept."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where printable, else the next free one from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Ids(dict):
+    """Ids of whole texts by the tokenizers library: each distinct match of the pre-token pattern is given to its model and
+    kept, packed, in two generations as the younger fills up."""
 
     def __init__(self, blob: str, pattern: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(blob)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
         self.find = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
-        n = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(n, bool)
+        self.older: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.rstrip("\"')”»")[-1:] in (".", "!", "?", "…", "Ċ", "。")
+            self.ends[i] = token.rstrip("\"')")[-1:] in (".", "!", "?", "Ċ")
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+            if len(letters) > CACHE_BYTES:
+                return ids
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        pieces = [self.find(t) for t in texts]
-        new = list({x for p in pieces for x in p if x not in self.cache})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(e.ids, np.uint32).tobytes()
-        known = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(known, p)), np.uint32) for p in pieces]
+    def of(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([self[x] for x in self.find(text)]), np.uint32)
 
 
 _ids: dict[int, Ids] = {}
@@ -191,8 +205,8 @@ def _packed(docs, vocabulary, pattern, text, key, window, column, value) -> Data
         def stream():
             for batch in batches:
                 for part in slices(batch, "text", 2_000_000):
-                    texts = [t or "" for t in part.column("text").to_pylist()]
-                    yield from zip(part.column("doc_id").to_pylist(), ids.of(texts), strict=True)
+                    for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                        yield doc_id, ids.of(text or "")
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], names=names)
