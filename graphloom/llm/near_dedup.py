@@ -7,7 +7,8 @@
    pivot of the bucket. The packed signatures give the collision-corrected similarity by bit counts; pairs far below the
    threshold go, the rest are confirmed on the full sets. A member of the pivot's component needs no more links to it, so
    the next rounds look only at buckets that still hold several components, under another pivot.
-4. After the last round, what still shares a bucket across components is compared in full: no candidate is dropped. At
+4. After the last round, buckets that still hold several components are swept: their members are compared on the full sets in
+   pieces of bounded size, and of the links found only those that join components are returned. No candidate is dropped. At
    similarity 0.85 a pair shares no band with probability (1 - 0.85^5)^32, about 7e-9.
 5. Components are the least document id reachable over confirmed links.
 
@@ -33,7 +34,8 @@ HASHES = BANDS * ROWS
 PERCENT = 85
 #: Pairs whose estimate is this much under the threshold (over six standard errors) aren't confirmed.
 SLACK = 0.2
-ROUNDS = 4
+#: Rounds of pivots before the sweep; members of a bucket compared at a time; columns of a block of indicators.
+ROUNDS, CHUNK, COLUMNS = 2, 384, 8192
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,32 +180,75 @@ class Search:
     def run(self) -> DataFrame:
         tested = links = None
         comps = self.nodes.withColumn("comp", F.col("id"))
-        for k in range(ROUNDS + 1):
+        for k in range(ROUNDS):
             rows = self.keys.join(comps, "id")
-            open_ = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("id", "comp"), F.struct(F.lit(0) if k == 0 else F.xxhash64("id", F.lit(k)), "id")).alias("pivot"))
+            order = F.struct(F.lit(0) if k == 0 else F.xxhash64("id", F.lit(k)), "id")
+            open_ = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("id", "comp"), order).alias("pivot"))
             open_ = open_.where("least <> most").select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.comp").alias("pivot_comp"))
-            if k < ROUNDS:
-                pairs = rows.join(open_, "key").where("comp <> pivot_comp").selectExpr("least(id, pivot) a", "greatest(id, pivot) b", "id")
-            else:  # whatever still shares a bucket across components
-                rows = rows.join(open_.select("key"), "key", "left_semi")
-                other = rows.selectExpr("key", "id AS other", "comp AS other_comp")
-                pairs = rows.join(other, "key").where("id < other AND comp <> other_comp").selectExpr("id a", "other b", "id")
-            pairs = pairs.distinct()
+            pairs = rows.join(open_, "key").where("comp <> pivot_comp").selectExpr("least(id, pivot) a", "greatest(id, pivot) b", "id").distinct()
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
             hopeful = self.likely(pairs.select("a", "b").distinct())
-            if k < ROUNDS:  # for each member its best pivot of this round; the others wait until it is known whether they matter
-                best = pairs.join(hopeful, ["a", "b"]).groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("p"))
-                hopeful = best.select("p.a", "p.b").distinct()
-            new = stored(self.confirmed(hopeful), "confirmed")
-            if new.isEmpty():
-                if k == ROUNDS:
-                    break
-                continue
+            # for each member its best pivot of this round; the sweep takes care of the others where they still matter
+            best = pairs.join(hopeful, ["a", "b"]).groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("p"))
+            new = stored(self.confirmed(best.select("p.a", "p.b").distinct()), "confirmed")
             tested = new if tested is None else tested.unionByName(new)
-            links = tested.where("linked")
+            links = tested.where("linked").select("a", "b")
             comps = stored(components(self.nodes, links), "components")
-        return comps
+        more = stored(self.sweep(comps).distinct(), "swept")
+        return stored(components(self.nodes, links.unionByName(more)), "components")
+
+    def sweep(self, comps: DataFrame) -> DataFrame:
+        """Links (a, b) that join the components which still meet in a bucket: all its pairs are compared on the full sets,
+        at most 2 * CHUNK members at a time, and only links that join components leave a task."""
+        rows = self.keys.join(comps, "id")
+        open_ = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least <> most")
+        rows = rows.join(open_.selectExpr("key", f"CAST(ceil(n / {CHUNK}) AS INT) AS m"), "key").withColumn("c", F.expr("CAST(pmod(xxhash64(id), m) AS INT)"))
+        dealt = rows.select("key", "id", "comp", F.explode(F.expr("transform(sequence(0, m - 1), j -> struct(least(c, j) AS i, greatest(c, j) AS j))")).alias("p"))
+        full = dealt.select("key", "p.i", "p.j", "id", "comp").join(self.sets, "id")
+        return full.groupBy("key", "i", "j").applyInArrow(_joined, "a long, b long")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of sets of hashes, by products of indicator matrices in blocks of columns."""
+    n = len(sets)
+    which = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    column, which = (np.cumsum(shared) - 1)[column][shared[column]], which[shared[column]]
+    out = np.zeros((n, n), np.int64)
+    order = np.argsort(column, kind="stable")
+    column, which = column[order], which[order]
+    for low in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        block = np.zeros((n, COLUMNS), np.float32)
+        block[which[part], column[part] - low] = 1
+        out += (block @ block.T).astype(np.int64)
+    return out
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    ids, comp = table.column("id").to_pylist(), table.column("comp").to_pylist()
+    found = []
+    if len(set(comp)) > 1:
+        sets = [np.asarray(x.values) for x in table.column("shingles")]
+        both, size = intersections(sets), np.array([len(x) for x in sets])
+        _, own = np.unique(comp, return_inverse=True)
+        linked = (100 * both >= PERCENT * (size[:, None] + size[None, :] - both)) & (own[:, None] < own[None, :])
+        root = list(range(int(own.max()) + 1))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i, j in np.argwhere(linked):
+            x, y = find(int(own[i])), find(int(own[j]))
+            if x != y:
+                root[y] = x
+                found.append((ids[i], ids[j]))
+    return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
 
 def group(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
