@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.bpe import op4_bpe
+from graphloom.llm.katz import op1_katz
 from graphloom.llm.near_dedup import op3_near_dedup
 from graphloom.llm.packing import op7_packing
 from graphloom.llm.quality_classifier import op9_quality_classifier
@@ -14,7 +15,17 @@ from graphloom.llm.warc import op5_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_top_k, op3_near_dedup, op4_bpe, op5_warc, op6_toxicity, op7_packing, op8_url_filter, op9_quality_classifier, op10_quality_rules)
+    for f in (op1_katz, op2_top_k, op3_near_dedup, op4_bpe, op5_warc, op6_toxicity, op7_packing, op8_url_filter, op9_quality_classifier, op10_quality_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 20""",
+}
