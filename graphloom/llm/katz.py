@@ -8,8 +8,8 @@ single unknown word. A history without a rest (all counts above CUT) has one cou
 
 A text is scored token by token: a seen gram has its own probability, an unseen one its history's alpha (1 for a history
 not seen) times the lower order's, down to order one. This is evaluated once for each distinct gram of the corpus and then
-summed over the texts. Words are compared as 64-bit hashes. Null and empty texts are one end token. Rows that repeat a
-doc_id are scored together with the id's other rows unless `key` tells them apart; the query's rows have distinct ids.
+summed over the texts. The query uses katz_packed.py, the same model of order two with less shuffling. Words are compared as 64-bit hashes. Null and empty texts are one end token. Rows that repeat a
+doc_id are scored together with the id's other rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, lower_ascii, stored
+from graphloom.llm.common import lower_ascii, stored
 
 ORDER, CUT = 2, 5
 _START, _END = "\x01", "\x02 "  # the end holds a space, the start is never predicted: no word equals either as a token
@@ -38,8 +38,12 @@ def events(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def discounts(grams: DataFrame, cut: int = CUT) -> dict[int, float]:
-    """d_r for r up to cut, from the counts of counts; where Katz's formula leaves (0, 1], n1 / (n1 + 2 n2) is taken off instead."""
-    n = {r.c: r.n for r in grams.where(F.col("c").between(1, cut + 1)).groupBy("c").agg(F.count("*").alias("n")).collect()}
+    """d_r for r up to cut, from the grams' counts of counts."""
+    return discounts_of({r.c: r.n for r in grams.where(F.col("c").between(1, cut + 1)).groupBy("c").agg(F.count("*").alias("n")).collect()}, cut)
+
+
+def discounts_of(n: dict[int, int], cut: int = CUT) -> dict[int, float]:
+    """d_r for r up to cut; where Katz's formula leaves (0, 1], n1 / (n1 + 2 n2) is taken off instead."""
     n1 = n.get(1, 0)
     out = {}
     for r in range(1, cut + 1):
@@ -109,6 +113,3 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     out = by_low.join(by_top.withColumnRenamed("row", "row_"), F.col("row").eqNullSafe(F.col("row_")))
     return out.select(F.col("row").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
-
-def op1_katz(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), lambda c: fold(c) == 1)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.bpe import op4_bpe
-from graphloom.llm.katz import op1_katz
+from graphloom.llm.katz_packed import op1_katz
 from graphloom.llm.near_dedup import op3_near_dedup
 from graphloom.llm.packing import op7_packing
 from graphloom.llm.quality_classifier import op9_quality_classifier

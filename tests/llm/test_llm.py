@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import bpe, common, katz, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter, vector_search, warc
+from graphloom.llm import bpe, common, katz, katz_packed, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter, vector_search, warc
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -45,6 +45,24 @@ def test_words_of_bytes():
     assert [found.to_pylist()[at[i] : at[i + 1]] for i in range(len(t))] == [words(x) for x in t.to_pylist()]
 
 
+@pytest.mark.parametrize("chunk", [1, 40, 4_000_000])
+def test_packed_katz_equals_the_tables(spark, docs, real, chunk):
+    few = real.where("doc_id < 40").select("doc_id", "text") if chunk == 40 else docs
+    few = few.unionByName(spark.createDataFrame([(-k, t) for k, t in enumerate([*["x y"] * 9, *["x y z"] * 8, "x q", "y x"], 1)], "doc_id long, text string"), allowMissingColumns=True)
+    held = lambda c: common.fold(c) == 1
+    got, want = ({r.doc_id: r for r in f.collect()} for f in (katz_packed.score(few, held, chunk=chunk), katz.score(few, held)))
+    assert got.keys() == want.keys() and any(r.held_out for r in got.values())
+    for k, r in want.items():
+        assert got[k].asDict() == pytest.approx(r.asDict(), rel=1e-9)
+
+
+def test_packed_katz_keeps_repeats_and_null_ids_and_empty_tables(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
+    out = katz_packed.score(d, lambda c: c == 5).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in out) == [(0, 1, 1), (1, 3, 3), (1, 3, 3)]
+    assert katz_packed.score(d.limit(0), lambda c: c == 5).count() == 0
+
+
 def test_katz_is_normalised_and_scores_by_recursion(spark):
     rows = [(i, t) for i, t in enumerate(["a b a b c", "b c a", "a a b", "c", None, "z a"])]
     d = spark.createDataFrame(rows, "doc_id long, text string")
