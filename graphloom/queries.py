@@ -11,6 +11,7 @@ from graphloom.operators import experiments as ex
 from graphloom.operators import features as ft
 from graphloom.operators import graphs as gr
 from graphloom.operators import learning as le
+from graphloom.operators import lovasz as lo
 from graphloom.operators import paths as pa
 from graphloom.sources import files
 from graphloom.sources.driver_tables import customer_graphs, vectors
@@ -583,3 +584,30 @@ def vector_equality_pairs(spark, d: str) -> DataFrame:
     """Kinds of equal neighbourhood sizes by graph."""
     n = pa.graph_distances(customer_graphs(spark, d), 1).groupBy("graph_id", "root").agg(F.count("*").alias("c"))
     return n.groupBy("graph_id").agg(F.count("*").alias("n"), F.count_distinct("c").alias("kinds"))
+
+
+# geometric features ----------------------------------------------------------------------------------------------------
+
+
+@query()
+def theta_numbers(spark, d: str) -> DataFrame:
+    g = customer_graphs(spark, d)
+    return lo.theta_numbers(g.vertices, g.edges).withColumn("theta", F.round("theta", 4))
+
+
+@query()
+def cone_features(spark, d: str) -> DataFrame:
+    g = customer_graphs(spark, d)
+    return lo.features(g.vertices, g.edges, range(2, 5), 12)
+
+
+@query(_sql(GRAPHS, """n AS (SELECT graph_id, count(*) n FROM vertices GROUP BY 1), d AS (SELECT graph_id, n, unnest([1, 2, 3]) d FROM n),
+    c AS (SELECT graph_id, d, CASE d WHEN 1 THEN n WHEN 2 THEN n * (n - 1) // 2 ELSE n * (n - 1) * (n - 2) // 6 END c FROM d WHERE d <= n),
+    f AS (SELECT graph_id, d, (100 * c // sum(c) OVER (PARTITION BY graph_id))::BIGINT k, row_number() OVER (PARTITION BY graph_id ORDER BY d DESC) i FROM c)""", select="""
+    SELECT graph_id, d, k + (i <= 100 - sum(k) OVER (PARTITION BY graph_id))::BIGINT AS samples FROM f"""))
+def cone_sample_counts(spark, d: str) -> DataFrame:
+    """Subsets of one to three vertices to draw from each graph, of 100 in all."""
+    n = customer_graphs(spark, d).vertices.groupBy("graph_id").agg(F.count("*").alias("n"))
+    c = n.select("graph_id", F.expr("explode(filter(array(struct(1 AS d, n AS c), struct(2 AS d, n * (n - 1) div 2 AS c), struct(3 AS d, n * (n - 1) * (n - 2) div 6 AS c)), x -> x.d <= n)) AS x")).select("graph_id", "x.*")
+    f = c.withColumn("k", F.expr("100 * c div sum(c) OVER (PARTITION BY graph_id)")).withColumn("i", F.expr("row_number() OVER (PARTITION BY graph_id ORDER BY d DESC)"))
+    return f.select("graph_id", "d", F.expr("k + CAST(i <= 100 - sum(k) OVER (PARTITION BY graph_id) AS BIGINT) AS samples"))
