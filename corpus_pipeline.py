@@ -31,9 +31,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    kept = near_dedup.group(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group: the one with the least id, one row of it. A group without any id keeps one of
+    its rows. Texts without words are in no group: each id keeps one, and so does each such text with a null id."""
+    null = F.col("doc_id").isNull()
+    worded = F.col("n_shingles") > 0
+    unit = F.when(null, F.when(worded, F.col("component")).otherwise(F.col("row")))
+    kept = near_dedup.grouped(docs).where("kept").groupBy("doc_id", unit.alias("unit"), (null & worded).alias("in_group"))
+    kept = kept.agg(F.min(F.struct(~worded, "row")).alias("best")).select("best.row")
+    rows = docs.select(*COLUMNS, near_dedup.row_key(F.col("doc_id"), F.col("text")).alias("row"))
+    rows = rows.where(~null).unionByName(rows.where(null).dropDuplicates(["row"]))  # copies without an id would meet in one task
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

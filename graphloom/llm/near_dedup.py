@@ -14,8 +14,8 @@
 
 Shingles are compared as 64-bit hashes. Texts without words link with nothing; with fewer than five words the whole sequence is
 the one shingle. A null doc_id takes part like any other row, but can't name a component others can reach by id: its
-component_id is the least id of its class or component, null if there is none, and it is kept only in that last case. Rows
-that repeat a doc_id with another text link as versions of one document.
+component_id is the least id of its class or component, null if there is none, and it is kept only in that last case, and
+there only if its class leads the component. Classes are numbered by themselves, so they need no id.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import mix, slices, stored, words_of
@@ -113,8 +113,8 @@ def _sketch(batches):
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
             low, full = minima(at, hashes), np.diff(at) > 0
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(band_keys(low), full), _lists(packed(low), full)],
-                names=["doc_id", "n_shingles", "digest", "bands", "sig"],
+                [part.column("doc_id"), part.column("row"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(band_keys(low), full), _lists(packed(low), full)],
+                names=["doc_id", "row", "n_shingles", "digest", "bands", "sig"],
             )
 
 
@@ -154,13 +154,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 class Search:
     """The rounds over buckets of one collection of class representatives."""
 
-    def __init__(self, reps: DataFrame, texts: DataFrame) -> None:
+    def __init__(self, reps: DataFrame, rows: DataFrame) -> None:
         keys = reps.select("id", F.explode("bands").alias("key"))
         shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         self.keys = stored(keys.join(shared, "key", "left_semi"), "buckets")
         self.nodes = self.keys.select("id").distinct()
         self.sig = stored(reps.join(self.nodes, "id", "left_semi").select("id", "n_shingles", "sig"), "signatures")
-        self.sets = stored(texts.join(self.nodes, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+        texts = rows.join(reps.select("id", "row").join(self.nodes, "id", "left_semi"), "row").select("id", "text")
+        self.sets = stored(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that the packed signatures and sizes let pass, with their estimate."""
@@ -251,20 +252,35 @@ def _joined(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
 
+def row_key(key: Column, text: Column) -> Column:
+    """A 64-bit hash of id and text: what tells rows apart where ids are null or repeat."""
+    return F.xxhash64(key.cast("long"), text)
+
+
+def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, row (its row_key), n_shingles, component (a number of its own, null without words), component_id, kept for each row of docs."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(F.col(key), F.col(text)).alias("row"))
+    sketch = stored(rows.mapInArrow(_sketch, "doc_id long, row long, n_shingles long, digest binary, bands array<long>, sig array<long>"), "sketch")
+    # equal sets have equal bands and signatures; a copy with an id stands for the class where there is one
+    of_set = [F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sig")]
+    stands = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stands")
+    classes = sketch.where("n_shingles > 0").groupBy("digest").agg(stands, *of_set).select("digest", "stands.doc_id", "stands.row", "n_shingles", "bands", "sig")
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    if not sketch.groupBy("row").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["row"])
+    comps = Search(classes, rows).run()
+    of_class = classes.join(comps, "id", "left").select("digest", "doc_id", "row", F.coalesce("comp", "id").alias("component"))
+    named = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("first"))
+    of_class = of_class.join(named, "component").select("digest", "component", "component_id", (F.col("row") == F.col("first")).alias("leads"))
+    out = sketch.select("doc_id", "row", "n_shingles", "digest").join(of_class, "digest", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = component.eqNullSafe(F.col("doc_id")) & (F.col("doc_id").isNotNull() | F.coalesce("leads", F.lit(True)))
+    return out.select("doc_id", "row", "n_shingles", "component", component.alias("component_id"), kept.alias("kept"))
+
+
 def group(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = stored(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>, sig array<long>"), "sketch")
-    classes = sketch.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = stored(classes, "classes")
-    reps = sketch.where("n_shingles > 0").join(classes, (sketch["doc_id"] == classes["id"]) & (sketch["digest"] == classes["digest"]), "left_semi")
-    reps = reps.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
-    texts = rows.withColumnRenamed("doc_id", "id")
-    comps = Search(reps, texts).run()
-    of_class = classes.join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return grouped(docs, text, key).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

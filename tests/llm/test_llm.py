@@ -281,3 +281,14 @@ def test_pipeline_keeps_clean_documents_once(spark):
     assert all(s.columns == list(corpus_pipeline.COLUMNS) for s in steps[:-1])
     want = {c for _, c in _groups({r.doc_id: r.text for r in steps[1].collect()}).values()}
     assert {r.doc_id for r in steps[2].collect()} == want == {r.doc_id for r in steps[3].select("doc_id").distinct().collect()}
+
+
+def test_pipeline_dedup_keeps_null_ids(spark):
+    own = [" ".join(f"{k}v{i}" for i in range(80)) for k in "abcd"]
+    near = own[3] + " tail"
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (None, own[1].upper()), (7, own[2]), (None, own[2]), (None, own[3]), (None, near), (None, ""), (None, None), (8, ""), (9, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id or 0, "none" if r.text is None else r.text.lower()) for r in corpus_pipeline.dedup(spark, d, SF).collect()), key=repr)
+    four = {(0, own[3]), (0, near)} & set(got)
+    assert len(four) == 1
+    assert got == sorted([(0, own[0]), (0, own[1]), (7, own[2]), *four, (0, ""), (0, "none"), (8, ""), (9, "")], key=repr)
