@@ -9,7 +9,7 @@
    the next rounds look only at buckets that still hold several components, under another pivot.
 4. After the last round, buckets that still hold several components are swept: their members are compared on the full sets in
    pieces of bounded size, and of the links found only those that join components are returned. No candidate is dropped. At
-   similarity 0.85 a pair shares no band with probability (1 - 0.85^5)^32, about 7e-9.
+   similarity 0.85 a pair shares no band with probability (1 - 0.85^5)^32, about 7e-9; at 0.8 about 3e-6.
 5. Components are the least document id reachable over confirmed links.
 
 Shingles are compared as 64-bit hashes. Texts without words link with nothing; with fewer than five words the whole sequence is
@@ -30,7 +30,7 @@ from graphloom.llm.common import mix, slices, stored, words_of
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 5, 4
 HASHES = BANDS * ROWS
-#: Confirmed if 100 * intersection >= PERCENT * union.
+#: Confirmed if 100 * intersection >= percent * union; this is op3_near_dedup's.
 PERCENT = 85
 #: Pairs whose estimate is this much under the threshold (over six standard errors) aren't confirmed.
 SLACK = 0.2
@@ -154,7 +154,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 class Search:
     """The rounds over buckets of one collection of class representatives."""
 
-    def __init__(self, reps: DataFrame, rows: DataFrame) -> None:
+    def __init__(self, reps: DataFrame, rows: DataFrame, percent: int = PERCENT) -> None:
+        self.percent = percent
         keys = reps.select("id", F.explode("bands").alias("key"))
         shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         self.keys = stored(keys.join(shared, "key", "left_semi"), "buckets")
@@ -167,15 +168,15 @@ class Search:
         """Pairs (a, b) that the packed signatures and sizes let pass, with their estimate."""
         a = self.sig.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), "sig")
         b = self.sig.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("other_sig"))
-        both = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-        return both.withColumn("estimate", F.expr(ESTIMATE)).where(f"estimate >= {PERCENT / 100 - SLACK}").select("a", "b", "estimate")
+        both = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
+        return both.withColumn("estimate", F.expr(ESTIMATE)).where(f"estimate >= {self.percent / 100 - SLACK}").select("a", "b", "estimate")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs with linked, which the full sets decide."""
         a = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
         b = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
         both = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-        linked = F.expr(f"100 * both >= {PERCENT} * (size(x) + size(y) - both)")
+        linked = F.expr(f"100 * both >= {self.percent} * (size(x) + size(y) - both)")
         return both.groupBy("a", "b").agg(F.max(linked).alias("linked"))
 
     def run(self) -> DataFrame:
@@ -207,7 +208,12 @@ class Search:
         rows = rows.join(open_.selectExpr("key", f"CAST(ceil(n / {CHUNK}) AS INT) AS m"), "key").withColumn("c", F.expr("CAST(pmod(xxhash64(id), m) AS INT)"))
         dealt = rows.select("key", "id", "comp", F.explode(F.expr("transform(sequence(0, m - 1), j -> struct(least(c, j) AS i, greatest(c, j) AS j))")).alias("p"))
         full = dealt.select("key", "p.i", "p.j", "id", "comp").join(self.sets, "id")
-        return full.groupBy("key", "i", "j").applyInArrow(_joined, "a long, b long")
+        percent = self.percent
+
+        def joined(table: pa.Table) -> pa.Table:
+            return _joined(table, percent)
+
+        return full.groupBy("key", "i", "j").applyInArrow(joined, "a long, b long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -228,14 +234,14 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _joined(table: pa.Table) -> pa.Table:
+def _joined(table: pa.Table, percent: int) -> pa.Table:
     ids, comp = table.column("id").to_pylist(), table.column("comp").to_pylist()
     found = []
     if len(set(comp)) > 1:
         sets = [np.asarray(x.values) for x in table.column("shingles")]
         both, size = intersections(sets), np.array([len(x) for x in sets])
         _, own = np.unique(comp, return_inverse=True)
-        linked = (100 * both >= PERCENT * (size[:, None] + size[None, :] - both)) & (own[:, None] < own[None, :])
+        linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (own[:, None] < own[None, :])
         root = list(range(int(own.max()) + 1))
 
         def find(x: int) -> int:
@@ -257,7 +263,7 @@ def row_key(key: Column, text: Column) -> Column:
     return F.xxhash64(key.cast("long"), text)
 
 
-def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """doc_id, row (its row_key), n_shingles, component (a number of its own, null without words), component_id, kept for each row of docs."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(F.col(key), F.col(text)).alias("row"))
     sketch = stored(rows.mapInArrow(_sketch, "doc_id long, row long, n_shingles long, digest binary, bands array<long>, sig array<long>"), "sketch")
@@ -268,7 +274,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     if not sketch.groupBy("row").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["row"])
-    comps = Search(classes, rows).run()
+    comps = Search(classes, rows, percent).run()
     of_class = classes.join(comps, "id", "left").select("digest", "doc_id", "row", F.coalesce("comp", "id").alias("component"))
     named = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("first"))
     of_class = of_class.join(named, "component").select("digest", "component", "component_id", (F.col("row") == F.col("first")).alias("leads"))
@@ -278,9 +284,9 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return out.select("doc_id", "row", "n_shingles", "component", component.alias("component_id"), kept.alias("kept"))
 
 
-def group(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def group(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    return grouped(docs, text, key).select("doc_id", "n_shingles", "component_id", "kept")
+    return grouped(docs, text, key, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -292,3 +292,10 @@ def test_pipeline_dedup_keeps_null_ids(spark):
     four = {(0, own[3]), (0, near)} & set(got)
     assert len(four) == 1
     assert got == sorted([(0, own[0]), (0, own[1]), (7, own[2]), *four, (0, ""), (0, "none"), (8, ""), (9, "")], key=repr)
+
+
+def test_near_duplicates_at_another_threshold(spark):
+    texts = [" ".join(f"w{k}" for k in range(m, m + 100)) for m in (0, 10)]  # 86 of 106 shingles shared: 0.81
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_dedup.group(d).where("kept").count() == 2
+    assert near_dedup.group(d, percent=80).where("kept").count() == 1
