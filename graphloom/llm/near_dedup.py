@@ -15,7 +15,8 @@
 Shingles are compared as 64-bit hashes. Texts without words link with nothing; with fewer than five words the whole sequence is
 the one shingle. A null doc_id takes part like any other row, but can't name a component others can reach by id: its
 component_id is the least id of its class or component, null if there is none, and it is kept only in that last case, and
-there only if its class leads the component. Classes are numbered by themselves, so they need no id.
+there only if its class leads the component. Classes are numbered by themselves, so they need no id. Rows that repeat a doc_id
+with another text link as versions of one document, and each version is searched with its own set.
 """
 
 from __future__ import annotations
@@ -263,6 +264,17 @@ def row_key(key: Column, text: Column) -> Column:
     return F.xxhash64(key.cast("long"), text)
 
 
+def versions(sketch: DataFrame, of_class: DataFrame) -> DataFrame:
+    """(component, whole): components joined where an id has texts in several of them."""
+    repeated = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last")
+    pairs = sketch.join(repeated.select("doc_id", "first"), "doc_id").where("n_shingles > 0 AND digest <> first").select("first", "digest").distinct()
+    own = of_class.select("digest", "component")
+    links = pairs.join(own.select(F.col("digest").alias("first"), F.col("component").alias("a")), "first").join(own.withColumnRenamed("component", "b"), "digest")
+    links = stored(links.where("a <> b").select("a", "b").distinct(), "versions")
+    nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    return components(nodes, links).select(F.col("id").alias("component"), F.col("comp").alias("whole"))
+
+
 def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """doc_id, row (its row_key), n_shingles, component (a number of its own, null without words), component_id, kept for each row of docs."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(F.col(key), F.col(text)).alias("row"))
@@ -276,6 +288,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: i
         rows = rows.dropDuplicates(["row"])
     comps = Search(classes, rows, percent).run()
     of_class = classes.join(comps, "id", "left").select("digest", "doc_id", "row", F.coalesce("comp", "id").alias("component"))
+    of_class = of_class.join(versions(sketch, of_class), "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
     named = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("first"))
     of_class = of_class.join(named, "component").select("digest", "component", "component_id", (F.col("row") == F.col("first")).alias("leads"))
     out = sketch.select("doc_id", "row", "n_shingles", "digest").join(of_class, "digest", "left")

@@ -299,3 +299,13 @@ def test_near_duplicates_at_another_threshold(spark):
     d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert near_dedup.group(d).where("kept").count() == 2
     assert near_dedup.group(d, percent=80).where("kept").count() == 1
+
+
+def test_near_copies_of_each_version_and_of_null_ids_link(spark):
+    a, b, c, e = (" ".join(f"{k}{i}" for i in range(100)) for k in "abce")
+    rows = [(5, a), (5, b), (6, a + " tail"), (7, b + " tail"), (None, c), (None, c + " tail"), (None, e), (9, e + " tail"), (5, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.group(d).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id in (5, 6, 7, 9)} == {(5, 5), (6, 5), (7, 5), (9, 9)}
+    null = [(r.component_id, r.kept) for r in got if r.doc_id is None]
+    assert sorted(null, key=repr) == sorted([(None, True), (None, False), (9, False)], key=repr)
