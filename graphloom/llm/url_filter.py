@@ -1,11 +1,12 @@
 """URL filter: rules first, then words of host and path under naive Bayes.
 
 Rules name a host with its subdomains and the beginning of a path; the longest that fits decides. For the rest, labels of the
-host are split into words by unigram Viterbi (word counts of all pages' texts, the most frequent ones of them) and multinomial naive
+host are split into words by unigram Viterbi (counts of all words of all pages' texts, kept as a table) and multinomial naive
 Bayes scores these words and those of the path. Its training rows are the urls that a rule decides and those whose host holds a
 seed word; the endings that rules are made of (top-level label and first path part) are left out of the features.
 
-Tokens are hashed into a fixed number of buckets, so the model is two fixed arrays. Urls are only mapped. A null url or one
+Tokens are hashed into a fixed number of buckets, so the odds are two fixed arrays. Urls meet the words of their runs of letters in
+a join, whose frequent keys are dealt by salts. A null url or one
 without "://" has an empty host and path, no rule and no word, and is allowed.
 """
 
@@ -13,28 +14,26 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import stored
+
 #: (verdict, host and path prefix).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Words that mark hosts of unwanted kinds (fixed values).
 SEEDS = ("casino", "bet", "bets", "poker", "pills", "viagra", "cheap", "free", "win", "adult", "xxx", "porn", "spam", "ads", "track", "loan", "farm")
-#: Words of the segmenter at most, buckets of the classifier, and longest word.
-VOCABULARY, BUCKETS, LONGEST = 50_000, 1 << 16, 24
+#: Buckets of the classifier, and tasks that a frequent key of a join is dealt to.
+BUCKETS, SALTS = 1 << 16, 16
 #: Pseudo-counts of each token, dealt to the classes as all tokens are.
 SMOOTHING = 5.0
 #: log odds from which an undecided url is blocked.
 THRESHOLD = math.log(6.0)
-#: Hosts kept with their words: a bound on memory only.
-CACHE = 100_000
-_runs = regex.compile(r"[a-z]+|[0-9]+").findall
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -62,50 +61,87 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
     return d.select("*", rule.alias("rule"), ruling.alias("ruling"))
 
 
-def vocabulary(pages: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent lower-case words of all pages' html outside tags, with their counts."""
+def vocabulary(pages: DataFrame) -> DataFrame:
+    """w, n: every lower-case word of all pages' html outside tags, with its count; seed words are raised by a floor."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).where((F.length("w") > 0) & (F.length("w") <= LONGEST))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    return {r.w: r.n for r in top.collect()}
+    words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).where("w <> ''")
+    counts = stored(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    least = max(10, (counts.agg(F.sum("n")).first()[0] or 0) // 10_000)
+    seen = {r.w: r.n for r in counts.where(F.col("w").isin(*SEEDS)).collect()}
+    seeds = pages.sparkSession.createDataFrame([(w, seen.get(w, 0) + least) for w in SEEDS], "w string, n long")
+    return counts.where(~F.col("w").isin(*SEEDS)).unionByName(seeds)
 
 
 @dataclass
 class Segmenter:
-    """Splits a run of letters into its most probable words; unknown stretches cost more the longer they are."""
+    """Splits a run of letters into its most probable words; unknown stretches cost more the longer they are. counts may hold
+    only the words that occur in the run, if total is that of all."""
 
     counts: dict[str, int]
-    cache: dict[str, list[str]] = field(default_factory=dict)
+    total: int | None = None
 
     def __post_init__(self) -> None:
-        total = sum(self.counts.values()) + 1.0
+        total = (sum(self.counts.values()) if self.total is None else self.total) + 1.0
         self.cost = {w: -math.log(n / total) for w, n in self.counts.items()}
+        self.sizes = sorted({len(w) for w in self.counts}, reverse=True)
         self.unknown = math.log(total) + 2.0
 
     def split(self, letters: str) -> list[str]:
         n = len(letters)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        start, ahead = 0, 0.0  # where an unknown stretch begins best, and its cost there less 3 a letter before
         for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST), j):
-                w = letters[i:j]
-                c = best[i] + self.cost.get(w, self.unknown + 3.0 * (j - i))
-                if c < best[j]:
-                    best[j], back[j] = c, i
+            best[j], back[j] = ahead + self.unknown + 3.0 * j, start
+            for size in self.sizes:
+                if size <= j and (own := self.cost.get(letters[j - size : j])) is not None and best[j - size] + own < best[j]:
+                    best[j], back[j] = best[j - size] + own, j - size
+            if best[j] - 3.0 * j < ahead:
+                start, ahead = j, best[j] - 3.0 * j
         out, j = [], n
         while j:
             out.append(letters[back[j] : j])
             j = back[j]
         return out[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Features of a url: words of the host's labels but the last, and of the path but its first part; digits by their number."""
-        if host not in self.cache:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            runs = [r for label in host.split(".")[:-1] for r in _runs(label)]
-            self.cache[host] = ["h:" + w for r in runs for w in (self.split(r) if r.isalpha() else [f"#{len(r)}"])]
-        runs = [r for part in path.lower().split("/")[2:] for r in _runs(part)]
-        return self.cache[host] + ["p:" + w for r in runs for w in (self.split(r[:512]) + ([r[512:]] if len(r) > 512 else []) if r.isalpha() else [f"#{len(r)}"])]
+
+def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """run, words: each distinct run of letters, split. Its substrings are looked up among all words, so that a task holds only
+    the counts of words that occur in the run at hand."""
+    total = words.agg(F.sum("n")).first()[0]
+    sizes = sorted(r[0] for r in words.select(F.length("w")).distinct().collect())  # few: n sizes take n * n / 2 letters of words
+    inner = f"transform(filter(array({', '.join(map(str, sizes))}), l -> l <= length(run)), l -> transform(sequence(1, length(run) - l + 1), i -> substring(run, i, l)))"
+    inside = runs.select("run", F.explode(F.expr(f"array_distinct(flatten({inner}))")).alias("w"), F.pmod(F.xxhash64("run"), F.lit(SALTS)).cast("int").alias("salt"))
+    needed = salted(words.join(inside.select("w").distinct(), "w", "left_semi"))
+    found = inside.join(needed, ["w", "salt"]).groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("found"))
+
+    def split(batches):
+        for batch in batches:
+            runs, found = batch.column("run").to_pylist(), batch.column("found").to_pylist()
+            out = [Segmenter({x["w"]: x["n"] for x in f or ()}, total).split(r) for r, f in zip(runs, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(out, pa.list_(pa.string()))], names=["run", "words"])
+
+    return stored(runs.join(found, "run", "left").select("run", "found").mapInArrow(split, "run string, words array<string>"), "segmented")
+
+
+def salted(d: DataFrame) -> DataFrame:
+    """Each row once a salt, so that a frequent key of the other side is dealt to several tasks."""
+    return d.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def featured(pages: DataFrame, words: DataFrame, rules=RULES) -> DataFrame:
+    """The columns of parsed, and tokens: words of the host's labels but the last, and of the path but its first part; digits by
+    their number."""
+    d = stored(parsed(pages, rules).withColumn("row", F.monotonically_increasing_id()), "urls")
+    labels = "transform(split(host, '[.]'), (x, i) -> struct('h' AS kind, i = size(split(host, '[.]')) - 1 AS ending, x))"
+    steps = "transform(split(lower(path), '/'), (x, i) -> struct('p' AS kind, i <= 1 AS ending, x))"
+    runs = f"flatten(transform(concat({labels}, {steps}), s -> transform(regexp_extract_all(s.x, '[a-z]+|[0-9]+', 0), r -> struct(s.kind, s.ending, r AS run))))"
+    each = d.select("row", F.posexplode(F.expr(runs)).alias("place", "r")).select("row", "place", "r.*", F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    each = each.where("NOT ending")
+    split = salted(segmented(each.where("run >= 'a'").select("run").distinct(), words))
+    own = F.coalesce("words", F.array(F.concat(F.lit("#"), F.length("run"))))
+    tokens = F.transform(own, lambda w: F.concat("kind", F.lit(":"), w))
+    lists = each.join(split, ["run", "salt"], "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", tokens.alias("t")))).alias("t"))
+    return stored(d.join(lists, "row", "left").select(*d.columns, F.coalesce(F.expr("flatten(t.t)"), F.expr("CAST(array() AS array<string>)")).alias("tokens")).drop("row"), "features")
 
 
 def bucket(token: str) -> int:
@@ -118,22 +154,22 @@ def _seeded(tokens: list[str]) -> bool:
 
 @dataclass
 class Filter:
-    counts: dict[str, int]
+    words: DataFrame
     odds: np.ndarray  # log odds of block over allow, by bucket
 
 
 def train(pages: DataFrame, rules=RULES) -> Filter:
-    counts = Counter(vocabulary(pages))
-    least = max(10, sum(counts.values()) // 10_000)
-    for w in SEEDS:
-        counts[w] += least
-    words = dict(counts)
+    words = vocabulary(pages)
+    return Filter(words, fit(featured(pages, words, rules)))
+
+
+def fit(rows: DataFrame) -> np.ndarray:
+    """Log odds by bucket from the rows of featured that a rule decides or whose host holds a seed word."""
 
     def run(batches):
-        s, sums = Segmenter(words), {True: Counter(), False: Counter()}
+        sums = {True: Counter(), False: Counter()}
         for batch in batches:
-            for host, path, ruling in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "ruling")), strict=True):
-                tokens = s.tokens(host, path)
+            for tokens, ruling in zip(batch.column("tokens").to_pylist(), batch.column("ruling").to_pylist(), strict=True):
                 seeded = _seeded(tokens)
                 if seeded or ruling is not None:
                     sums[seeded or ruling == "block"].update(map(bucket, tokens))
@@ -141,12 +177,12 @@ def train(pages: DataFrame, rules=RULES) -> Filter:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["bucket", "blocked", "n"])
 
     # at most BUCKETS rows come to the driver
-    rows = parsed(pages, rules).select("host", "path", "ruling").mapInArrow(run, "bucket long, blocked long, n long")
+    found = rows.select("tokens", "ruling").mapInArrow(run, "bucket long, blocked long, n long")
     sums = np.zeros((2, BUCKETS))
-    for r in rows.groupBy("bucket").pivot("blocked", [0, 1]).agg(F.sum("n")).collect():
+    for r in found.groupBy("bucket").pivot("blocked", [0, 1]).agg(F.sum("n")).collect():
         sums[0, r.bucket] += r["0"] or 0
         sums[1, r.bucket] += r["1"] or 0
-    return Filter(words, log_odds(sums))
+    return log_odds(sums)
 
 
 def log_odds(sums: np.ndarray, strength: float = SMOOTHING) -> np.ndarray:
@@ -161,19 +197,21 @@ def log_odds(sums: np.ndarray, strength: float = SMOOTHING) -> np.ndarray:
 
 def judge(pages: DataFrame, model: Filter, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, and the method's log odds as score."""
-    d = parsed(pages, rules)
+    return scored(featured(pages, model.words, rules), model.odds, threshold)
+
 
+def scored(rows: DataFrame, odds: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     def run(batches):
-        s = Segmenter(model.counts)
         for batch in batches:
-            scores = [float(sum(model.odds[bucket(t)] for t in s.tokens(h, p))) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            scores = [float(sum(odds[bucket(t)] for t in tokens)) for tokens in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     own = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return d.mapInArrow(run, f"{kinds}, score double").select("page_id", "host", "path", "rule", F.coalesce("ruling", own).alias("verdict"), "score")
+    return rows.mapInArrow(run, f"{kinds}, score double").select("page_id", "host", "path", "rule", F.coalesce("ruling", own).alias("verdict"), "score")
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return judge(pages, train(pages))
+    rows = featured(pages, vocabulary(pages))
+    return scored(rows, fit(rows))

@@ -309,3 +309,13 @@ def test_near_copies_of_each_version_and_of_null_ids_link(spark):
     assert {(r.doc_id, r.component_id) for r in got if r.doc_id in (5, 6, 7, 9)} == {(5, 5), (6, 5), (7, 5), (9, 9)}
     null = [(r.component_id, r.kept) for r in got if r.doc_id is None]
     assert sorted(null, key=repr) == sorted([(None, True), (None, False), (9, False)], key=repr)
+
+
+def test_url_filter_knows_rare_and_long_words(spark):
+    long = "q" * 30
+    common_words = " ".join(f"{a}{b}{c}{d} {a}{b}{c}{d}" for a in "abcdefghijklm" for b in "abcdefghijklmnop" for c in "abcdefghijklmnop" for d in "abcdefghijklmnop")
+    pages = spark.createDataFrame([(1, f"http://zebu{long}.a.com/en/zebu{long}", common_words), (2, None, f"<p>zebu {long}</p>")], "page_id long, url string, html string")
+    words = url_filter.vocabulary(pages)
+    assert words.count() > 50_000 and words.where(F.col("w").isin("zebu", long)).count() == 2
+    rows = {r.page_id: r.tokens for r in url_filter.featured(pages, words).collect()}
+    assert rows[1][:2] == ["h:zebu", "h:" + long] and rows[2] == []
