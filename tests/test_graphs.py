@@ -114,3 +114,19 @@ def test_files(spark, tmp_path):
     m = spark.createDataFrame([([1.0, -2.5],)], "x array<double>")
     files.write_matrix(m, str(tmp_path / "m"))
     assert files.read_matrix(spark, str(tmp_path / "m")).collect() == m.collect()
+
+
+def test_clarans_searches_until_enough_proposals_fail(spark):
+    rows = [(i, [float(100 * (i % 6)), float(i // 6) / 50]) for i in range(120)]
+    v = spark.createDataFrame(rows, "id long, x array<double>")
+    medoids = cl.clarans(v, 6, 12).collect()  # 12 proposals in all leave a group out
+    assert sorted(round(r.center[0] / 100) for r in medoids) == list(range(6))
+    few = spark.createDataFrame(rows[:3], "id long, x array<double>")
+    assert len(cl.clarans(few, 3, 5).collect()) == 3
+
+
+def test_class_representatives_with_equal_vectors(spark):
+    v = spark.createDataFrame([(1, 5, [1.0, 0.0]), (1, 6, [2.0, 2.0]), (2, 1, [1.0, 0.0]), (3, 1, [1.0, 1.0]), (4, 1, [1.0, 0.0]), (9, 1, [1.0, 1.0])], "graph_id long, vertex_id long, features array<double>")
+    y = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3), (9, 0)], "graph_id long, y int")
+    got = {tuple(r) for r in ft.equal_representatives(v, y).collect()}
+    assert got == {(0, 1, 1, 2), (0, 1, 3, 4), (1, 2, 3, 4)}
