@@ -46,6 +46,16 @@ def dense(counts: DataFrame, ids: list[str], slot, width: int) -> DataFrame:
     return m.select(*ids, F.expr(f"transform(sequence(0, {width - 1}), i -> coalesce(try_element_at(m, i), 0D))").alias("features"))
 
 
+def equal_representatives(vectors: DataFrame, graphs: DataFrame) -> DataFrame:
+    """class_a, graph_a, class_b, graph_b: classes whose representatives, the first vertex of the first graph, have equal vectors.
+
+    vectors: graph_id, vertex_id, features; graphs: graph_id, y. There is one row a class, so pairs are few."""
+    first = F.struct("graph_id", "vertex_id", "features")
+    r = cut(vectors.join(graphs.select("graph_id", "y"), "graph_id").groupBy("y").agg(F.min(first).alias("r")).select("y", "r.graph_id", "r.features"))
+    a, b = (r.select(F.col("y").alias(f"class_{s}"), F.col("graph_id").alias(f"graph_{s}"), "features") for s in "ab")
+    return a.join(b, "features").where("class_a < class_b").select("class_a", "graph_a", "class_b", "graph_b")
+
+
 def editmask(vectors: DataFrame) -> DataFrame:
     """slot, used: whether any row has a value there."""
     return vectors.select(F.posexplode("features").alias("slot", "x")).groupBy("slot").agg(F.max((F.col("x") != 0).cast("int")).cast("boolean").alias("used"))

@@ -581,11 +581,27 @@ def train_models(spark, d: str) -> DataFrame:
 
 @query(_sql(GRAPHS, bfs(1), "n AS (SELECT graph_id, root, count(*) c FROM dist GROUP BY 1, 2)", select="SELECT a.graph_id, count(*) AS n, count(DISTINCT c) AS kinds FROM n a GROUP BY 1"))
 def vector_equality_pairs(spark, d: str) -> DataFrame:
-    """Kinds of equal neighbourhood sizes by graph."""
+    """Kinds of equal neighbourhood sizes by graph, as the SQL fixes them; class_vector_pairs compares vectors."""
     n = pa.graph_distances(customer_graphs(spark, d), 1).groupBy("graph_id", "root").agg(F.count("*").alias("c"))
     return n.groupBy("graph_id").agg(F.count("*").alias("n"), F.count_distinct("c").alias("kinds"))
 
 
+@query(_sql(GRAPHS, "reps AS (SELECT y, min(graph_id) graph_id FROM graphs GROUP BY 1)", "roots AS (SELECT y, graph_id, min(vertex_id) root FROM reps JOIN vertices USING (graph_id) GROUP BY 1, 2)",
+    "near AS (SELECT y, graph_id, label FROM roots JOIN edges USING (graph_id) JOIN vertices v USING (graph_id) WHERE src = root AND v.vertex_id = dst AND dst <> root)",
+    "f AS (SELECT r.y, r.graph_id, count(*) FILTER (label = 0) x, count(*) FILTER (label = 1) y1, count(*) FILTER (label = 2) z FROM roots r LEFT JOIN near n ON r.graph_id = n.graph_id GROUP BY 1, 2)",
+    select="SELECT a.y AS class_a, a.graph_id AS graph_a, b.y AS class_b, b.graph_id AS graph_b FROM f a JOIN f b ON a.y < b.y AND a.x = b.x AND a.y1 = b.y1 AND a.z = b.z"))
+def class_vector_pairs(spark, d: str) -> DataFrame:
+    """Pairs of classes whose representatives have equal counts of neighbours by label."""
+    g = customer_graphs(spark, d)
+    first = g.graphs.groupBy("y").agg(F.min("graph_id").alias("graph_id")).select("graph_id")
+    g = gr.Graphs(*(t.join(F.broadcast(first), "graph_id", "left_semi") for t in (g.vertices, g.edges, g.graphs)))
+    counts = ft.vertex_counts(g, pa.graph_distances(g, 1)).withColumn("cnt", F.when(F.col("d") == 1, F.col("cnt")).otherwise(0)).groupBy("graph_id", "vertex_id", "label").agg(F.sum("cnt").alias("cnt"))
+    found = ft.dense(counts, ["graph_id", "vertex_id"], F.col("label"), 3)
+    none = F.array(*[F.lit(0.0)] * 3)
+    v = g.vertices.select("graph_id", "vertex_id").join(found, ["graph_id", "vertex_id"], "left").withColumn("features", F.coalesce("features", none))
+    return ft.equal_representatives(v, g.graphs)
+
+
 # geometric features ----------------------------------------------------------------------------------------------------
 
 
