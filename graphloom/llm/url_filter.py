@@ -3,7 +3,7 @@
 Rules name a host with its subdomains and the beginning of a path; the longest that fits decides. For the rest, labels of the
 host are split into words by unigram Viterbi (counts of all words of all pages' texts, kept as a table) and multinomial naive
 Bayes scores these words and those of the path. Its training rows are the urls that a rule decides and those whose host holds a
-seed word; the endings that rules are made of (top-level label and first path part) are left out of the features.
+seed word; the endings that rules are made of (top-level label and first path part) are left out in training, not in scoring.
 
 Tokens are hashed into a fixed number of buckets, so the odds are two fixed arrays. Urls meet the words of their runs of letters in
 a join, whose frequent keys are dealt by salts. A null url or one
@@ -129,19 +129,20 @@ def salted(d: DataFrame) -> DataFrame:
 
 
 def featured(pages: DataFrame, words: DataFrame, rules=RULES) -> DataFrame:
-    """The columns of parsed, and tokens: words of the host's labels but the last, and of the path but its first part; digits by
-    their number."""
+    """The columns of parsed, tokens (words of the host's labels and of the path; digits by their number), and known: the tokens
+    without endings."""
     d = stored(parsed(pages, rules).withColumn("row", F.monotonically_increasing_id()), "urls")
-    labels = "transform(split(host, '[.]'), (x, i) -> struct('h' AS kind, i = size(split(host, '[.]')) - 1 AS ending, x))"
+    labels = "transform(split(host, '[.]'), (x, i) -> struct('h' AS kind, i = size(split(host, '[.]')) - 1 AND (i > 0 OR ruling IS NOT NULL) AS ending, x))"
     steps = "transform(split(lower(path), '/'), (x, i) -> struct('p' AS kind, i <= 1 AS ending, x))"
     runs = f"flatten(transform(concat({labels}, {steps}), s -> transform(regexp_extract_all(s.x, '[a-z]+|[0-9]+', 0), r -> struct(s.kind, s.ending, r AS run))))"
     each = d.select("row", F.posexplode(F.expr(runs)).alias("place", "r")).select("row", "place", "r.*", F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    each = each.where("NOT ending")
     split = salted(segmented(each.where("run >= 'a'").select("run").distinct(), words))
     own = F.coalesce("words", F.array(F.concat(F.lit("#"), F.length("run"))))
     tokens = F.transform(own, lambda w: F.concat("kind", F.lit(":"), w))
-    lists = each.join(split, ["run", "salt"], "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", tokens.alias("t")))).alias("t"))
-    return stored(d.join(lists, "row", "left").select(*d.columns, F.coalesce(F.expr("flatten(t.t)"), F.expr("CAST(array() AS array<string>)")).alias("tokens")).drop("row"), "features")
+    lists = each.join(split, ["run", "salt"], "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", tokens.alias("t"), "ending"))).alias("t"))
+    kinds = {"tokens": "flatten(t.t)", "known": "flatten(filter(t, x -> NOT x.ending).t)"}
+    columns = [F.expr(f"coalesce({e}, CAST(array() AS array<string>))").alias(c) for c, e in kinds.items()]
+    return stored(d.join(lists, "row", "left").select(*d.columns, *columns).drop("row"), "features")
 
 
 def bucket(token: str) -> int:
@@ -169,7 +170,7 @@ def fit(rows: DataFrame) -> np.ndarray:
     def run(batches):
         sums = {True: Counter(), False: Counter()}
         for batch in batches:
-            for tokens, ruling in zip(batch.column("tokens").to_pylist(), batch.column("ruling").to_pylist(), strict=True):
+            for tokens, ruling in zip(batch.column("known").to_pylist(), batch.column("ruling").to_pylist(), strict=True):
                 seeded = _seeded(tokens)
                 if seeded or ruling is not None:
                     sums[seeded or ruling == "block"].update(map(bucket, tokens))
@@ -177,7 +178,7 @@ def fit(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["bucket", "blocked", "n"])
 
     # at most BUCKETS rows come to the driver
-    found = rows.select("tokens", "ruling").mapInArrow(run, "bucket long, blocked long, n long")
+    found = rows.select("known", "ruling").mapInArrow(run, "bucket long, blocked long, n long")
     sums = np.zeros((2, BUCKETS))
     for r in found.groupBy("bucket").pivot("blocked", [0, 1]).agg(F.sum("n")).collect():
         sums[0, r.bucket] += r["0"] or 0

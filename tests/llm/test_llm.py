@@ -319,3 +319,12 @@ def test_url_filter_knows_rare_and_long_words(spark):
     assert words.count() > 50_000 and words.where(F.col("w").isin("zebu", long)).count() == 2
     rows = {r.page_id: r.tokens for r in url_filter.featured(pages, words).collect()}
     assert rows[1][:2] == ["h:zebu", "h:" + long] and rows[2] == []
+
+
+def test_url_filter_scores_whole_urls(spark):
+    urls = ["http://shop.example.org/casino-bonus", "http://casino/", "http://a.com/en/" + "casino" * 100]
+    pages = spark.createDataFrame([(i, u, "<p>casino bonus shop example org com en a</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in url_filter.featured(pages, url_filter.vocabulary(pages)).collect()}
+    assert rows[0].tokens == ["h:shop", "h:example", "h:org", "p:casino", "p:bonus"] and rows[0].known == ["h:shop", "h:example"]
+    assert rows[1].tokens == rows[1].known == ["h:casino"]
+    assert rows[2].tokens == ["h:a", "h:com", "p:en", *["p:casino"] * 100] and rows[2].known == ["h:a", *["p:casino"] * 100]
