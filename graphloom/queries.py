@@ -511,7 +511,7 @@ def clique_dense_2d(spark, d: str) -> DataFrame:
 
 @query()
 def clique_clusters(spark, d: str) -> DataFrame:
-    return cl.clique(vectors(spark, d), 4, 0.4, most=2).groupBy("size", "cluster").agg(F.count("*").alias("units"), F.sum("cnt").alias("points"))
+    return cl.clique(vectors(spark, d), 4, 0.4).groupBy("size", "cluster").agg(F.count("*").alias("units"), F.sum("cnt").alias("points"))
 
 
 # message passing ----------------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import queries
 from graphloom.operators import clustering as cl
 from graphloom.operators import experiments as ex
 from graphloom.operators import features as ft
@@ -130,3 +131,9 @@ def test_class_representatives_with_equal_vectors(spark):
     y = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3), (9, 0)], "graph_id long, y int")
     got = {tuple(r) for r in ft.equal_representatives(v, y).collect()}
     assert got == {(0, 1, 1, 2), (0, 1, 3, 4), (1, 2, 3, 4)}
+
+
+def test_clique_query_goes_on_past_two_dimensions(spark, monkeypatch):
+    rows = [(i, [0.1, 0.1, 0.1] if i % 10 else [1.0, 1.0, 1.0]) for i in range(40)]
+    monkeypatch.setattr(queries, "vectors", lambda *_: spark.createDataFrame(rows, "id long, x array<double>"))
+    assert {r["size"] for r in queries.clique_clusters(spark, "").collect()} == {1, 2, 3}
