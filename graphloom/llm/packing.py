@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from graphloom.llm.common import slices
+from graphloom.llm.pretokens import Cutter, coded, joined
 
 WINDOW = 1024
 #: Penalties, in ids of padding: for a window as such, for a cut at a sentence end and for one inside a sentence.
@@ -51,9 +52,7 @@ def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, open_end: bo
     places_, costs = at.tolist(), penalty.tolist()
     n = len(places_)
     best, came = [0.0] * n, [-1] * n
-    index = {p: i for i, p in enumerate(places_)}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
-    find = index.get
+    ends, earlier = _exact(at, window)
     queue: deque[int] = deque([0])
     keys = [0.0] * n  # best[i] + place of i
     for j in range(1, n):
@@ -65,11 +64,8 @@ def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, open_end: bo
         value = keys[i] + window - p
         if open_end and j == n - 1:
             value = keys[i] - p + 0.5 * (p - places_[i])
-        for q in powers:
-            if q > p:
-                break
-            h = find(p - q)
-            if h is not None and best[h] < value:
+        for h in earlier[ends[j] : ends[j + 1]]:
+            if best[h] < value:
                 value, i = best[h], h
         value += PER_WINDOW + costs[j]
         best[j], came[j] = value, i
@@ -84,6 +80,19 @@ def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, open_end: bo
     return out[::-1]
 
 
+def _exact(at: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """(ends, earlier): place j lies a power of two, under a window, after each of the places earlier[ends[j]:ends[j + 1]]."""
+    late, early = [], []
+    for k in range((window - 1).bit_length()):
+        h = np.searchsorted(at, at - (1 << k))
+        found = np.flatnonzero(at[h] == at - (1 << k))
+        late.append(found)
+        early.append(h[found])
+    late, early = np.concatenate(late), np.concatenate(early)
+    order = np.argsort(late, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(late, minlength=len(at)))]).tolist(), early[order].tolist()
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself where printable, else the next free one from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -92,11 +101,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Ids(dict):
-    """Ids of whole texts by the tokenizers library: each distinct match of the pre-token pattern is given to its model and
+    """Ids of whole texts by the tokenizers library's model: each distinct match of the pre-token pattern is given to it and
     kept, packed, in two generations as the younger fills up."""
 
     def __init__(self, blob: str, pattern: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -104,18 +112,17 @@ class Ids(dict):
         self.tokenizer = Tokenizer.from_str(blob)
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.find = regex.compile(pattern).findall
-        self.older: dict[str, bytes] = {}
+        self.cutter = Cutter(pattern)
+        self.older: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.rstrip("\"')")[-1:] in (".", "!", "?", "Ċ")
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: bytes) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
-            if len(letters) > CACHE_BYTES:
+            ids = array("I", [t.id for t in self.tokenize(piece.decode("latin-1").translate(self.letters))]).tobytes()
+            if len(piece) > CACHE_BYTES:
                 return ids
         if len(self) >= CACHE_ENTRIES:
             self.older = dict(self)
@@ -123,8 +130,13 @@ class Ids(dict):
         self[piece] = ids
         return ids
 
-    def of(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([self[x] for x in self.find(text)]), np.uint32)
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        at, pieces = self.cutter.cut(texts)
+        codes, entries = coded(pieces, lambda found: [self[x] for x in found])
+        offsets, data = joined(pa.array(entries, pa.large_binary()), codes)
+        ids, cuts = np.frombuffer(data, np.uint32)[: offsets[-1] // 4], (offsets[at] // 4).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _ids: dict[int, Ids] = {}
@@ -204,9 +216,8 @@ def _packed(docs, vocabulary, pattern, text, key, window, column, value) -> Data
 
         def stream():
             for batch in batches:
-                for part in slices(batch, "text", 2_000_000):
-                    for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                        yield doc_id, ids.of(text or "")
+                for part in slices(batch, "text"):
+                    yield from zip(part.column("doc_id").to_pylist(), ids.of(part.column("text")), strict=True)
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], names=names)
