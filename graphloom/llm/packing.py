@@ -102,7 +102,7 @@ def _byte_letters() -> dict[int, str]:
 
 class Ids(dict):
     """Ids of whole texts by the tokenizers library's model: each distinct match of the pre-token pattern is given to it and
-    kept, packed, in two generations as the younger fills up."""
+    kept, packed, in two generations as the younger fills up. The file's added tokens are looked for first, as the library does."""
 
     def __init__(self, blob: str, pattern: str) -> None:
         from tokenizers import Tokenizer
@@ -112,14 +112,15 @@ class Ids(dict):
         self.tokenizer = Tokenizer.from_str(blob)
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.cutter = Cutter(pattern)
+        self.added = {t.content.encode(): array("I", [i]).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cutter = Cutter(pattern, tuple(x.decode() for x in self.added))
         self.older: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.rstrip("\"')")[-1:] in (".", "!", "?", "Ċ")
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = self.older.get(piece)
+        ids = self.older.get(piece) or self.added.get(piece)
         if ids is None:
             ids = array("I", [t.id for t in self.tokenize(piece.decode("latin-1").translate(self.letters))]).tobytes()
             if len(piece) > CACHE_BYTES:
