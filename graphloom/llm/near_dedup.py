@@ -82,7 +82,7 @@ def minima(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def packed(low: np.ndarray) -> np.ndarray:
     """The low BITS bits of (scrambled) minima, 16 to a long."""
-    low = (mix(low) & np.uint64((1 << BITS) - 1)).reshape(len(low), -1, 64 // BITS)
+    low = (mix(low) & np.uint64((1 << BITS) - 1)).reshape(len(low), HASHES * BITS // 64, 64 // BITS)
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
