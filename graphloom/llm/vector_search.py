@@ -4,15 +4,17 @@ Vectors get one more component, sqrt(M - |x|^2) with M the largest squared norm,
 least Euclidean distance. Each vector is keyed by its nearest pivot and its distance to it; runs of equal pivot and
 neighbouring distance (annuli) become index blocks with their range of distances. Queries are dealt into blocks too.
 
-A first pass searches for each query block the annuli closest to it, which gives every query a k-th score to beat. By the
-triangle inequality an annulus [low, high] of pivot p is no nearer to query q than max(d(q,p) - high, low - d(q,p), 0); the
-second pass visits, in the order of that bound, only blocks that can still beat the k-th score of some query. Scores are exact:
-integers in doubles below 2^53, in 64-bit integers above. Ties go to the smaller vec_id. The index covers every row; only the
-pivots come from a bounded sample.
-
-Vectors that are null or hold null or non-finite components take no part; empty ones have score 0 with all; a shorter
-vector is filled up with zeros. Repeated vec_ids are candidates each; a query that repeats is answered once for each id and a
-candidate with the query's own id is left out.
+The search goes in rounds. Each visits, for every query block, the annuli next in the order of their distance from it: one in the
+first round, four times as many in each further one. A round leaves every query a k-th score to beat. By the triangle inequality an
+annulus [low, high] of pivot p is no nearer to query q than max(d(q,p) - high, low - d(q,p), 0); annuli that by this bound can't
+reach the k-th score of any query of a block are never visited, and the search stops when none is left. Scores are exact: integers
+in doubles below 2^53, in 64-bit integers above. Ties go to the smaller vec_id, and only hits that come before the k-th by (score,
+vec_id) leave a task, so copies of one vector don't multiply. The index covers every row; only the pivots come from a bounded sample.
+
+Vectors that are null or hold null or non-finite components take no part, nor do rows without a vec_id; empty vectors have score 0
+with all; a shorter vector is filled up with zeros. A row is known by a number of its own: rows that repeat a vec_id are queries and
+candidates each, and a query leaves out only its own row. An empty table, or one without usable vectors, gives no rows. Only vec_id
+and embedding are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from graphloom.llm.common import partitions_for, stored
 SCALE, K, EVERY = 64, 20, 20
 #: Bounded sample for the pivots, their number, and the rows of an index block and a query block.
 SAMPLE, PIVOTS, BLOCK, QUERIES = 4096, 32, 2048, 256
-#: Annuli searched for each query block in the first pass.
-NEAREST = 2
+#: So many times more annuli are visited in a round than in the one before; parts that a visited block's queries are dealt to.
+WIDER, PARTS = 4, 8
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -65,12 +67,8 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)))
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return x.astype("<i8").tobytes()
-
-
-def _unpack(data: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(data, "<i8").reshape(-1, width)
+def _unpack(data: bytes, width: int, kind: str) -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(-1, width).astype(np.int64)
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -82,16 +80,17 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The stored index: blocks(block, pivot, low, high, n, ids, rows) and their small summary."""
+    """The stored index: blocks(block, pivot, low, high, ids, own, rows), and the number of visits that the last search made."""
 
     def __init__(self, vectors: DataFrame) -> None:
-        spark = vectors.sparkSession
-        rows = stored(quantised(vectors), "quantised")
-        self.rows = rows
-        size = rows.agg(F.max(F.size("x")).alias("w"), F.max(F.aggregate("x", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m")).first()
+        rows = stored(quantised(vectors).withColumn("own", F.monotonically_increasing_id()), "quantised")
+        self.rows, self.visits = rows, 0
+        largest = F.max(F.coalesce(F.array_max(F.transform("x", F.abs)), F.lit(0))).alias("top")
+        size = rows.agg(F.max(F.size("x")).alias("w"), F.max(F.aggregate("x", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m"), largest).first()
         self.width, self.most = max(1, size.w or 0), float(size.m or 0.0)
-        width, most = self.width, self.most
-        sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()
+        self.kind = next((k for k in ("<i2", "<i4") if 0 <= (size.top or 0) <= np.iinfo(k).max), "<i8")
+        width, most, kind = self.width, self.most, self.kind
+        sample = rows.orderBy(F.xxhash64("vec_id", "own")).limit(SAMPLE).toPandas()
         self.pivots = pivots = choose_pivots(lifted(matrix(sample["x"].tolist(), width), most))
 
         def keyed(batches):
@@ -100,98 +99,133 @@ class Index:
                 d = distances(lifted(x, most), pivots)
                 near = d.argmin(1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id"), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), pa.array([_pack(r) for r in x], pa.binary())],
-                    names=["vec_id", "pivot", "dist", "row"],
+                    [b.column("vec_id"), b.column("own"), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), pa.array([r.astype(kind).tobytes() for r in x], pa.binary())],
+                    names=["vec_id", "own", "pivot", "dist", "row"],
                 )
 
-        keyed_rows = rows.mapInArrow(keyed, "vec_id long, pivot int, dist double, row binary")
-        n = partitions_for(rows, 32)
-        self.keyed = stored(keyed_rows.repartitionByRange(n, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id"), "keyed")
-        blocks = _blocks(self.keyed, BLOCK)
-        self.blocks = stored(blocks, "index")
+        keyed_rows = rows.mapInArrow(keyed, "vec_id long, own long, pivot int, dist double, row binary")
+        self.parts = partitions_for(rows, 32)
+        self.keyed = stored(self._sorted(keyed_rows), "keyed")
+        self.blocks = stored(_blocks(self.keyed, BLOCK), "index")
+
+    def _sorted(self, rows: DataFrame) -> DataFrame:
+        order = ("pivot", "dist", "vec_id", "own")
+        return rows.repartitionByRange(self.parts, *order).sortWithinPartitions(*order)
 
     def search(self, queries: DataFrame, k: int = K) -> DataFrame:
         """query_id, rank, vec_id, score. queries: (vec_id) ids of indexed rows."""
-        own = self.keyed.join(queries.distinct(), "vec_id", "left_semi").dropDuplicates(["vec_id"])
-        n = partitions_for(self.rows, 32)
-        q = stored(_blocks(own.repartitionByRange(n, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id"), QUERIES), "queries")
-        q = q.selectExpr("block q", "pivot q_pivot", "low q_low", "high q_high", "ids q_ids", "rows q_rows")
-        # summaries only: a few numbers a block
-        summary = self.blocks.select("block", "pivot", "low", "high")
-        gap = F.greatest(F.col("low") - F.col("q_high"), F.col("q_low") - F.col("high"), F.lit(0.0))
-        near = q.select("q", "q_pivot", "q_low", "q_high").join(summary, F.col("q_pivot") == F.col("pivot"))
-        first = near.groupBy("q").agg(F.min_by("block", F.struct(gap, "block")).alias("block"))
-        hits = stored(self._visit(q, first.select("q", "block"), None, k), "hits")
-        kth = hits.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s")).select("query_id", F.when(F.size("s") >= k, F.col("s")[k - 1]).alias("kth"))
-        kth = stored(kth, "kth")
-        return self._top(hits.union(self._visit(q, None, (first, kth), k)), k)
-
-    def _visit(self, q: DataFrame, pairs: DataFrame | None, rest, k: int) -> DataFrame:
-        width, most, pivots = self.width, self.most, self.pivots
-
-        def found(q_ids, q, ids, x, beat):
-            s = scores(q, x)
-            s_ids = np.broadcast_to(ids, s.shape)
-            for i in range(len(q)):
-                row = s[i]
-                take = np.flatnonzero((ids != q_ids[i]) & (row >= beat[i]))
-                if len(take) > k:
-                    level = np.partition(row[take], len(take) - k)[len(take) - k]
-                    take = take[row[take] >= level]
-                take = take[np.lexsort((s_ids[i][take], -row[take]))[:k]]
-                for j in take:
-                    yield int(q_ids[i]), int(ids[j]), int(row[j])
-
-        def run(batches):
-            for b in batches:
-                rows = []
-                for r in b.to_pylist():
-                    q_ids, ids = np.array(r["q_ids"], np.int64), np.array(r["ids"], np.int64)
-                    beat = np.full(len(q_ids), np.iinfo(np.int64).min) if r.get("beat") is None else np.frombuffer(r["beat"], "<i8")
-                    rows += found(q_ids, _unpack(r["q_rows"], width), ids, _unpack(r["rows"], width), beat)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], names=["query_id", "vec_id", "score"])
+        own = self.keyed.join(queries.distinct(), "vec_id", "left_semi")
+        q = stored(_blocks(self._sorted(own), QUERIES), "queries").withColumnRenamed("block", "q")
+        best = visited = None
+        width = 1
+        self.visits = 0
+        while True:
+            beats = self._beats(q, best, k)
+            todo = self._near(q, beats, visited, width)
+            if (n := todo.count()) == 0:
+                break
+            self.visits += n
+            hits = self._visit(q, beats, todo, k)
+            best = stored(self._top(hits if best is None else best.drop("rank").unionByName(hits), k), "best")
+            visited = todo if visited is None else visited.unionByName(todo)
+            width *= WIDER
+        ids = q.select("q", F.posexplode("ids").alias("at", "query_id"))
+        if best is None:
+            return ids.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
+        return best.join(ids, ["q", "at"]).select("query_id", "rank", "vec_id", "score")
 
-        schema = "query_id long, vec_id long, score long"
-        if pairs is not None:
-            return pairs.join(q, "q").join(self.blocks.select("block", "ids", "rows"), "block").select("q_ids", "q_rows", "ids", "rows").mapInArrow(run, schema)
-
-        first, kth = rest
-        ids = q.select("q", F.posexplode("q_ids").alias("at", "query_id"))
-        beat = ids.join(kth, "query_id", "left").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("at", "kth"))).alias("beats"))
-        known = stored(q.join(beat, "q"), "bounds")
+    @staticmethod
+    def _beats(q: DataFrame, best: DataFrame | None, k: int) -> DataFrame:
+        """q, beat: for each query of a block that has them, its place, k-th score and that one's vec_id."""
+        empty = "CAST(array() AS array<struct<at: int, score: bigint, vec_id: bigint>>)"
+        if best is None:
+            return q.select("q", F.expr(empty).alias("beat"))
+        kth = best.where(F.col("rank") == k).groupBy("q").agg(F.collect_list(F.struct("at", "score", "vec_id")).alias("beat"))
+        return stored(q.select("q").join(kth, "q", "left").select("q", F.coalesce("beat", F.expr(empty)).alias("beat")), "beats")
+
+    def _near(self, q: DataFrame, beats: DataFrame, visited: DataFrame | None, width: int) -> DataFrame:
+        """(q, block): for each query block the next annuli, at most so many, that the bounds don't rule out."""
+        pivots, most, dims, kind = self.pivots, self.most, self.width, self.kind
 
         def bounds(batches):
-            """For each query block and pivot the least distance a candidate may have from it, given the k-th score."""
+            """For each query block and pivot its own range of distances, and the range that a hit may lie in."""
             for b in batches:
                 for r in b.to_pylist():
-                    x = _unpack(r["q_rows"], width).astype(np.float64)
-                    beats = np.array([np.iinfo(np.int64).min if e["kth"] is None else e["kth"] for e in r["beats"]], np.int64)
+                    x = _unpack(r["rows"], dims, kind).astype(np.float64)
                     norm = (x * x).sum(1)
-                    unknown = beats == np.iinfo(np.int64).min
-                    reach = np.sqrt(np.maximum(0.0, norm + most - 2.0 * beats)) * (1 + 1e-9) + 1e-6
-                    reach[unknown] = np.inf
+                    reach = np.full(len(x), np.inf)
+                    for e in r["beat"]:
+                        i = e["at"]
+                        reach[i] = np.sqrt(max(0.0, norm[i] + most - 2.0 * e["score"])) * (1 + 1e-9) + 1e-6
                     d = distances(np.column_stack([x, np.zeros(len(x))]), pivots)
+                    n = len(pivots)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["q"]] * len(pivots), pa.int64()), pa.array(range(len(pivots)), pa.int32()), pa.array((d - reach[:, None]).min(0)), pa.array((d + reach[:, None]).max(0)), pa.array([beats.tobytes()] * len(pivots), pa.binary())],
-                        names=["q", "pivot", "from", "upto", "beat"],
+                        [pa.array([r["q"]] * n, pa.int64()), pa.array(range(n), pa.int32()), *map(pa.array, (d.min(0), d.max(0), (d - reach[:, None]).min(0), (d + reach[:, None]).max(0)))],
+                        names=["q", "pivot", "q_low", "q_high", "from", "upto"],
                     )
 
-        limits = known.select("q", "q_rows", "beats").mapInArrow(bounds, "q long, pivot int, `from` double, upto double, beat binary")
-        summary = self.blocks.select("block", "pivot", "low", "high")
-        todo = limits.join(summary, "pivot").where("high >= `from` AND low <= upto").join(first, ["q", "block"], "left_anti").select("q", "block", "beat")
-        n = partitions_for(self.rows, 8)
-        todo = stored(todo, "visits").repartition(n, "q", "block")
-        return todo.join(q, "q").join(self.blocks.select("block", "ids", "rows"), "block").select("q_ids", "q_rows", "ids", "rows", "beat").mapInArrow(run, schema)
+        limits = q.join(beats, "q").select("q", "rows", "beat").mapInArrow(bounds, "q long, pivot int, q_low double, q_high double, `from` double, upto double")
+        # pivots are few, so query blocks are dealt by salts; an annulus is a few numbers here
+        limits = limits.withColumn("salt", F.pmod("q", F.lit(self.parts)))
+        summary = self.blocks.select("block", "pivot", "low", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.parts - 1).cast("long"))).alias("salt"))
+        open_ = limits.join(summary, ["pivot", "salt"]).where("high >= `from` AND low <= upto")
+        if visited is not None:
+            open_ = open_.join(visited, ["q", "block"], "left_anti")
+        gap = F.greatest(F.col("low") - F.col("q_high"), F.col("q_low") - F.col("high"), F.lit(0.0))
+        order = Window.partitionBy("q").orderBy(gap, "block")
+        return stored(open_.select("q", "block", F.row_number().over(order).alias("n")).where(F.col("n") <= width).select("q", "block"), "visits")
+
+    def _visit(self, q: DataFrame, beats: DataFrame, todo: DataFrame, k: int) -> DataFrame:
+        """q, at, vec_id, score: for each query and annulus the hits, k at most, that come before the query's k-th so far.
+
+        A block is sent once for each part of the query blocks that visit it and held by the task while they pass."""
+        width, kind = self.width, self.kind
+        todo = todo.withColumn("part", F.pmod("q", F.lit(PARTS)))
+        no = F.lit(None)
+        index = self.blocks.join(todo.select("block", "part").distinct(), "block").select("block", "part", no.cast("long").alias("q"), "ids", "own", "rows", no.cast(beats.schema["beat"].dataType).alias("beat"))
+        asked = todo.join(q.select("q", "ids", "own", "rows"), "q").join(beats, "q").select("block", "part", "q", "ids", "own", "rows", "beat")
+        n = max(partitions_for(self.rows, 8), self.parts)
+        both = index.unionByName(asked).repartition(n, "block", "part").sortWithinPartitions("block", "part", F.asc_nulls_first("q"))
+
+        def found(r, ids, own, x):
+            s = scores(_unpack(r["rows"], width, kind), x)
+            least, first = np.full(len(s), np.iinfo(np.int64).min), np.full(len(s), np.iinfo(np.int64).max)
+            for e in r["beat"]:
+                least[e["at"]], first[e["at"]] = e["score"], e["vec_id"]
+            for i, me in enumerate(r["own"]):
+                row = s[i]
+                take = np.flatnonzero((row > least[i]) | ((row == least[i]) & (ids < first[i])))
+                take = take[own[take] != me]
+                if len(take) > k:
+                    level = np.partition(row[take], len(take) - k)[len(take) - k]
+                    take = take[row[take] >= level]
+                take = take[np.lexsort((ids[take], -row[take]))[:k]]
+                yield from zip([r["q"]] * len(take), [i] * len(take), ids[take].tolist(), row[take].tolist(), strict=True)
+
+        def run(batches):
+            ids = own = x = None
+            for b in batches:
+                rows = []
+                for j in range(b.num_rows):
+                    r = b.slice(j, 1).to_pylist()[0]
+                    if r["q"] is None:
+                        ids, own, x = np.array(r["ids"], np.int64), np.array(r["own"], np.int64), _unpack(r["rows"], width, kind)
+                    else:
+                        rows += found(r, ids, own, x)
+                columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["q", "at", "vec_id", "score"])
+
+        return both.mapInArrow(run, "q long, at int, vec_id long, score long")
 
     @staticmethod
     def _top(hits: DataFrame, k: int) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        ranked = hits.select("query_id", "vec_id", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
-        return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        order = Window.partitionBy("q", "at").orderBy(F.desc("score"), "vec_id")
+        return hits.select("q", "at", "vec_id", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
 def _blocks(keyed: DataFrame, most: int) -> DataFrame:
     """Packs sorted rows of one pivot, at most so many, into one row. Block numbers hold the task's partition."""
+    schema = pa.schema([("block", pa.int64()), ("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("rows", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -202,12 +236,9 @@ def _blocks(keyed: DataFrame, most: int) -> DataFrame:
             nonlocal number, held
             number += 1
             d = [r["dist"] for r in held]
-            out = pa.RecordBatch.from_pylist(
-                [{"block": number, "pivot": held[0]["pivot"], "low": min(d), "high": max(d), "ids": [r["vec_id"] for r in held], "rows": b"".join(r["row"] for r in held)}],
-                schema=pa.schema([("block", pa.int64()), ("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.list_(pa.int64())), ("rows", pa.binary())]),
-            )
+            one = {"block": number, "pivot": held[0]["pivot"], "low": min(d), "high": max(d), "ids": [r["vec_id"] for r in held], "own": [r["own"] for r in held], "rows": b"".join(r["row"] for r in held)}
             held = []
-            return out
+            return pa.RecordBatch.from_pylist([one], schema=schema)
 
         for b in batches:
             for r in b.to_pylist():
@@ -217,7 +248,7 @@ def _blocks(keyed: DataFrame, most: int) -> DataFrame:
         if held:
             yield block()
 
-    return keyed.mapInArrow(run, "block long, pivot int, low double, high double, ids array<long>, rows binary")
+    return keyed.mapInArrow(run, "block long, pivot int, low double, high double, ids array<long>, own array<long>, rows binary")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
