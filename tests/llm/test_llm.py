@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import bpe, common, katz, katz_packed, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter, vector_search, warc
+from graphloom.llm import bpe, common, katz, katz_packed, near_dedup, packing, pretokens, quality_classifier, quality_rules, toxicity, url_filter, vector_search, warc
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -112,7 +112,7 @@ def test_top_k_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(1000 + i, [0.5] * 6) for i in range(50)]
     rows += [(2000, None), (2020, [1.0, float("nan")] + [0.0] * 4), (2040, [None] + [1.0] * 5), (2060, [float("inf")] + [1.0] * 5), (2080, [])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     out = vector_search.top_k(v, v.where("vec_id % 20 = 0").select("vec_id"), 20).collect()
     x = {i: np.floor(np.float32(e).astype(float) * 64).astype(int) for i, e in rows if e is not None and all(y is not None and np.isfinite(y) for y in e)}
     x[2080] = np.zeros(6, int)
@@ -123,6 +123,28 @@ def test_top_k_with_ties_and_bad_vectors(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == sorted(want)
 
 
+def test_top_k_knows_rows_that_repeat_an_id(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "BLOCK", 7)
+    monkeypatch.setattr(vector_search, "QUERIES", 3)
+    rng = np.random.default_rng(3)
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 0.0]), (40, [0.5, 0.5]), (None, [9.0, 9.0])] + [(int(i) % 37, [float(x) for x in rng.normal(size=2)]) for i in range(120)]
+    rows += [(100 + i, [3.0, 3.0]) for i in range(60)]  # many copies of a vector that is high for most
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x")).repartition(3)
+    index = vector_search.Index(v)
+    out = index.search(v.where("vec_id % 20 = 0").select("vec_id"), 4)
+    x = [(i, np.floor(np.float32(e).astype(float) * 64).astype(int)) for i, e in rows if i is not None]
+    want = []
+    for a, (q, own) in enumerate(x):
+        if q % 20 == 0:
+            best = sorted((-int(own @ e), j) for b, (j, e) in enumerate(x) if b != a)[:4]
+            want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == sorted(want)
+    queries, blocks = -(-sum(i % 20 == 0 for i, _ in x) // 3), index.blocks.count()
+    assert 0 < index.visits < queries * blocks  # the bounds leave annuli out
+    assert vector_search.top_k(v.limit(0), v.limit(0).select("vec_id")).count() == 0
+    assert vector_search.top_k(v.where("vec_id IS NULL"), v.select("vec_id")).count() == 0
+
+
 def _groups(texts):
     sets = {}
     for i, t in texts.items():
@@ -157,7 +179,14 @@ def test_near_duplicates(spark, docs, real):
     assert near_dedup.group(docs.limit(0)).count() == 0
 
 
-def test_bpe_equals_the_library(docs, real):
+def test_near_duplicates_without_any_word(spark):
+    rows = [(1, None), (2, ""), (3, " \n\t "), (None, "  "), (2, "")]
+    for d in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows[:1], "doc_id long, text string")):
+        for r in near_dedup.group(d).collect():
+            assert (r.n_shingles, r.component_id, r.kept) == (0, r.doc_id, True)
+
+
+def test_bpe_equals_the_library(spark, docs, real):
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
@@ -169,6 +198,53 @@ def test_bpe_equals_the_library(docs, real):
     for r in bpe.digest_table(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect():
         ids = e.encode_ordinary(TEXTS[r.doc_id] or "")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    everything = docs.select("doc_id", "text").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
+    texts = {r.doc_id: r.text or "" for r in everything.collect()}
+    rows = bpe.digest_table(everything, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = e.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_merges_follow_each_pre_token_alone():
+    rng = np.random.default_rng(2)
+    ranks = {bytes([b]): b for b in range(256)}
+    while len(ranks) < 400:  # any join of two, so ranks needn't grow along a token
+        a, b = (list(ranks)[int(i)] for i in rng.choice([97, 98, 99, *range(256, len(ranks))], 2))
+        if len(a + b) <= 6 and a + b not in ranks:
+            ranks[a + b] = len(ranks)
+    order = rng.permutation(np.arange(256, 400)).tolist()
+    ranks = {t: r if r < 256 else order[r - 256] for t, r in ranks.items()}
+
+    def plain(piece):
+        parts = [bytes([b]) for b in piece]
+        while True:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+            if not found:
+                return [ranks[p] for p in parts]
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    pieces = [bytes(rng.choice([97, 98, 99], n).astype(np.uint8)) for n in rng.integers(1, 40, 300)] + [b"a" * 500, b"", b"ab" * 300]
+    assert [np.frombuffer(x, "<i4").tolist() for x in bpe.Merges(ranks).encode(pieces)] == [plain(p) for p in pieces]
+    assert bpe.Merges(ranks).encode([]) == []
+
+
+@pytest.mark.parametrize("pattern", [P.PATTERN, P.PATTERN + "|x"])
+def test_pre_tokens_equal_the_pattern(pattern):
+    import regex
+
+    rng, parts = np.random.default_rng(4), ["a", "s", "t", "'", "'s", "'re", "'ll", "'ve", " ", "  ", "\n", "\u00a0", "1", "२", "é", "中", "!", "😀", "\x1c", "\u0301", "<|endoftext|>", "<|"]
+    find, plain, own = regex.compile(pattern).findall, pretokens.Cutter(pattern), pretokens.Cutter(pattern, ("<|endoftext|>",))
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(rng.integers(0, 6))]
+        column = pa.array(["before", *texts], pa.string()).slice(1)
+        split = [regex.split(r"(<\|endoftext\|>)", t or "") for t in texts]
+        for cutter, want in ((plain, [find(t or "") for t in texts]), (own, [[x for k, s in enumerate(t) for x in ([s] if k % 2 else find(s))] for t in split])):
+            at, pieces = cutter.cut(column)
+            assert [[x.decode() for x in pieces.to_pylist()[a:b]] for a, b in zip(at, at[1:], strict=False)] == want
 
 
 def test_warc_round_trip(spark):
@@ -194,7 +270,6 @@ def test_packing_is_complete_and_near_full(docs, real):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for d in (docs, real):
         pieces, rows = defaultdict(list), packing.pack(d, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
         for r in rows:
