@@ -10,12 +10,23 @@ def _order(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("graph_id").cast("string")))
 
 
+def ranked(rows: DataFrame, part: list[str], place: str, key: str) -> DataFrame:
+    """rows with rn, the rank from 0 by (place, key) within part, and n, the size of part. place is a hexadecimal hash: its first two
+    digits are buckets whose sizes are summed up apart, so that no task sorts a whole part."""
+    rows = rows.withColumn("bucket", F.substring(place, 1, 2))
+    sizes = rows.groupBy(*part, "bucket").agg(F.count("*").alias("m"))
+    all_ = Window.partitionBy(*part)  # 256 rows a part
+    sizes = sizes.withColumn("n", F.sum("m").over(all_)).withColumn("before", F.coalesce(F.sum("m").over(all_.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = Window.partitionBy(*part, "bucket").orderBy(place, key)
+    found = rows.withColumn("own", F.row_number().over(own)).join(sizes.drop("m"), [*part, "bucket"])
+    return found.withColumn("rn", F.col("before") + F.col("own") - 1).drop("bucket", "before", "own", place)
+
+
 def kfold(graphs: DataFrame, folds: int, test_tenths: int = 3, seed: int = 37, stratify: str | None = None) -> DataFrame:
     """fold, role, graph_id. Test is floor(tenths * n / 10) of all (or of each class), alike in every fold; the rest is dealt into
     folds of floor(n' / folds), the remainder to the last fold, or with classes to the fold of the class's rank."""
-    part = [F.col(stratify)] if stratify else [F.lit(0)]
-    w = Window.partitionBy(*part)
-    d = graphs.select("graph_id", *([stratify] if stratify else [])).withColumn("rn", F.row_number().over(w.orderBy(_order(seed), "graph_id")) - 1).withColumn("n", F.count("*").over(w))
+    part = [stratify] if stratify else []
+    d = ranked(graphs.select("graph_id", *part).withColumn("place", _order(seed)), part, "place", "graph_id")
     d = d.withColumn("n_test", F.floor(F.col("n") * test_tenths / 10))
     home = F.lit(folds - 1)
     if stratify:
@@ -47,6 +58,11 @@ def best(results: DataFrame, metric: str) -> DataFrame:
     return results.where(F.col(metric) > 0).orderBy(F.desc(metric), "experiment_idx").limit(1)
 
 
+def best_epoch_by_metric(runs: DataFrame, keys: list[str], metric: str = "val_acc") -> DataFrame:
+    """keys, best_epoch, best: the first epoch with the greatest metric."""
+    return runs.groupBy(*keys).agg(F.max_by("epoch", F.struct(metric, F.negative("epoch"))).alias("best_epoch"), F.max(metric).alias("best"))
+
+
 def best_epoch(runs: DataFrame, keys: list[str], loss: str = "val_loss") -> DataFrame:
     return runs.groupBy(*keys).agg(F.min_by("epoch", F.struct(loss, "epoch")).alias("best_epoch"), F.min(loss).alias("best_loss"))
 
@@ -74,6 +90,49 @@ def time_summary(times: DataFrame) -> DataFrame:
     return times.groupBy("event").agg(F.count(good).alias("measured"), F.avg(good).alias("mean_seconds"), (F.count(good) == F.count("*")).alias("complete"))
 
 
+def time_extent(times: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tasks, least, most and mean seconds, and their sum."""
+    s = F.col("seconds")
+    return times.groupBy(*keys).agg(F.count("*").alias("tasks"), F.min(s).alias("least"), F.max(s).alias("most"), F.avg(s).alias("mean"), F.sum(s).alias("total"))
+
+
+def time_maps(times: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, events: a map from event to seconds, the last of an event that repeats."""
+    last = times.groupBy(*keys, "event").agg(F.max_by("seconds", "place").alias("seconds"))
+    return last.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("event", "seconds")))).alias("events"))
+
+
+def mean_of_means(times: DataFrame, outer: str, inner: str) -> DataFrame:
+    """outer, mean: the mean of the inner groups' mean seconds."""
+    return times.groupBy(outer, inner).agg(F.avg("seconds").alias("m")).groupBy(outer).agg(F.avg("m").alias("mean"))
+
+
+def extract(results: DataFrame, column: str, **paths_) -> DataFrame:
+    """Columns by JSON path out of a column of JSON text, as numbers."""
+    return results.select("*", *[F.get_json_object(column, path).cast("double").alias(name) for name, path in paths_.items()])
+
+
+def usable_batches(batches: DataFrame) -> DataFrame:
+    """Batches of more than one vertex and more than one graph."""
+    return batches.where("n_vertices > 1 AND n_graphs > 1")
+
+
+def chained(later: DataFrame, earlier: DataFrame, path: str = "prev_result_path") -> DataFrame:
+    """later's rows with the best settings of the result that their path names (earlier: path, best); null where it is missing."""
+    return later.join(earlier.select(F.col("path").alias(path), "best"), path, "left")
+
+
+def named_results(files: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Result files (file, body) joined with the parameter grid (name, ...) that their file names begin with."""
+    own = files.withColumn("name", F.regexp_extract("file", "([^/]*)_res\\.json$", 1))
+    return own.join(parameters, "name")
+
+
+def result_name(dataset: Column, mode: Column, model: Column, norm: Column) -> Column:
+    """The title of an experiment: its parts with underscores between, and bn at the end with batch norm."""
+    return F.concat_ws("_", dataset, mode, model, F.when(norm, F.lit("bn")))
+
+
 def accuracy(rows: DataFrame) -> DataFrame:
     """Share of pred = y over rows with a label (null and NaN aren't)."""
     y = F.col("y").cast("double")

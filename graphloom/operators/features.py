@@ -39,10 +39,13 @@ def vertex_counts(g, dist: DataFrame) -> DataFrame:
     return reached.unionByName(rest.where("cnt > 0"))
 
 
-def dense(counts: DataFrame, ids: list[str], slot, width: int) -> DataFrame:
-    """ids + features array<double>: slot is the expression of the place of a count; places out of range are dropped."""
+def dense(counts: DataFrame, ids: list[str], slot, width: int, every: DataFrame | None = None) -> DataFrame:
+    """ids + features array<double>: slot is the expression of the place of a count; places out of range are dropped. Rows of
+    `every` (ids) without any count get zeros."""
     s = counts.withColumn("slot", slot.cast("int")).where(F.col("slot").between(0, width - 1))
     m = s.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.col("cnt").cast("double")))).alias("m"))
+    if every is not None:
+        m = every.select(*ids).join(m, ids, "left").withColumn("m", F.coalesce("m", F.expr("CAST(map() AS map<int, double>)")))
     return m.select(*ids, F.expr(f"transform(sequence(0, {width - 1}), i -> coalesce(try_element_at(m, i), 0D))").alias("features"))
 
 
@@ -84,31 +87,86 @@ def histogram(colours: DataFrame) -> DataFrame:
     return colours.groupBy("graph_id", "round", "colour").agg(F.count("*").alias("cnt"))
 
 
+def normalised_histogram(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts over the length of their key's vector of counts."""
+    length = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("length"))
+    return counts.join(length, keys).withColumn("value", F.col("cnt") / F.col("length")).drop("length")
+
+
+def frequencies(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, frequencies: the counts of a key's colours, largest first."""
+    return counts.groupBy(*keys).agg(F.sort_array(F.collect_list("cnt"), False).alias("frequencies"))
+
+
 def atomic_types(g, labels: int) -> DataFrame:
     """graph_id, v1, v2, type of every ordered pair of a graph: 2 * labels * l1 + 2 * l2 + (1 if adjacent)."""
-    a = g.vertices.select("graph_id", F.col("vertex_id").alias("v1"), F.col("label").alias("l1"))
-    b = g.vertices.select("graph_id", F.col("vertex_id").alias("v2"), F.col("label").alias("l2"))
-    e = g.edges.select("graph_id", F.col("src").alias("v1"), F.col("dst").alias("v2"), F.lit(1).alias("edge"))
+    return pair_types(g.vertices, g.edges, labels, ["graph_id"])
+
+
+def pair_types(vertices: DataFrame, edges: DataFrame, labels: int, keys: list[str]) -> DataFrame:
+    """atomic_types of the graphs that the keys tell apart: vertices (keys, vertex_id, label), edges (keys, src, dst)."""
+    a = vertices.select(*keys, F.col("vertex_id").alias("v1"), F.col("label").alias("l1"))
+    b = vertices.select(*keys, F.col("vertex_id").alias("v2"), F.col("label").alias("l2"))
+    e = edges.select(*keys, F.col("src").alias("v1"), F.col("dst").alias("v2"), F.lit(1).alias("edge"))
     kind = 2 * labels * F.col("l1") + 2 * F.col("l2") + F.coalesce("edge", F.lit(0))
-    return a.join(b, "graph_id").join(e, ["graph_id", "v1", "v2"], "left").select("graph_id", "v1", "v2", kind.cast("int").alias("type"))
+    return a.join(b, keys).join(e, [*keys, "v1", "v2"], "left").select(*keys, "v1", "v2", kind.cast("int").alias("type"))
 
 
 def wl2(g, labels: int, rounds: int) -> DataFrame:
-    """graph_id, v1, v2, colour of pairs after some rounds: md5 of the own colour and of the sorted colours in v1's row and
-    v2's column. Rows and columns are gathered once a vertex, not once a pair."""
-    c = cut(atomic_types(g, labels).select("graph_id", "v1", "v2", F.md5(F.col("type").cast("string")).alias("colour")))
+    """graph_id, v1, v2, colour of pairs after some rounds."""
+    return pair_colours(atomic_types(g, labels), rounds, ["graph_id"])
+
+
+def pair_colours(types: DataFrame, rounds: int, keys: list[str]) -> DataFrame:
+    """keys, v1, v2, colour: md5 of the own colour and of the sorted colours in v1's row and v2's column. Rows and columns are
+    gathered once a vertex, not once a pair."""
+    c = cut(types.select(*keys, "v1", "v2", F.md5(F.col("type").cast("string")).alias("colour")))
     for _ in range(rounds):
         gathered = F.md5(F.array_join(F.array_sort(F.collect_list("colour")), ","))
-        row, column = c.groupBy("graph_id", "v1").agg(gathered.alias("row")), c.groupBy("graph_id", "v2").agg(gathered.alias("column"))
-        c = cut(c.join(row, ["graph_id", "v1"]).join(column, ["graph_id", "v2"]).select("graph_id", "v1", "v2", F.md5(F.concat_ws("|", "colour", "row", "column")).alias("colour")))
+        row, column = c.groupBy(*keys, "v1").agg(gathered.alias("row")), c.groupBy(*keys, "v2").agg(gathered.alias("column"))
+        c = cut(c.join(row, [*keys, "v1"]).join(column, [*keys, "v2"]).select(*keys, "v1", "v2", F.md5(F.concat_ws("|", "colour", "row", "column")).alias("colour")))
     return c
 
 
-def disk_sp(g, k: int) -> DataFrame:
-    d = cut(paths.graph_distances(g, k))
+def subgraph_wl2(g, nodes: DataFrame, labels: int, rounds: int) -> DataFrame:
+    """graph_id, root, colour, cnt: how often each pair colour occurs in the subgraph that a root's nodes induce."""
+    keys = ["graph_id", "root"]
+    nodes = cut(nodes.select("graph_id", "root", "v"))
+    own = nodes.join(g.vertices.withColumnRenamed("vertex_id", "v"), ["graph_id", "v"]).select(*keys, F.col("v").alias("vertex_id"), "label")
+    colours = pair_colours(pair_types(own, paths.induced(nodes, g.edges), labels, keys), rounds, keys)
+    return colours.groupBy(*keys, "colour").agg(F.count("*").alias("cnt"))
+
+
+def unique_vectors(vectors: DataFrame, key: str = "graph_id", column: str = "features") -> DataFrame:
+    """key, unique_id (the least key with an equal vector), copies: how many rows have it."""
+    same = vectors.groupBy(column).agg(F.min(key).alias("unique_id"), F.count("*").alias("copies"))
+    return vectors.join(same, column).select(key, "unique_id", "copies")
+
+
+def without_pairs(g, counts: DataFrame) -> DataFrame:
+    """counts and, for each vertex whose subgraph is empty or has one vertex only, a row of -1 with cnt 0."""
+    none = F.lit(-1)
+    rest = g.vertices.select("graph_id", F.col("vertex_id").alias("root")).join(counts.select("graph_id", "root"), ["graph_id", "root"], "left_anti")
+    kind = counts.schema
+    return counts.unionByName(rest.select("graph_id", "root", *[none.cast(kind[c].dataType).alias(c) for c in ("l1", "l2", "d")], F.lit(0).cast("long").alias("cnt")))
+
+
+def disk_sp(g, k: int, roots: DataFrame | None = None) -> DataFrame:
+    """pair_counts of the k-disks of all vertices, or of the given roots (graph_id, root)."""
+    d = cut(paths.graph_distances(g, k, roots))
     return pair_counts(g, d, paths.induced_distances(d, g.edges, 2 * k))
 
 
-def ring_sp(g, r: int, s: int, depth: int | None = None) -> DataFrame:
-    nodes = cut(paths.ring(paths.graph_distances(g, s), r, s))
+def ring_sp(g, r: int, s: int, depth: int | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """pair_counts of the rings of vertices at distance r to s."""
+    nodes = cut(paths.ring(paths.graph_distances(g, s, roots), r, s))
     return pair_counts(g, nodes, paths.induced_distances(nodes, g.edges, depth))
+
+
+def vertex_sp_vectors(g, labels: int, most: int, roots: DataFrame | None = None) -> DataFrame:
+    """graph_id, vertex_id, features: counts of other vertices by (label, distance), distances -1 and 1 to `most`."""
+    counts = vertex_counts(g, paths.graph_distances(g, None, roots))
+    if roots is not None:
+        counts = counts.join(roots.select("graph_id", F.col("root").alias("vertex_id")), ["graph_id", "vertex_id"], "left_semi")
+    slot = F.col("label") * (most + 1) + F.when(F.col("d") < 0, 0).otherwise(F.col("d"))
+    return dense(counts, ["graph_id", "vertex_id"], slot, labels * (most + 1), counts.select("graph_id", "vertex_id").distinct())

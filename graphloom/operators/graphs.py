@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans import dealt
+
 
 @dataclass
 class Graphs:
@@ -48,6 +50,20 @@ def degrees(g: Graphs) -> DataFrame:
     return g.vertices.select("graph_id", "vertex_id").join(d, ["graph_id", "vertex_id"], "left").fillna(0, ["degree"])
 
 
+def alphabet(g: Graphs) -> DataFrame:
+    """label: every label once."""
+    return g.vertices.select("label").distinct()
+
+
+def labels_by_graph(g: Graphs) -> DataFrame:
+    return g.vertices.groupBy("graph_id").agg(F.count_distinct("label").alias("labels"))
+
+
+def classes(g: Graphs) -> DataFrame:
+    """y, first_graph, n of each class."""
+    return g.graphs.groupBy("y").agg(F.min("graph_id").alias("first_graph"), F.count("*").alias("n"))
+
+
 def properties(g: Graphs) -> DataFrame:
     """One row of totals and of average, least and most size and number of labels."""
     by = g.vertices.groupBy("graph_id").agg(F.count("*").alias("size"), F.count_distinct("label").alias("labels"))
@@ -85,7 +101,26 @@ def database_index(g: Graphs, samples: DataFrame) -> DataFrame:
     return v.join(s.select("graph_id", start.alias("start")), "graph_id").select("graph_id", "vertex_id", (F.col("start") + F.col("position")).cast("long").alias("database_idx"))
 
 
-def circular_skip_links(spark: SparkSession, n: int = 41, skips=(2, 3, 4, 5, 6, 9, 11, 12, 13, 16)) -> Graphs:
+def mapped(g: Graphs, vertices=None, edges=None) -> Graphs:
+    """Each graph after a map of its vertices and one of its edges (DataFrame to DataFrame with the same columns)."""
+    return Graphs(vertices(g.vertices) if vertices else g.vertices, edges(g.edges) if edges else g.edges, g.graphs)
+
+
+def settled(g: Graphs) -> Graphs:
+    """The same graphs, computed once: vertices and edges are checkpointed, dealt by graph and (start) vertex."""
+    return Graphs(dealt(g.vertices, "graph_id", "vertex_id"), dealt(g.edges, "graph_id", "src"), g.graphs)
+
+
+def located(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """dataset_idx, graph_id, vertex_id of the given rows of the dataset (dataset_idx)."""
+    return index.join(rows.select("dataset_idx"), "dataset_idx").select("dataset_idx", "graph_id", "vertex_id")
+
+
+#: Skip lengths of the ten classes (fixed values).
+SKIPS = (2, 3, 4, 5, 6, 9, 11, 12, 13, 16)
+
+
+def circular_skip_links(spark: SparkSession, n: int = 41, skips=SKIPS) -> Graphs:
     """A cycle of n vertices with skip links for each class; all labels 0."""
     ids = spark.createDataFrame(list(enumerate(skips)), "graph_id long, skip long").crossJoin(spark.range(n).withColumnRenamed("id", "vertex_id"))
     half = ids.select("graph_id", F.col("vertex_id").alias("src"), F.explode(F.array((F.col("vertex_id") + 1) % n, (F.col("vertex_id") + F.col("skip")) % n)).alias("dst"))

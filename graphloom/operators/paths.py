@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans import cut, grow
+from graphloom.plans import cut, dealt, grow
 
 
 def distances(roots: DataFrame, edges: DataFrame, keys: list[str], depth: int | None) -> DataFrame:
-    """keys + (root, v, d): unweighted distances from every root over edges (keys, src, dst), up to depth or all.
+    """keys + (root, v, d): unweighted distances from every root over edges (keys, src, dst), up to depth or all. Roots that come
+    with a column v begin there: a root with several rows is a set of vertices, and distances are from the nearest of them.
 
-    A level joins the newest rows with the edges and keeps what neither of the last two levels has: in an undirected graph a
+    The edges are dealt by their start once, so that a level moves only its own rows. A level joins the newest rows with the edges and keeps what neither of the last two levels has: in an undirected graph a
     neighbour of level k lies on level k-1, k or k+1, so no join with all earlier levels is needed."""
     key = [*keys, "root"]
-    levels = {0: cut(roots.select(*keys, "root", F.col("root").alias("v"), F.lit(0).alias("d")))}
+    levels = {0: cut(roots.select(*keys, "root", F.col("v" if "v" in roots.columns else "root").alias("v"), F.lit(0).alias("d")).distinct())}
+    edges = dealt(edges.select(*keys, "src", "dst"), *keys, "src")
 
     def step(newest: DataFrame, k: int) -> DataFrame:
         reached = newest.withColumnRenamed("v", "src").join(edges, [*keys, "src"]).select(*key, F.col("dst").alias("v")).distinct()
@@ -27,9 +29,10 @@ def distances(roots: DataFrame, edges: DataFrame, keys: list[str], depth: int |
     return grow(levels[0], step, depth)
 
 
-def graph_distances(g, depth: int | None) -> DataFrame:
-    """graph_id, root, v, d from every vertex."""
-    return distances(g.vertices.select("graph_id", F.col("vertex_id").alias("root")), g.edges, ["graph_id"], depth)
+def graph_distances(g, depth: int | None, roots: DataFrame | None = None) -> DataFrame:
+    """graph_id, root, v, d from every vertex, or from the given roots (graph_id, root) alone."""
+    every = g.vertices.select("graph_id", F.col("vertex_id").alias("root"))
+    return distances(every if roots is None else every.join(roots.select("graph_id", "root"), ["graph_id", "root"], "left_semi"), g.edges, ["graph_id"], depth)
 
 
 def ring(dist: DataFrame, r: int, s: int) -> DataFrame:
@@ -66,6 +69,13 @@ def diameters(g, dist: DataFrame) -> DataFrame:
     return n.join(reach, "graph_id").select("graph_id", whole.alias("connected"), F.when(whole, F.col("far")).alias("diameter"))
 
 
+def diameter_stats(by_graph: DataFrame) -> DataFrame:
+    """One row over the rows of diameters: graphs, connected graphs, and of the connected ones' diameters the least, the greatest, their
+    mean, and their sum over all graphs. The first three are null where no graph is connected."""
+    d = F.col("diameter")
+    return by_graph.agg(F.count("*").alias("num_graphs"), F.count(d).alias("num_connected"), F.min(d).alias("diameter_min"), F.max(d).alias("diameter_max"), F.avg(d).alias("avg_connected"), (F.sum(F.coalesce(d, F.lit(0))) / F.count("*")).alias("avg_all"))
+
+
 def components(vertices: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """(id, comp): least id reachable over symmetric (a, b), by least neighbours and pointer jumping."""
     labels = cut(vertices.select(F.col(key).alias("id"), F.col(key).alias("comp")))

@@ -25,19 +25,22 @@ GRAPHS = """li AS (SELECT o_custkey g, l_orderkey o, l_partkey p, row_number() O
         WHERE true QUALIFY c_custkey IN (SELECT graph_id FROM vertices))"""
 
 
-def bfs(depth: int) -> str:
-    return f"""walk(graph_id, root, v, d) AS (SELECT graph_id, vertex_id, vertex_id, 0 FROM vertices
-        UNION SELECT w.graph_id, root, dst, d + 1 FROM walk w JOIN edges e ON w.graph_id = e.graph_id AND w.v = e.src WHERE d < {depth}),
-    dist AS (SELECT graph_id, root, v, min(d)::INT d FROM walk GROUP BY ALL)"""
+def bfs(depth: int | None) -> str:
+    """Distances up to depth, or all: a key is reached once, so the recursion ends by itself."""
+    near = f" AND w.d < {depth}" if depth is not None else ""
+    return f"""dist(graph_id, root, v, d) USING KEY (graph_id, root, v) AS (SELECT graph_id, vertex_id, vertex_id, 0 FROM vertices
+        UNION SELECT w.graph_id, w.root, e.dst, min(w.d) + 1 FROM dist w JOIN edges e ON w.graph_id = e.graph_id AND w.v = e.src{near}
+        WHERE NOT EXISTS (FROM recurring.dist r WHERE r.graph_id = w.graph_id AND r.root = w.root AND r.v = e.dst) GROUP BY ALL)"""
 
 
-def inner_bfs(nodes: str, depth: int) -> str:
+def inner_bfs(nodes: str, depth: int | None) -> str:
+    near = f" AND w.d < {depth}" if depth is not None else ""
     return f"""nodes AS ({nodes}),
     own AS (SELECT a.graph_id, a.root, e.src, e.dst FROM nodes a JOIN edges e ON a.graph_id = e.graph_id AND a.v = e.src
         JOIN nodes b ON b.graph_id = a.graph_id AND b.root = a.root AND b.v = e.dst),
-    iwalk(graph_id, root, u, v, d) AS (SELECT graph_id, root, v, v, 0 FROM nodes UNION SELECT w.graph_id, w.root, u, dst, d + 1
-        FROM iwalk w JOIN own e ON w.graph_id = e.graph_id AND w.root = e.root AND w.v = e.src WHERE d < {depth}),
-    idist AS (SELECT graph_id, root, u, v, min(d)::INT d FROM iwalk GROUP BY ALL),
+    idist(graph_id, root, u, v, d) USING KEY (graph_id, root, u, v) AS (SELECT graph_id, root, v, v, 0 FROM nodes UNION SELECT w.graph_id, w.root, w.u, e.dst, min(w.d) + 1
+        FROM idist w JOIN own e ON w.graph_id = e.graph_id AND w.root = e.root AND w.v = e.src{near}
+        WHERE NOT EXISTS (FROM recurring.idist r WHERE r.graph_id = w.graph_id AND r.root = w.root AND r.u = w.u AND r.v = e.dst) GROUP BY ALL),
     pairs AS (SELECT a.graph_id, a.root, least(x.label, y.label) l1, greatest(x.label, y.label) l2, coalesce(i.d, -1)::INT d
         FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id AND a.root = b.root AND a.v > b.v
         JOIN vertices x ON x.graph_id = a.graph_id AND x.vertex_id = a.v JOIN vertices y ON y.graph_id = b.graph_id AND y.vertex_id = b.v
@@ -81,17 +84,17 @@ def graph_properties(spark, d: str) -> DataFrame:
 
 @query(_sql(GRAPHS, select="SELECT DISTINCT label FROM vertices"))
 def label_alphabet(spark, d: str) -> DataFrame:
-    return customer_graphs(spark, d).vertices.select("label").distinct()
+    return gr.alphabet(customer_graphs(spark, d))
 
 
 @query(_sql(GRAPHS, select="SELECT graph_id, count(DISTINCT label) AS labels FROM vertices GROUP BY 1"))
 def labels_per_graph(spark, d: str) -> DataFrame:
-    return customer_graphs(spark, d).vertices.groupBy("graph_id").agg(F.count_distinct("label").alias("labels"))
+    return gr.labels_by_graph(customer_graphs(spark, d))
 
 
 @query(_sql(GRAPHS, select="SELECT y, min(graph_id) AS first_graph, count(*) AS n FROM graphs GROUP BY 1"))
 def classes(spark, d: str) -> DataFrame:
-    return customer_graphs(spark, d).graphs.groupBy("y").agg(F.min("graph_id").alias("first_graph"), F.count("*").alias("n"))
+    return gr.classes(customer_graphs(spark, d))
 
 
 @query(_sql(GRAPHS, select="SELECT graph_id, src, dst FROM edges"))
@@ -142,66 +145,117 @@ def one_hot_labels(spark, d: str) -> DataFrame:
 
 @query(_sql(GRAPHS, bfs(3), select="SELECT graph_id, root, v, d FROM dist"))
 def bfs_distances(spark, d: str) -> DataFrame:
-    return pa.graph_distances(customer_graphs(spark, d), 3)
+    return pa.graph_distances(gr.settled(customer_graphs(spark, d)), 3)
 
 
 @query(_sql(GRAPHS, bfs(2), select="SELECT graph_id, root, v, row_number() OVER (PARTITION BY graph_id, root ORDER BY v) - 1 AS new_id FROM dist"))
 def induced_k_disk_nodes(spark, d: str) -> DataFrame:
-    return pa.relabelled(pa.graph_distances(customer_graphs(spark, d), 2))
+    return pa.relabelled(pa.graph_distances(gr.settled(customer_graphs(spark, d)), 2))
 
 
 @query(_sql(GRAPHS, bfs(2), select="""SELECT a.graph_id, a.root, src, dst FROM dist a JOIN edges e ON a.graph_id = e.graph_id AND a.v = src
     JOIN dist b ON b.graph_id = a.graph_id AND b.root = a.root AND b.v = dst"""))
 def induced_k_disk_edges(spark, d: str) -> DataFrame:
-    g = customer_graphs(spark, d)
+    g = gr.settled(customer_graphs(spark, d))
     return pa.induced(pa.graph_distances(g, 2), g.edges)
 
 
 @query(_sql(GRAPHS, bfs(3), select="SELECT graph_id, root, v, d FROM dist WHERE d BETWEEN 2 AND 3"))
 def ring_nodes(spark, d: str) -> DataFrame:
-    return pa.ring(pa.graph_distances(customer_graphs(spark, d), 3), 2, 3)
+    return pa.ring(pa.graph_distances(gr.settled(customer_graphs(spark, d)), 3), 2, 3)
 
 
 @query(_sql(GRAPHS, bfs(3), "n AS (SELECT * FROM dist WHERE d BETWEEN 2 AND 3)", select="""SELECT a.graph_id, a.root, src, dst FROM n a
     JOIN edges e ON a.graph_id = e.graph_id AND a.v = src JOIN n b ON b.graph_id = a.graph_id AND b.root = a.root AND b.v = dst"""))
 def ring_edges(spark, d: str) -> DataFrame:
-    g = customer_graphs(spark, d)
+    g = gr.settled(customer_graphs(spark, d))
     return pa.induced(pa.ring(pa.graph_distances(g, 3), 2, 3), g.edges)
 
 
-@query()
+_DIAMETERS = """far AS (SELECT graph_id, count(*) pairs, max(d) far FROM dist GROUP BY 1), size AS (SELECT graph_id, count(*) n FROM vertices GROUP BY 1),
+    di AS (SELECT graph_id, pairs = n * n AS connected, CASE WHEN pairs = n * n THEN far END::INT AS diameter FROM far JOIN size USING (graph_id))"""
+
+
+@query(_sql(GRAPHS, bfs(None), _DIAMETERS, select="SELECT graph_id, connected, coalesce(diameter, -1)::INT AS diameter FROM di"))
 def graph_diameter(spark, d: str) -> DataFrame:
-    g = customer_graphs(spark, d)
-    return pa.diameters(g, pa.graph_distances(g, None))
+    g = gr.settled(customer_graphs(spark, d))
+    return pa.diameters(g, pa.graph_distances(g, None)).fillna(-1, ["diameter"])
+
+
+@query(_sql(GRAPHS, bfs(None), _DIAMETERS, select="""SELECT count(*) AS num_graphs, count(diameter) AS num_connected, min(diameter) AS diameter_min, max(diameter) AS diameter_max,
+    round(avg(diameter), 6) AS avg_connected, round(sum(coalesce(diameter, 0)) / count(*), 6) AS avg_all FROM di"""))
+def diameter_stats(spark, d: str) -> DataFrame:
+    g = gr.settled(customer_graphs(spark, d))
+    return pa.diameter_stats(pa.diameters(g, pa.graph_distances(g, None))).withColumns({c: F.round(c, 6) for c in ("avg_connected", "avg_all")})
+
+
+@query(_sql(GRAPHS, "ends AS (SELECT DISTINCT graph_id, 0::BIGINT AS root, vertex_id v FROM vertices WHERE label = 0)",
+    """w(graph_id, root, v, d) USING KEY (graph_id, root, v) AS (SELECT graph_id, root, v, 0 FROM ends UNION SELECT w.graph_id, w.root, e.dst, min(w.d) + 1 FROM w JOIN edges e ON w.graph_id = e.graph_id AND w.v = e.src
+        WHERE NOT EXISTS (FROM recurring.w r WHERE r.graph_id = w.graph_id AND r.root = w.root AND r.v = e.dst) GROUP BY ALL)""", select="SELECT graph_id, v, d FROM w WHERE d BETWEEN 1 AND 2"))
+def multi_root_ring(spark, d: str) -> DataFrame:
+    """Vertices one or two steps from the nearest vertex of label 0."""
+    g = gr.settled(customer_graphs(spark, d))
+    starts = g.vertices.where("label = 0").select("graph_id", F.lit(0).cast("long").alias("root"), F.col("vertex_id").alias("v"))
+    return pa.ring(pa.distances(starts, g.edges, ["graph_id"], 2), 1, 2).select("graph_id", "v", "d")
 
 
 # shortest-path features -----------------------------------------------------------------------------------------------
 
 
-@query(_sql(GRAPHS, bfs(4), """c AS (SELECT a.graph_id, a.vertex_id, b.label, coalesce(x.d, -1)::INT d FROM vertices a JOIN vertices b ON a.graph_id = b.graph_id AND a.vertex_id <> b.vertex_id
-    LEFT JOIN dist x ON x.graph_id = a.graph_id AND x.root = a.vertex_id AND x.v = b.vertex_id)""", select="SELECT graph_id, vertex_id, label, d, count(*) AS cnt FROM c GROUP BY ALL"))
+_VERTEX_SP = """c AS (SELECT a.graph_id, a.vertex_id, b.label, coalesce(x.d, -1)::INT d FROM vertices a JOIN vertices b ON a.graph_id = b.graph_id AND a.vertex_id <> b.vertex_id
+    LEFT JOIN dist x ON x.graph_id = a.graph_id AND x.root = a.vertex_id AND x.v = b.vertex_id)"""
+
+
+@query(_sql(GRAPHS, bfs(None), _VERTEX_SP, select="SELECT graph_id, vertex_id, label, d, count(*) AS cnt FROM c GROUP BY ALL"))
 def vertex_sp_long(spark, d: str) -> DataFrame:
-    g = customer_graphs(spark, d)
-    return ft.vertex_counts(g, pa.graph_distances(g, 4))
+    g = gr.settled(customer_graphs(spark, d))
+    return ft.vertex_counts(g, pa.graph_distances(g, None))
+
+
+@query(_sql(GRAPHS, bfs(None), _VERTEX_SP, select="SELECT graph_id, vertex_id, (label * 21 + greatest(d, 0))::INT AS slot, count(*)::DOUBLE AS value FROM c WHERE d <= 20 GROUP BY ALL"))
+def vertex_sp_vector(spark, d: str) -> DataFrame:
+    """The cells that aren't 0 of vectors over three labels and distances up to 20."""
+    v = ft.vertex_sp_vectors(gr.settled(customer_graphs(spark, d)), 3, 20)
+    return v.select("graph_id", "vertex_id", F.posexplode("features").alias("slot", "value")).where("value <> 0")
+
+
+@query(_sql(GRAPHS, bfs(None), _VERTEX_SP, "r AS (SELECT graph_id, min(vertex_id) vertex_id FROM vertices GROUP BY 1)",
+    select="SELECT graph_id, vertex_id, (label * 21 + greatest(d, 0))::INT AS slot, count(*)::DOUBLE AS value FROM c JOIN r USING (graph_id, vertex_id) WHERE d <= 20 GROUP BY ALL"))
+def single_vertex_sp(spark, d: str) -> DataFrame:
+    """As vertex_sp_vector, on the fly for the first vertex of each graph."""
+    g = gr.settled(customer_graphs(spark, d))
+    first = g.vertices.groupBy("graph_id").agg(F.min("vertex_id").alias("root"))
+    return ft.vertex_sp_vectors(g, 3, 20, first).select("graph_id", "vertex_id", F.posexplode("features").alias("slot", "value")).where("value <> 0")
+
 
+@query(_sql(GRAPHS, bfs(2), inner_bfs("SELECT graph_id, root, v FROM dist JOIN (SELECT graph_id, min(vertex_id) root FROM vertices GROUP BY 1) USING (graph_id, root)", None), select="SELECT graph_id, root, l1, l2, d, count(*) AS cnt FROM pairs GROUP BY ALL"))
+def single_kdisk_sp(spark, d: str) -> DataFrame:
+    """As kdisk_sp_long, on the fly for the first vertex of each graph."""
+    g = gr.settled(customer_graphs(spark, d))
+    return ft.disk_sp(g, 2, g.vertices.groupBy("graph_id").agg(F.min("vertex_id").alias("root")))
 
-@query(_sql(GRAPHS, bfs(2), inner_bfs("SELECT graph_id, root, v FROM dist", 4), select="SELECT graph_id, root, l1, l2, d, count(*) AS cnt FROM pairs GROUP BY ALL"))
+
+@query(_sql(GRAPHS, bfs(2), inner_bfs("SELECT graph_id, root, v FROM dist", None), select="SELECT graph_id, root, l1, l2, d, count(*) AS cnt FROM pairs GROUP BY ALL"))
 def kdisk_sp_long(spark, d: str) -> DataFrame:
-    return ft.disk_sp(customer_graphs(spark, d), 2)
+    return ft.disk_sp(gr.settled(customer_graphs(spark, d)), 2)
 
 
-@query(_sql(GRAPHS, bfs(2), inner_bfs("SELECT graph_id, root, v FROM dist WHERE d >= 1", 8), select="SELECT graph_id, root, l1, l2, d, count(*) AS cnt FROM pairs GROUP BY ALL"))
+@query(_sql(GRAPHS, bfs(2), inner_bfs("SELECT graph_id, root, v FROM dist WHERE d >= 1", None), select="""SELECT graph_id, root, l1, l2, d, count(*) AS cnt FROM pairs GROUP BY ALL
+    UNION ALL SELECT graph_id, vertex_id, -1, -1, -1, 0 FROM vertices WHERE (graph_id, vertex_id) NOT IN (SELECT graph_id, root FROM pairs)"""))
 def ring_sp_long(spark, d: str) -> DataFrame:
-    return ft.ring_sp(customer_graphs(spark, d), 1, 2, 8)
+    """Rings without a pair, empty ones too, have a row of -1 with cnt 0."""
+    g = gr.settled(customer_graphs(spark, d))
+    return ft.without_pairs(g, ft.ring_sp(g, 1, 2))
+
 
 
 def _disk_vectors(spark, d: str, k: int = 1) -> DataFrame:
     width = 2 * k + 3  # distances -1, 0 .. 2k + 1
-    counts = ft.disk_sp(customer_graphs(spark, d), k)
+    counts = ft.disk_sp(gr.settled(customer_graphs(spark, d)), k)
     return ft.dense(counts, ["graph_id", "root"], (F.col("l1") * 3 + F.col("l2")) * width + F.col("d") + 1, 9 * width)
 
 
-_SLOTS = _sql(GRAPHS, bfs(1), inner_bfs("SELECT graph_id, root, v FROM dist", 2), "s AS (SELECT graph_id, root, (l1 * 3 + l2) * 5 + d + 1 AS slot, count(*) AS cnt FROM pairs GROUP BY ALL)", select="{}")
+_SLOTS = _sql(GRAPHS, bfs(1), inner_bfs("SELECT graph_id, root, v FROM dist", None), "s AS (SELECT graph_id, root, (l1 * 3 + l2) * 5 + d + 1 AS slot, count(*) AS cnt FROM pairs GROUP BY ALL)", select="{}")
 
 
 @query(_SLOTS.format("SELECT graph_id, root, slot::INT AS slot, cnt::DOUBLE AS value FROM s"))
@@ -232,12 +286,12 @@ _WL = _sql(GRAPHS, "w0 AS (SELECT graph_id, vertex_id, md5(label::VARCHAR) AS co
 
 @query(_WL.format("SELECT graph_id, vertex_id, round::INT AS round, colour FROM wl"))
 def wl1_colors(spark, d: str) -> DataFrame:
-    return ft.wl1(customer_graphs(spark, d), 2)
+    return ft.wl1(gr.settled(customer_graphs(spark, d)), 2)
 
 
 @query(_WL.format("SELECT graph_id, round::INT AS round, colour, count(*) AS cnt FROM wl GROUP BY ALL"))
 def wl1_histogram(spark, d: str) -> DataFrame:
-    return ft.histogram(ft.wl1(customer_graphs(spark, d), 2))
+    return ft.histogram(ft.wl1(gr.settled(customer_graphs(spark, d)), 2))
 
 
 _TYPES = """types AS (SELECT a.graph_id, a.vertex_id v1, b.vertex_id v2, (6 * a.label + 2 * b.label + (e.src IS NOT NULL)::INT)::INT AS type
@@ -560,20 +614,20 @@ def _mlp(seed: int):
 
 @query()
 def gin_forward(spark, d: str) -> DataFrame:
-    g = customer_graphs(spark, d)
+    g = gr.settled(customer_graphs(spark, d))
     return _long(le.gin_forward(_states(g), g.edges, [_mlp(1), _mlp(2)]), ["graph_id"], "pools")
 
 
 @query()
 def gin_forward_partitioned(spark, d: str) -> DataFrame:
-    g = customer_graphs(spark, d)
+    g = gr.settled(customer_graphs(spark, d))
     h = _states(g).join(g.vertices.select("graph_id", "vertex_id", F.col("label").alias("cluster_id")), ["graph_id", "vertex_id"])
     return _long(le.gin_forward(h, g.edges, [{c: _mlp(c) for c in range(3)}]), ["graph_id"], "pools")
 
 
 @query()
 def train_models(spark, d: str) -> DataFrame:
-    g = customer_graphs(spark, d)
+    g = gr.settled(customer_graphs(spark, d))
     x = le.pooled(le.gin_sum(_states(g), g.edges)).withColumnRenamed("h", "features")
     rows = ex.kfold(g.graphs, 3).join(x, "graph_id").join(g.graphs, "graph_id").select("fold", "role", "features", "y")
     return le.train_grid(rows, ex.grid(spark, lr=[0.1, 0.5], epochs=[20]))
