@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from graphloom import queries
+from graphloom import catalog as queries
 
 SF = "/root/testdata/sf0.001"
 
