@@ -9,6 +9,8 @@
 
 Neither labels nor lang, source or doc_id are inputs of a score. Null and empty texts get the score of a text without any feature. A
 null doc_id counts as an empty id in the folds. Labels other than 0 and 1, or null, aren't used; without usable labels every score is 0.
+Rows are scored one by one, whole texts of any length and rows that repeat an id too; where labels repeat an id, toxic wins. An empty
+table gives no rows. Of the documents only doc_id and text are read, of the labels doc_id and toxic: other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import fold, slices, stored, words_of
 from graphloom.llm.linear import logistic, sigmoid
 
-#: Bounds of the fit: labelled rows (in expectation), candidates for the lexicons, lexicon entries.
-SAMPLE, CANDIDATES, FEATURES = 20_000, 4096, 512
+#: Bound of the fit: labelled rows (in expectation). What is learnt from them has no bound of its own.
+SAMPLE = 20_000
 #: A candidate is in so many toxic texts, and this share of the texts that have it is toxic. An entry is added while it marks
 #: so many toxic texts that have fewer than COVER entries so far.
 LEAST, PRECISION, COVER = 4, 0.9, 4
@@ -39,8 +41,7 @@ def features_of(word: str) -> list[str]:
     """Features of one white-space word: its letter runs and their stems."""
     out = []
     for w in _letters(word.lower()):
-        if len(w) <= 40:
-            out.append("w" + w)
+        out.append("w" + w)
         if len(w) >= 4:
             out.append("4" + w[:4])
         if len(w) >= 5:
@@ -75,19 +76,19 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["f", "n", "t"])
 
 
-def lexicon(sample: DataFrame, most: int = FEATURES) -> list[str]:
+def lexicon(sample: DataFrame) -> list[str]:
     """Entries that between them mark each toxic text several times, chosen greedily, so that rare words which only
     happen to stand in toxic texts beside a marking stem aren't entries. A chosen stem stands for its longer forms."""
     counted = sample.mapInArrow(_count, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     marked = counted.where((F.col("t") >= LEAST) & (F.col("t") >= PRECISION * F.col("n") + 0.4))
-    names = [r.f for r in marked.orderBy(F.desc("t"), F.length("f"), "f").limit(CANDIDATES).collect()]
+    names = [r.f for r in marked.orderBy(F.desc("t"), F.length("f"), "f").collect()]  # of the bounded sample
     rows = sample.where("y = 1").select("text").mapInArrow(_evidence({f: i for i, f in enumerate(names)}), _EVIDENCE).select("features").collect()
     has: list[list[int]] = [[] for _ in names]
     for i, r in enumerate(rows):
         for f in r.features:
             has[f].append(i)
     cover, gain, out = [0] * len(rows), [len(x) for x in has], []
-    while names and len(out) < most:
+    while names:
         f = max(range(len(names)), key=gain.__getitem__)
         gain[f] = sum(cover[i] < COVER for i in has[f])
         if gain[f] < max(gain):
