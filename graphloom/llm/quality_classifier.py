@@ -1,12 +1,15 @@
 """Quality classifier by co-training.
 
 Two views of a document: measures of its text, and its metadata (lang, source, n_chars). A classifier for each view is fitted
-on labelled rows; over some rounds each names the unlabelled rows it is surest of, and these pseudo-labels join the other's
-training rows. Both are then calibrated on a held-out fold and combined there by a logistic model of their logits.
-
-Everything that touches the corpus is a built-in expression: the measures, and the fitted models as sums of steps. Only bounded
-samples of measures (no texts) come to the driver. Null texts count as empty, null metadata is a value of its own, labels other than
-0 and 1 aren't used; without usable labels of both classes every score is 1 and every row is kept.
+on labelled rows; over some rounds each judges all unlabelled rows, and those it is sure of join the other's training rows with its
+judgement as their label. Both are then calibrated on a held-out fold and combined there by a logistic model of their logits.
+
+Everything that touches the corpus is a built-in expression: the measures, which are stored once, and the fitted models as sums of steps.
+Bounded samples of measures (no texts) come to the driver: of the labelled rows, and of the rows that a view is sure of in a round.
+Null texts count as empty, null metadata is a value of its own, labels other than 0 and 1 aren't used; without usable labels of both
+classes every score is 1 and every row is kept. Rows are judged one by one, whole texts of any length and rows that repeat an id or have
+none too; where labels repeat an id, the lower label wins. An empty table gives no rows. Of the documents doc_id, text, lang, source
+and n_chars are read, of the labels doc_id and quality: other columns may have any name.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold
+from graphloom.llm.common import fold, stored
 from graphloom.llm.linear import logistic, platt, sigmoid, step_edges
 
-#: Bounds of the fit, in expectation: labelled rows and unlabelled rows.
-SAMPLE, POOL = 20_000, 20_000
-#: Co-training rounds, and the share of the pool that each view labels in a round.
-ROUNDS, SHARE = 5, 0.05
+#: Bounds of the fit, in expectation: labelled rows, and rows with a label by a view, of all that the view is sure of in a round.
+SAMPLE, PSEUDO = 20_000, 2_000
+#: Co-training rounds, the share of the unlabelled rows that each view labels in a round, and how sure it must be.
+ROUNDS, SHARE, SURE = 5, 0.05, 0.95
 SOURCES, LANGS = 64, 16
 #: Rows with a combined probability of good quality under this are rejected.
 THRESHOLD = 0.5
@@ -121,46 +124,56 @@ class Model:
         return both.select("doc_id", prob(F.col("zt")).alias("text_score"), prob(F.col("zm")).alias("metadata_score"), prob(F.col("zt") * a + F.col("zm") * b + c).alias("score"))
 
 
-def samples(docs: DataFrame, labels: DataFrame, trains):
-    """Measures of about SAMPLE labelled training rows (with y and cal, the calibration fold) and about POOL others."""
-    usable = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("y")).where("y IN (0, 1) AND _id IS NOT NULL").where(trains(F.col("_id")))
-    usable = usable.groupBy("_id").agg(F.min("y").alias("y"))
-    n, total = usable.count(), docs.count()
-    of = lambda most, n: int((1 << 20) * min(1.0, most / max(1, n)))
-    part = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1 << 20))
-    picked = usable.where(part(F.col("_id"), 1) < of(SAMPLE, n))
-    known = measured(docs.join(F.broadcast(picked), docs["doc_id"] == F.col("_id"), "left_semi"))
-    known = known.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("*", (fold(F.col("doc_id")) == 1).alias("cal")).toPandas()
-    pool = measured(docs.where((part(F.col("doc_id"), 2) < of(POOL, total)) & trains(F.col("doc_id")))).toPandas()
-    return known, pool[~pool["doc_id"].isin(known["doc_id"])]
+def usable(labels: DataFrame, trains) -> DataFrame:
+    """(_id, y) of the labels that may be learnt from."""
+    rows = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("y")).where("y IN (0, 1) AND _id IS NOT NULL").where(trains(F.col("_id")))
+    return rows.groupBy("_id").agg(F.min("y").alias("y"))
+
+
+def _part(c, salt: int) -> Column:
+    return F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1 << 20))
+
+
+def _share(most: float, n: int) -> int:
+    return int((1 << 20) * min(1.0, most / max(1, n)))
 
 
-def train(docs: DataFrame, labels: DataFrame, trains=lambda c: fold(c) != 0) -> Model | None:
-    known, pool = samples(docs, labels, trains)
+def train(rows: DataFrame, labels: DataFrame, trains=lambda c: fold(c) != 0) -> Model | None:
+    """rows: a stored table of measured()."""
+    known = usable(labels, trains)
+    n = known.count()
+    picked = F.broadcast(known.where(_part(F.col("_id"), 1) < _share(SAMPLE, n)))
+    known = rows.join(picked, rows["doc_id"] == F.col("_id")).select("*", (fold(F.col("doc_id")) == 1).alias("cal")).toPandas()
     fit, cal = known[~known["cal"]], known[known["cal"]]
     if len(set(fit["y"])) < 2:
         return None
+    free = rows.join(picked, rows["doc_id"] == F.col("_id"), "left_anti").where(trains(F.col("doc_id")))
+    total = free.count()
     views = [View.over(fit, TEXT, {}), View.over(fit, META[:1], {"source": SOURCES, "lang": LANGS})]
     y = fit["y"].to_numpy(float)
     own = [v.matrix(fit) for v in views]
-    free = [v.matrix(pool) for v in views]
-    extra: list[dict[int, float]] = [{}, {}]  # pool row -> pseudo-label, for each view's training
+    extra: list[dict] = [{}, {}]  # (id, measures) -> (its indicators, label by the other view), for each view's training
     base = y.mean()
-    for _ in range(ROUNDS + 1):
-        for v, x, f, e in zip(views, own, free, extra, strict=True):
-            at = np.fromiter(e, np.int64, len(e))
-            v.fit(np.concatenate([x, f[at]]), np.concatenate([y, np.array([e[i] for i in at])]))
-        for k, v in enumerate(views):
-            p = sigmoid(v.logit(free[k]))
-            n = int(SHARE * len(p))
-            order = np.argsort(p, kind="stable")
-            n_bad = round(n * (1 - base))
-            for i in order[:n_bad]:
-                if p[i] < 0.05:
-                    extra[1 - k][int(i)] = 0.0
-            for i in order[len(order) - (n - n_bad) :]:
-                if p[i] > 0.95:
-                    extra[1 - k][int(i)] = 1.0
+    for turn in range(ROUNDS + 1):
+        for v, x, e in zip(views, own, extra, strict=True):
+            found = list(e.values())
+            v.fit(np.concatenate([x, *[f[None] for f, _ in found]]), np.concatenate([y, [p for _, p in found]]))
+        if turn == ROUNDS or not total:
+            continue
+        want = min(PSEUDO, SHARE * total)
+        prob = [1 / (1 + F.exp(-v.column())) for v in views]
+        sure = [(k, label, p < 1 - SURE if label == 0 else p > SURE) for k, p in enumerate(prob) for label in (0, 1)]
+        counts = free.agg(*[F.count_if(c) for _, _, c in sure]).first()
+        least = F.lit(False)
+        marks = []
+        for (k, label, c), m in zip(sure, counts, strict=True):
+            marks.append(c & (_part(F.col("doc_id"), 10 + turn) < _share(want * (base if label else 1 - base), m)))
+            least = least | marks[-1]
+        new = free.where(least).select("*", *[m.alias(f"m{i}") for i, m in enumerate(marks)]).toPandas()
+        for i, (k, label, _) in enumerate(sure):
+            rows_ = new[new[f"m{i}"]]
+            keys = zip(rows_["doc_id"].tolist(), rows_["log_words"].tolist(), rows_["log_chars"].tolist(), strict=True)
+            extra[1 - k].update(zip(keys, ((f, float(label)) for f in views[1 - k].matrix(rows_)), strict=True))
     held = cal if len(set(cal["y"])) == 2 else fit
     truth = held["y"].to_numpy(float)
     z = []
@@ -172,15 +185,15 @@ def train(docs: DataFrame, labels: DataFrame, trains=lambda c: fold(c) != 0) ->
     return Model(views[0], views[1], (max(0.0, float(w[0])), max(0.0, float(w[1])), c))
 
 
-def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_score, metadata_score, score, kept for each row."""
+def judge(rows: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_score, metadata_score, score, kept for each row of measured()."""
     if model is None:
         one = F.lit(1.0)
-        return docs.select("doc_id", one.alias("text_score"), one.alias("metadata_score"), one.alias("score"), F.lit(True).alias("kept"))
-    return model.scored(measured(docs)).withColumn("kept", F.col("score") >= threshold)
+        return rows.select("doc_id", one.alias("text_score"), one.alias("metadata_score"), one.alias("score"), F.lit(True).alias("kept"))
+    return model.scored(rows).withColumn("kept", F.col("score") >= threshold)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs, model).withColumn("held_out", fold(F.col("doc_id")) == 0)
+    rows = stored(measured(spark.read.parquet(f"{sf_dir}/documents.parquet")), "measured")
+    model = train(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(rows, model).withColumn("held_out", fold(F.col("doc_id")) == 0)
