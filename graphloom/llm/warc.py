@@ -9,7 +9,9 @@ Reading: a member is inflated in small steps, its record framed by Content-Lengt
 verified; a wrong frame or digest is an error. Files are rows of Spark's binary source, so lost tasks read them again.
 
 Null html is an empty payload, a null url has no target header. A null page_id never is the smallest; repeated rows of the
-smallest page_id all are responses.
+smallest page_id all are responses. A payload of any length is one record, held whole by the task that writes or reads it; an archive's
+size is bounded by its records' mean stored size. An empty table gives archives without records. Only page_id, url and html are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh_path, slices
+from graphloom.llm.common import fresh_path, plan_bytes, slices
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-#: Bytes given to the inflater at a time; records in one file at most.
-STEP, FILE_RECORDS = 1 << 16, 20_000
+#: Bytes given to the inflater at a time; stored bytes of a file's records (on average) and records in one file at most.
+STEP, FILE_BYTES, FILE_RECORDS = 1 << 16, 32_000_000, 20_000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -126,7 +128,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
 
     made = plan_records(pages, least_bytes).mapInArrow(run, "member binary")
     rows = made.select(F.col("member").cast("string").alias("value"))
-    rows.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    each = plan_bytes(pages.select("url", "html")) / max(1, pages.count())
+    records = int(max(1, min(FILE_RECORDS, FILE_BYTES / max(1.0, each))))
+    rows.write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
     _name_archives(pages.sparkSession, path)
     return path
 
