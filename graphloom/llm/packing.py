@@ -7,7 +7,9 @@ in constant time for each place; windows whose length is a power of two need no
 
 The scan's own partitions are packed as they stand: no shuffle, and a rerun of a task gives the same rows. The stream is
 solved in runs of bounded length whose last window stays open for the next run, so memory doesn't grow with the input.
-Null texts count as empty and still get their closing id; nothing is cut off or dropped.
+Null texts count as empty and still get their closing id; nothing is cut off or dropped. A document of any length is held whole by its
+task. Rows that repeat a doc_id, or have none, are documents of their own, told apart by sequence and offset. An empty table gives no
+rows. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
 Every metric is a built-in expression, so the whole operator is a scan with a projection: no shuffle, no user function.
-Null or empty texts have no words, all counts 0 and fail the base rule. Repeated rows are judged alike, each on its own.
+Null or empty texts have no words, all counts 0 and fail the base rule. Repeated rows are judged alike, each on its own. Texts are
+judged whole; an empty table gives no rows. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -68,8 +69,7 @@ def _repeated_windows() -> Column:
     )
 
 
-#: Counts of the base rule, and metrics of the table, over the columns of with_counts.
-COUNTS: dict[str, Column] = {}
+#: Metrics of the table, over the columns of with_counts and _with_measures.
 METRICS: dict[str, str] = {
     "n_words": "n_words",
     "mean_word_chars": "word_chars / greatest(n_words, 1)",
@@ -114,7 +114,7 @@ def compile_rules(rules=RULES) -> Column:
 
 
 def judge(docs: DataFrame, rules=RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, the counts, the metrics, base_failed and kept for each row of docs; other columns of docs are not carried."""
+    """doc_id, the counts, base_failed and kept for each row of docs; other columns of docs are not carried."""
     d = with_counts(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text")
     d = _with_measures(d)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -7,7 +7,7 @@ from graphloom.llm.katz_packed import op1_katz
 from graphloom.llm.near_dedup import op3_near_dedup
 from graphloom.llm.packing import op7_packing
 from graphloom.llm.quality_classifier import op9_quality_classifier
-from graphloom.llm.quality_rules import op10_quality_rules
+from graphloom.llm.quality_rules import STOP_WORDS, op10_quality_rules
 from graphloom.llm.toxicity import op6_toxicity
 from graphloom.llm.url_filter import op8_url_filter
 from graphloom.llm.vector_search import op2_top_k
@@ -21,7 +21,34 @@ QUERIES = {
 WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWER)} AS w FROM documents),
+        s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+        k AS (SELECT s, min(doc_id) AS c FROM s WHERE len(s) > 0 GROUP BY s), e AS (SELECT c, len(s) AS n, unnest(s) AS x FROM k),
+        l AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        comp(c, label) USING KEY (c) AS (SELECT c, c FROM k UNION SELECT l.b, min(x.label) FROM comp x JOIN l ON l.a = x.c JOIN recurring.comp r ON r.c = l.b WHERE x.label < r.label GROUP BY l.b)
+        SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(label, doc_id) AS component_id, coalesce(label, doc_id) = doc_id AS kept FROM s LEFT JOIN k ON s.s = k.s LEFT JOIN comp ON k.c = comp.c""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+        d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first,
+              array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) % 32 + 1)::INT, 1)), '') AS payload_digest FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+    "op10_quality_rules": f"""
+        WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, {WORDS.format(text="t")} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+        g AS (SELECT id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 5),
+        r AS (SELECT id, count(DISTINCT i + k) AS n FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS n FROM g) JOIN range(5) o(k) ON n > 1 GROUP BY 1),
+        m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, greatest(len(w), 1)::DOUBLE AS nw,
+              len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&<>]'))) AS symbol_words, len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 1)) AS shouts,
+              len(list_filter(w, lambda x: x = '|')) AS pipes, len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS stops, length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS alphas FROM w LEFT JOIN r USING (id)),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words <= 200000 AND word_chars / nw BETWEEN 2 AND 14 AND symbol_words / nw <= 0.3 AND shouts / nw <= 0.5
+            AND pipes / nw <= 0.25 AND stops / nw >= 0.02 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND alphas / greatest(word_chars, 1) >= 0.5 AS kept FROM b""",
     "op2_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score

@@ -7,7 +7,9 @@ seed word; the endings that rules are made of (top-level label and first path pa
 
 Tokens are hashed into a fixed number of buckets, so the odds are two fixed arrays. Urls meet the words of their runs of letters in
 a join, whose frequent keys are dealt by salts. A null url or one
-without "://" has an empty host and path, no rule and no word, and is allowed.
+without "://" has an empty host and path, no rule and no word, and is allowed. Null html gives no words. Rows are judged one by one, urls
+of any length and rows that repeat a page_id or have none too; without any rule or seed among the urls every other url is allowed, and an
+empty table gives no rows. Only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
