@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import near_dedup, packing, quality_classifier, toxicity
-from graphloom.llm.common import fresh_path
+from graphloom.llm.common import fresh_path, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies link from this similarity on, in per cent.
+PERCENT = 80
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +18,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    model = quality_classifier.train(docs, _labels(spark, sf_dir))
+    """Documents that the quality classifier doesn't reject, every row with its own columns. Without usable labels all stay; null and
+    empty texts are judged by their measures like any other; an empty table stays empty."""
+    model = quality_classifier.train(stored(quality_classifier.measured(docs), "measured"), _labels(spark, sf_dir))
     if model is None:
         return docs.select(*COLUMNS)
     rows = quality_classifier.measured(docs, keep=COLUMNS)
@@ -26,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't judged toxic."""
+    """Documents that aren't judged toxic, every row with its own columns. Without usable labels, or without any text, all stay."""
     return toxicity.clean(docs.select(*COLUMNS), toxicity.train(docs, _labels(spark, sf_dir)))
 
 
@@ -36,7 +39,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null = F.col("doc_id").isNull()
     worded = F.col("n_shingles") > 0
     unit = F.when(null, F.when(worded, F.col("component")).otherwise(F.col("row")))
-    kept = near_dedup.grouped(docs).where("kept").groupBy("doc_id", unit.alias("unit"), (null & worded).alias("in_group"))
+    kept = near_dedup.grouped(docs, percent=PERCENT).where("kept").groupBy("doc_id", unit.alias("unit"), (null & worded).alias("in_group"))
     kept = kept.agg(F.min(F.struct(~worded, "row")).alias("best")).select("best.row")
     rows = docs.select(*COLUMNS, near_dedup.row_key(F.col("doc_id"), F.col("text")).alias("row"))
     rows = rows.where(~null).unionByName(rows.where(null).dropDuplicates(["row"]))  # copies without an id would meet in one task
@@ -44,7 +47,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 ids."""
+    """Pieces of the documents in sequences of at most 1024 ids. A null or empty text is one closing id; an empty table gives no rows."""
     import public_tokenizers
 
     return packing.pack_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -56,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of sf_dir, each written as Parquet in the shared folder and read back by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
