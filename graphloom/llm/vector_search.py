@@ -5,7 +5,7 @@ least Euclidean distance. Each vector is keyed by its nearest pivot and its dist
 neighbouring distance (annuli) become index blocks with their range of distances. Queries are dealt into blocks too.
 
 The search goes in rounds. Each visits, for every query block, the annuli next in the order of their distance from it: one in the
-first round, four times as many in each further one. A round leaves every query a k-th score to beat. By the triangle inequality an
+first round, eight times as many in each further one. A round leaves every query a k-th score to beat. By the triangle inequality an
 annulus [low, high] of pivot p is no nearer to query q than max(d(q,p) - high, low - d(q,p), 0); annuli that by this bound can't
 reach the k-th score of any query of a block are never visited, and the search stops when none is left. Scores are exact: integers
 in doubles below 2^53, in 64-bit integers above. Ties go to the smaller vec_id, and only hits that come before the k-th by (score,
@@ -30,7 +30,7 @@ SCALE, K, EVERY = 64, 20, 20
 #: Bounded sample for the pivots, their number, and the rows of an index block and a query block.
 SAMPLE, PIVOTS, BLOCK, QUERIES = 4096, 32, 2048, 256
 #: So many times more annuli are visited in a round than in the one before; parts that a visited block's queries are dealt to.
-WIDER, PARTS = 4, 8
+WIDER, PARTS = 8, 8
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -117,9 +117,9 @@ class Index:
         own = self.keyed.join(queries.distinct(), "vec_id", "left_semi")
         q = stored(_blocks(self._sorted(own), QUERIES), "queries").withColumnRenamed("block", "q")
         best = visited = None
-        width = 1
+        width, left = 1, self.blocks.count()
         self.visits = 0
-        while True:
+        while left > 0:
             beats = self._beats(q, best, k)
             todo = self._near(q, beats, visited, width)
             if (n := todo.count()) == 0:
@@ -128,6 +128,7 @@ class Index:
             hits = self._visit(q, beats, todo, k)
             best = stored(self._top(hits if best is None else best.drop("rank").unionByName(hits), k), "best")
             visited = todo if visited is None else visited.unionByName(todo)
+            left -= width
             width *= WIDER
         ids = q.select("q", F.posexplode("ids").alias("at", "query_id"))
         if best is None:
