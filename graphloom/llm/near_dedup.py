@@ -35,8 +35,8 @@ HASHES = BANDS * ROWS
 PERCENT = 85
 #: Pairs whose estimate is this much under the threshold (over six standard errors) aren't confirmed.
 SLACK = 0.2
-#: Rounds of pivots before the sweep; members of a bucket compared at a time; columns of a block of indicators.
-ROUNDS, CHUNK, COLUMNS = 2, 384, 8192
+#: Rounds of pivots before the sweep; members of a bucket, and their shingles, in half a piece of it; columns of a block of indicators.
+ROUNDS, CHUNK, SHINGLES, COLUMNS = 2, 384, 2_000_000, 8192
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,7 +157,7 @@ class Search:
 
     def __init__(self, reps: DataFrame, rows: DataFrame, percent: int = PERCENT) -> None:
         self.percent = percent
-        keys = reps.select("id", F.explode("bands").alias("key"))
+        keys = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
         shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         self.keys = stored(keys.join(shared, "key", "left_semi"), "buckets")
         self.nodes = self.keys.select("id").distinct()
@@ -203,10 +203,10 @@ class Search:
 
     def sweep(self, comps: DataFrame) -> DataFrame:
         """Links (a, b) that join the components which still meet in a bucket: all its pairs are compared on the full sets,
-        at most 2 * CHUNK members at a time, and only links that join components leave a task."""
+        about 2 * CHUNK members or 2 * SHINGLES shingles of them at a time, and only links that join components leave a task."""
         rows = self.keys.join(comps, "id")
-        open_ = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least <> most")
-        rows = rows.join(open_.selectExpr("key", f"CAST(ceil(n / {CHUNK}) AS INT) AS m"), "key").withColumn("c", F.expr("CAST(pmod(xxhash64(id), m) AS INT)"))
+        open_ = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n"), F.sum("n_shingles").alias("all")).where("least <> most")
+        rows = rows.join(open_.selectExpr("key", f"CAST(least(n, ceil(greatest(n / {CHUNK}, all / {SHINGLES}))) AS INT) AS m"), "key").withColumn("c", F.expr("CAST(pmod(xxhash64(id), m) AS INT)"))
         dealt = rows.select("key", "id", "comp", F.explode(F.expr("transform(sequence(0, m - 1), j -> struct(least(c, j) AS i, greatest(c, j) AS j))")).alias("p"))
         full = dealt.select("key", "p.i", "p.j", "id", "comp").join(self.sets, "id")
         percent = self.percent
