@@ -3,7 +3,8 @@
 Writing: equal payloads are found by their SHA-1 (partial minimum of page_id before the shuffle); the smallest page_id
 becomes a response record, the others revisit records with its HTTP head and no payload. Each task makes members and
 Spark's text sink puts them into one file a task on whatever store Spark writes to: a member under 16 MB ends in a zero
-byte, which the sink supplies as its line end; after a larger member that zero is padding, which readers of gzip skip.
+byte, which the sink supplies as its line end; after a larger member that zero is padding, which readers of gzip skip. Small
+shuffle partitions are written together, as long as all cores have one to write, so that archives aren't many and tiny.
 
 Reading: a member is inflated in small steps, its record framed by Content-Length, and block and payload digests are
 verified; a wrong frame or digest is an error. Files are rows of Spark's binary source, so lost tasks read them again.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -128,9 +130,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
 
     made = plan_records(pages, least_bytes).mapInArrow(run, "member binary")
     rows = made.select(F.col("member").cast("string").alias("value"))
-    each = plan_bytes(pages.select("url", "html")) / max(1, pages.count())
-    records = int(max(1, min(FILE_RECORDS, FILE_BYTES / max(1.0, each))))
-    rows.write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
+    size = plan_bytes(pages.select("url", "html"))
+    records = int(max(1, min(FILE_RECORDS, FILE_BYTES * max(1, pages.count()) / max(1, size))))
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, min(1_000_000, math.ceil(size / FILE_BYTES)))
+    rows.coalesce(tasks).write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
     _name_archives(pages.sparkSession, path)
     return path
 
