@@ -31,8 +31,9 @@ from graphloom.llm.common import fresh_path, plan_bytes, slices
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-#: Bytes given to the inflater at a time; stored bytes of a file's records (on average) and records in one file at most.
-STEP, FILE_BYTES, FILE_RECORDS = 1 << 16, 32_000_000, 20_000
+#: Bytes given to the inflater at a time; stored bytes of a file's records (on average) and records in one file at most; stored
+#: bytes that a task writes at least, where there are enough of them for all cores.
+STEP, FILE_BYTES, FILE_RECORDS, TASK_BYTES = 1 << 16, 32_000_000, 20_000, 8_000_000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -132,7 +133,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
     rows = made.select(F.col("member").cast("string").alias("value"))
     size = plan_bytes(pages.select("url", "html"))
     records = int(max(1, min(FILE_RECORDS, FILE_BYTES * max(1, pages.count()) / max(1, size))))
-    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, min(1_000_000, math.ceil(size / FILE_BYTES)))
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, min(1_000_000, math.ceil(size / TASK_BYTES)))
     rows.coalesce(tasks).write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
     _name_archives(pages.sparkSession, path)
     return path
