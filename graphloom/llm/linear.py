@@ -20,7 +20,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2:
     w, b = np.zeros(d), float(np.log(p / (1 - p)))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, steps + 1):
-        err = share * (sigmoid(x @ w + b) - y)
+        err = (share * (sigmoid(x @ w.astype(x.dtype) + b) - y)).astype(x.dtype)  # in x's own type, or each product would copy x
         g = np.append(x.T @ err + l2 * w / weight.sum(), err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)

@@ -97,9 +97,12 @@ class View:
         """The calibrated logit as an expression."""
         z, k = F.lit(float(self.bias)), 0
         for c, edges in self.edges.items():
-            for e in edges:
-                z = z + F.when(F.col(c) >= F.lit(e), F.lit(float(self.weights[k]))).otherwise(F.lit(0.0))
-                k += 1
+            reached = np.cumsum(self.weights[k : k + len(edges)])
+            step = F
+            for e, w in zip(edges[::-1], reached[::-1], strict=True):  # edges ascend: the highest one reached counts for those below
+                step = step.when(F.col(c) >= F.lit(e), F.lit(float(w)))
+            z = z + step.otherwise(F.lit(0.0)) if edges else z
+            k += len(edges)
         for c, n in self.categories.items():
             z = z + F.element_at(F.array(*[F.lit(float(w)) for w in self.weights[k : k + n]]), F.col(c) + 1)
             k += n
@@ -143,7 +146,7 @@ def train(rows: DataFrame, labels: DataFrame, trains=lambda c: fold(c) != 0) ->
     known = usable(labels, trains)
     n = known.count()
     picked = F.broadcast(known.where(_part(F.col("_id"), 1) < _share(SAMPLE, n)))
-    known = rows.join(picked, rows["doc_id"] == F.col("_id")).select("*", (fold(F.col("doc_id")) == 1).alias("cal")).toPandas()
+    known = rows.join(picked, rows["doc_id"] == F.col("_id")).select("*", (fold(F.col("doc_id")) == 1).alias("cal")).toArrow().to_pandas()
     fit, cal = known[~known["cal"]], known[known["cal"]]
     if len(set(fit["y"])) < 2:
         return None
@@ -161,15 +164,16 @@ def train(rows: DataFrame, labels: DataFrame, trains=lambda c: fold(c) != 0) ->
         if turn == ROUNDS or not total:
             continue
         want = min(PSEUDO, SHARE * total)
-        prob = [1 / (1 + F.exp(-v.column())) for v in views]
-        sure = [(k, label, p < 1 - SURE if label == 0 else p > SURE) for k, p in enumerate(prob) for label in (0, 1)]
-        counts = free.agg(*[F.count_if(c) for _, _, c in sure]).first()
+        # columns of their own, so that a plan holds each model once and not for each use
+        judged = free.select("*", *[(1 / (1 + F.exp(-v.column()))).alias(f"p{k}") for k, v in enumerate(views)])
+        sure = [(k, label, F.col(f"p{k}") < 1 - SURE if label == 0 else F.col(f"p{k}") > SURE) for k in range(len(views)) for label in (0, 1)]
+        counts = judged.agg(*[F.count_if(c) for _, _, c in sure]).first()
         least = F.lit(False)
         marks = []
         for (k, label, c), m in zip(sure, counts, strict=True):
             marks.append(c & (_part(F.col("doc_id"), 10 + turn) < _share(want * (base if label else 1 - base), m)))
             least = least | marks[-1]
-        new = free.where(least).select("*", *[m.alias(f"m{i}") for i, m in enumerate(marks)]).toPandas()
+        new = judged.where(least).select("*", *[m.alias(f"m{i}") for i, m in enumerate(marks)]).toArrow().to_pandas()
         for i, (k, label, _) in enumerate(sure):
             rows_ = new[new[f"m{i}"]]
             keys = zip(rows_["doc_id"].tolist(), rows_["log_words"].tolist(), rows_["log_chars"].tolist(), strict=True)
