@@ -254,7 +254,7 @@ class Lloyd:
         centroids, dims = self.centroids, self.dims
 
         def run(batches):
-            ctree = cover_tree(centroids, leaf=1)
+            ctree = cover_tree(centroids, leaf=1) if len(centroids) else None  # without centroids there are no blocks
             for b in batches:
                 for i in range(b.num_rows):
                     ids, t = _loaded(b, i, dims)
