@@ -7,7 +7,7 @@ longest shared prefix, and a level moves rows that still have partners, not the
 decides anything (text_sha256 is output).
 
 The counts of a level are pre-aggregated in the map tasks and stored; only groups of two or more are kept. Rows find their group by a
-join on (group, bytes): a broadcast of the groups while they are BROADCAST at most, as counted, otherwise a shuffle whose hot groups AQE splits.
+join on (group, bytes): a broadcast of the groups while they have BROADCAST bytes at most, as summed, otherwise a shuffle whose hot groups AQE splits.
 A group of copies never meets in one task: its size and its largest id are aggregates.
 
 Null texts count as empty, and all empty texts are copies of each other. Of rows that tie in the largest doc_id exactly one stays;
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import lower_ascii, stored
 
-#: Bytes of the first digit, how many times wider each further one is, and groups that are broadcast at most (about 60 bytes each).
-FIRST, WIDER, BROADCAST = 32, 4, 200_000
+#: Bytes of the first digit, how many times wider each further one is, and bytes of groups that are broadcast at most, with
+#: about so many for each besides its digit.
+FIRST, WIDER, BROADCAST, BESIDES = 32, 4, 64_000_000, 240
 
 
 def normalised(text: Column) -> Column:
@@ -41,7 +42,8 @@ def _groups(active: DataFrame) -> tuple[DataFrame, bool]:
     """(group, digit, ended, to) of all groups of two or more that a level splits off, and whether they are few."""
     n = active.groupBy("group", "digit", "ended").agg(F.count("*").alias("n")).where("n > 1")
     found = stored(n.select("group", "digit", "ended", F.monotonically_increasing_id().alias("to")), "radix-groups")
-    return found, found.count() <= BROADCAST
+    size = found.agg(F.sum(F.length("digit") + BESIDES)).first()[0] or 0
+    return found, size <= BROADCAST
 
 
 def _split(active: DataFrame, found: DataFrame, few: bool, level: int, width: int) -> DataFrame:

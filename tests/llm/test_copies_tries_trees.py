@@ -31,7 +31,7 @@ def _copies(rows):
     return sorted(repr((i, top[n], len(by[n]), hashlib.sha256(n.encode()).hexdigest())) for i, t in rows for n in [(t or "").translate(LOW)])
 
 
-@pytest.mark.parametrize("first, wider, few", [(32, 4, 200_000), (1, 2, 0), (7, 3, 0)])
+@pytest.mark.parametrize("first, wider, few", [(32, 4, 64_000_000), (1, 4, 0), (7, 3, 0)])
 def test_exact_dedup_equals_brute_force(spark, monkeypatch, first, wider, few):
     monkeypatch.setattr(exact_dedup, "BROADCAST", few)
     classes = exact_dedup.classes
