@@ -19,7 +19,7 @@ from graphloom.operators import lovasz as lo
 from graphloom.operators import paths as pa
 from graphloom.plans import cut, fresh_path
 from graphloom.queries import _C, _CELLS, _D2, _NEAR, _SLOTS, _V, _WL, GRAPHS, SQL, _disk_vectors, _first_centroids, _mlp, _sql, _states, bfs, inner_bfs, query
-from graphloom.sources import files
+from graphloom.sources import files, layouts
 from graphloom.sources.driver_tables import customer_graphs, vectors
 
 
@@ -36,6 +36,59 @@ FEW = GRAPHS.replace("vertices AS (", "all_vertices AS (").replace("graphs AS ("
 FEW += """,
     graphs AS (SELECT * FROM all_graphs WHERE y = 0), vertices AS (SELECT v.* FROM all_vertices v JOIN graphs USING (graph_id))"""
 
+# file layouts of benchmarks -------------------------------------------------------------------------------------------------
+
+_NUMBERS = """gn AS (SELECT graph_id, y, row_number() OVER (ORDER BY graph_id) - 1 AS g FROM graphs),
+    vn AS (SELECT graph_id, vertex_id, label, g, y, row_number() OVER (ORDER BY graph_id, vertex_id) AS n, row_number() OVER (PARTITION BY graph_id ORDER BY vertex_id) - 1 AS p FROM vertices JOIN gn USING (graph_id))"""
+
+
+def _benchmark(spark, d: str) -> gr.Graphs:
+    path = fresh_path(spark, "benchmark")
+    layouts.write_benchmark(_settled(spark, d), path, "orders")
+    return layouts.read_benchmark(spark, path, "orders")
+
+
+def _archive(spark, d: str) -> gr.Graphs:
+    path = fresh_path(spark, "archive")
+    layouts.write_archive(_settled(spark, d), path)
+    return layouts.read_archive(spark, path)
+
+
+@query(_sql(GRAPHS, _NUMBERS, select="SELECT a.g + 1 AS graph_id, a.n AS src, b.n AS dst FROM edges e JOIN vn a ON a.graph_id = e.graph_id AND a.vertex_id = src JOIN vn b ON b.graph_id = e.graph_id AND b.vertex_id = dst"))
+def benchmark_edges(spark, d: str) -> DataFrame:
+    """The edges of the order graphs, written as a benchmark's text files and read back by line numbers."""
+    return _benchmark(spark, d).edges
+
+
+@query(_sql(GRAPHS, _NUMBERS, select="SELECT g + 1 AS graph_id, n AS vertex_id, label, y FROM vn"))
+def benchmark_vertices(spark, d: str) -> DataFrame:
+    g = _benchmark(spark, d)
+    return g.vertices.join(g.graphs, "graph_id")
+
+
+@query(_sql(GRAPHS, _NUMBERS, select="SELECT a.g AS graph_id, a.p AS src, b.p AS dst FROM edges e JOIN vn a ON a.graph_id = e.graph_id AND a.vertex_id = src JOIN vn b ON b.graph_id = e.graph_id AND b.vertex_id = dst"))
+def archive_edges(spark, d: str) -> DataFrame:
+    """The edges of the order graphs, written as flat files with counts by graph and dealt to their graphs again."""
+    return _archive(spark, d).edges
+
+
+@query(_sql(GRAPHS, _NUMBERS, select="SELECT g AS graph_id, p AS vertex_id, label, y FROM vn"))
+def archive_vertices(spark, d: str) -> DataFrame:
+    g = _archive(spark, d)
+    return g.vertices.join(g.graphs, "graph_id")
+
+
+@query(_sql(GRAPHS, _NUMBERS, select="SELECT 0 AS fold, CASE WHEN g % 10 < 8 THEN 'train' WHEN g % 10 = 8 THEN 'val' ELSE 'test' END AS role, g AS graph_id FROM gn"))
+def archive_splits(spark, d: str) -> DataFrame:
+    """The fixed split of an archive over all its graphs."""
+    path = fresh_path(spark, "archive")
+    g = _settled(spark, d)
+    layouts.write_archive(g, path)
+    place = F.col("graph_id") % 10
+    layouts.write_archive_splits(layouts.read_archive(spark, path).graphs.select("graph_id", F.when(place < 8, "train").when(place == 8, "val").otherwise("test").alias("role")), path, "place")
+    return layouts.read_archive_splits(spark, path, "place")
+
+
 # sources and sinks --------------------------------------------------------------------------------------------------------
 
 
@@ -221,8 +274,8 @@ def mapped_graphs(spark, d: str) -> DataFrame:
 @query(_sql(GRAPHS, "i AS (SELECT graph_id, vertex_id, row_number() OVER (ORDER BY graph_id, vertex_id) - 1 AS dataset_idx FROM vertices)", select="SELECT * FROM i WHERE dataset_idx % 5 = 0"))
 def dataset_lookup(spark, d: str) -> DataFrame:
     """The vertices at given places of the dataset."""
-    index = gr.dataset_index(customer_graphs(spark, d))
-    return gr.located(index, spark.range(0, 10_000_000, 5).withColumnRenamed("id", "dataset_idx"))
+    g = gr.settled(customer_graphs(spark, d))
+    return gr.located(gr.dataset_index(g), spark.range(0, g.vertices.count(), 5).withColumnRenamed("id", "dataset_idx"))
 
 
 @query(_sql(GRAPHS, select="SELECT fold::INT AS fold, list(graph_id ORDER BY graph_id) AS ids FROM graphs, range(2) f(fold) WHERE graph_id % 2 = fold GROUP BY 1"))

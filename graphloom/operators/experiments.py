@@ -148,7 +148,9 @@ def roc_auc(rows: DataFrame) -> DataFrame:
 
 
 def weighted_loss(batches: DataFrame) -> DataFrame:
-    return batches.agg((F.sum(F.col("n_graphs") * F.col("loss")) / F.sum("n_graphs")).alias("loss"))
+    """The mean loss of batches (n_graphs, loss) by their sizes. Losses are summed as decimals of twelve digits, in any order alike."""
+    total = F.sum((F.col("n_graphs") * F.col("loss")).cast("decimal(38,12)")).cast("double")
+    return batches.agg((total / F.sum("n_graphs")).alias("loss"))
 
 
 def result_table(results: DataFrame) -> DataFrame:

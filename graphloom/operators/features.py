@@ -164,9 +164,12 @@ def ring_sp(g, r: int, s: int, depth: int | None = None, roots: DataFrame | None
 
 
 def vertex_sp_vectors(g, labels: int, most: int, roots: DataFrame | None = None) -> DataFrame:
-    """graph_id, vertex_id, features: counts of other vertices by (label, distance), distances -1 and 1 to `most`."""
-    counts = vertex_counts(g, paths.graph_distances(g, None, roots))
+    """graph_id, vertex_id, features: counts of other vertices by (label, distance), distances -1 and 1 to `most`. Greater distances have
+    no slot and aren't counted; a vertex that counts nothing has zeros."""
+    every = g.vertices.select("graph_id", "vertex_id")
+    counts = vertex_counts(g, paths.graph_distances(g, None, roots)).where(F.col("d") <= most)
     if roots is not None:
-        counts = counts.join(roots.select("graph_id", F.col("root").alias("vertex_id")), ["graph_id", "vertex_id"], "left_semi")
+        own = roots.select("graph_id", F.col("root").alias("vertex_id"))
+        counts, every = counts.join(own, ["graph_id", "vertex_id"], "left_semi"), own.distinct()
     slot = F.col("label") * (most + 1) + F.when(F.col("d") < 0, 0).otherwise(F.col("d"))
-    return dense(counts, ["graph_id", "vertex_id"], slot, labels * (most + 1), counts.select("graph_id", "vertex_id").distinct())
+    return dense(counts, ["graph_id", "vertex_id"], slot, labels * (most + 1), every)

@@ -13,6 +13,7 @@ from graphloom.operators import graphs as gr
 from graphloom.operators import learning as le
 from graphloom.operators import lovasz as lo
 from graphloom.operators import paths as pa
+from graphloom.operators import pipelines
 from graphloom.sources import files
 from graphloom.sources.driver_tables import customer_graphs, vectors
 
@@ -228,6 +229,20 @@ def single_vertex_sp(spark, d: str) -> DataFrame:
     return ft.vertex_sp_vectors(g, 3, 20, first).select("graph_id", "vertex_id", F.posexplode("features").alias("slot", "value")).where("value <> 0")
 
 
+@query(_sql(GRAPHS, bfs(None), _VERTEX_SP, select="SELECT graph_id, vertex_id, (label * 4 + greatest(d, 0))::INT AS slot, count(*)::DOUBLE AS value FROM c WHERE d <= 3 GROUP BY ALL"))
+def vertex_vectors(spark, d: str) -> DataFrame:
+    """Cells of the driver's vertex features up to distance 3, below the longest distances of the graphs."""
+    v = pipelines.feature_rows(gr.settled(customer_graphs(spark, d)), "vertex", 3, most=3)
+    return v.select("graph_id", "vertex_id", F.posexplode("features").alias("slot", "value")).where("value <> 0")
+
+
+@query(_sql(GRAPHS, bfs(1), inner_bfs("SELECT graph_id, root, v FROM dist WHERE d = 1", None), select="SELECT graph_id, root AS vertex_id, ((l1 * 3 + l2) * 3 + d + 1)::INT AS slot, count(*)::DOUBLE AS value FROM pairs WHERE d <= 1 GROUP BY ALL"))
+def ring_vectors(spark, d: str) -> DataFrame:
+    """Cells of the driver's features of the rings at distance 1, with slots for induced distances up to 1 only."""
+    v = pipelines.feature_rows(gr.settled(customer_graphs(spark, d)), "ring", 3, r=1, s=1, most=1)
+    return v.select("graph_id", "vertex_id", F.posexplode("features").alias("slot", "value")).where("value <> 0")
+
+
 @query(_sql(GRAPHS, bfs(2), inner_bfs("SELECT graph_id, root, v FROM dist JOIN (SELECT graph_id, min(vertex_id) root FROM vertices GROUP BY 1) USING (graph_id, root)", None), select="SELECT graph_id, root, l1, l2, d, count(*) AS cnt FROM pairs GROUP BY ALL"))
 def single_kdisk_sp(spark, d: str) -> DataFrame:
     """As kdisk_sp_long, on the fly for the first vertex of each graph."""
@@ -422,10 +437,10 @@ def roc_auc(spark, d: str) -> DataFrame:
     return ex.roc_auc(li.select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("y"))).select(F.round("auc", 6).alias("auc"))
 
 
-@query("""WITH b AS (SELECT l_orderkey, count(*) n, avg(l_discount) loss FROM lineitem GROUP BY 1) SELECT round(sum(n * loss) / sum(n), 6) AS loss FROM b""")
+@query("""WITH b AS (SELECT l_orderkey, count(*) n, avg(l_discount) loss FROM lineitem GROUP BY 1) SELECT sum((n * loss)::DECIMAL(38, 12))::DOUBLE / sum(n) AS loss FROM b""")
 def weighted_loss(spark, d: str) -> DataFrame:
     b = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("n_graphs"), F.avg("l_discount").alias("loss"))
-    return ex.weighted_loss(b).select(F.round("loss", 6).alias("loss"))
+    return ex.weighted_loss(b)
 
 
 @query("""SELECT i || '-Prox' AS name, i::INT AS h FROM (VALUES (1), (3), (5), (8), (10)) t(i) UNION ALL SELECT 'CSL', 0""")
