@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import configs
 from graphloom.functions import dot, rounded
 from graphloom.operators import clustering as cl
-from graphloom.operators import enhance, models, pipelines
+from graphloom.operators import enhance, models, parallel, pipelines
 from graphloom.operators import experiments as ex
 from graphloom.operators import features as ft
 from graphloom.operators import graphs as gr
@@ -631,8 +632,8 @@ def _settings(**more) -> pipelines.Settings:
 
 @query()
 def train_networks(spark, d: str) -> DataFrame:
-    """Epoch logs of networks on one-hot labels of the classes 0 and 1."""
-    g = gr.settled(gr.where(customer_graphs(spark, d), "y < 2"))
+    """Epoch logs of networks on one-hot labels."""
+    g = _settled(spark, d)
     return pipelines.classical(g, 3, _settings(layers=[1, 2], reruns=2))
 
 
@@ -643,6 +644,67 @@ def full_experiment(spark, d: str) -> DataFrame:
     return pipelines.run(g, "full", 3, _settings(clusters=[3], dims=[4]), _full_disks(g))[0]
 
 
+# training where the graphs are ---------------------------------------------------------------------------------------------------
+
+#: A network as training begins with: one GIN layer of three channels, a readout to five classes or three tasks.
+_FIRST, _FIRST_TASKS = models.Net("gin", 3, 3, 1, 5, 1, 11), models.Net("gin", 3, 3, 1, 3, 1, 11)
+
+
+def _rows_of(w, b) -> tuple[list, list]:
+    return np.asarray(w).T.tolist(), np.asarray(b).tolist()
+
+
+def _logits_sql(net: models.Net) -> tuple[str, ...]:
+    """CTEs of the logits z0, z1, .. of each graph by the net's weights as they are."""
+    p = net.p
+    layer = (_rows_of(p["w0"][0], p["b0"][0]), _rows_of(p["v0"][0], p["c0"][0]))
+    hidden, out = _columns(["q0", "q1", "q2"], *_rows_of(p["r"], p["rb"]), True), _columns(["y0", "y1", "y2"], *_rows_of(p["o"], p["ob"]), False)
+    named = lambda xs, n: ", ".join(f"{x} AS {n}{i}" for i, x in enumerate(xs))
+    return (
+        _S0, *_net_sql([layer], "gin"), "qs AS (SELECT graph_id, sum(h0) AS q0, sum(h1) AS q1, sum(h2) AS q2 FROM s1 GROUP BY 1)",
+        f"ys AS (SELECT graph_id, {named(hidden, 'y')} FROM qs)", f"zs AS (SELECT graph_id, {named(out, 'z')} FROM ys)",
+    )
+
+
+def _nested(g: gr.Graphs, y=None) -> DataFrame:
+    graphs = g.graphs if y is None else g.graphs.withColumn("y", y)
+    role = F.when(F.col("graph_id") % 2 == 0, "val").otherwise("test")
+    return models.nested(pipelines.one_hot(g, 3), g.edges, graphs).withColumn("role", role)
+
+
+_Z = [f"z{i}" for i in range(5)]
+
+
+@query(_sql(GRAPHS, *_logits_sql(_FIRST), f"e AS (SELECT graph_id % 2 AS odd, greatest({', '.join(_Z)}) AS top, ln({' + '.join(f'exp({z} - greatest({", ".join(_Z)}))' for z in _Z)}) AS rest, [{', '.join(_Z)}] AS z, y FROM zs JOIN graphs USING (graph_id))",
+    select="SELECT CASE odd WHEN 0 THEN 'val' ELSE 'test' END AS role, round(avg(top + rest - z[y + 1]), 6) AS loss, round(avg((list_position(z, top) - 1 = y)::INT), 6) AS accuracy FROM e GROUP BY 1"))
+def parallel_losses(spark, d: str) -> DataFrame:
+    """Loss and accuracy of the network that training begins with, by data-parallel passes over all graphs."""
+    job = parallel.Trainer(_nested(_settled(spark, d)), models.Net("gin", 3, 3, 1, 5, 1, 11), 64, 11)
+    return spark.createDataFrame([(k, round(float(a), 6), round(float(b), 6)) for k, (a, b) in job.measured().items()], "role string, loss double, accuracy double")
+
+
+_TASKS = "CASE WHEN (graph_id + {t}) % 3 <> 0 THEN ((graph_id + {t}) % 2)::DOUBLE END"
+
+
+@query(_sql(GRAPHS, *_logits_sql(_FIRST_TASKS), "cells AS (" + " UNION ALL ".join(f"SELECT z{t} AS z, {_TASKS.format(t=t)} AS y FROM zs" for t in range(3)) + ")",
+    select="SELECT round(avg(ln(1 + exp(-abs(z))) + greatest(z, 0) - z * y), 6) AS loss, count(*) AS n_labelled FROM cells WHERE y IS NOT NULL"))
+def multi_task_losses(spark, d: str) -> DataFrame:
+    """The logistic loss of three tasks with missing labels by fixed weights."""
+    g = _settled(spark, d)
+    p = _FIRST_TASKS.p
+    layer = (_rows_of(p["w0"][0], p["b0"][0]), _rows_of(p["v0"][0], p["c0"][0]))
+    logits = models.readout(models.forward(_states(g), g.edges, [layer]), (_rows_of(p["r"], p["rb"]), _rows_of(p["o"], p["ob"])))
+    y = F.array(*[F.when((F.col("graph_id") + t) % 3 != 0, ((F.col("graph_id") + t) % 2).cast("double")) for t in range(3)])
+    return models.multi_task_loss(logits.select("logits", y.alias("y"))).select(F.round("loss", 6).alias("loss"), "n_labelled")
+
+
+@query()
+def parallel_training(spark, d: str) -> DataFrame:
+    """Epoch logs of data-parallel training with batch norm over all graphs."""
+    g = _settled(spark, d)
+    return pipelines.classical(g, 3, pipelines.Settings(folds=2, epochs=[2], batch=[100_000], batch_norm=True, parallel=True))
+
+
 SQL["gin_forward"], SQL["gin_forward_partitioned"] = SQL["gin_network"], SQL["gin_network_by_cluster"]
 
 # logs -------------------------------------------------------------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 A network is a list of layers, each an MLP ((W1, b1), (W2, b2)) after a sum over neighbours, or a matrix before a normalised sum; with
 clusters a dict of these by cluster id. All rows of a layer are updated at once. Its pooled states, one layer after another, go
-through a readout MLP. Training runs each (grid point, fold, rerun) as a group in one task, which holds the graphs of a dataset.
+through a readout MLP. Training runs each (grid point, fold, rerun) as a group in one task, for datasets that fit there; parallel.py trains on graphs
+of any number where they are.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from graphloom.operators.learning import affine, gcn_sum, gin_sum, pooled, relu
 
@@ -108,19 +110,50 @@ def vertex_edge_states(g, gamma: dict[int, list[float]], alpha: dict[tuple[int,
     return state
 
 
+class Adjacency:
+    """A sparse matrix of weighted edges; `a @ h` sums, into each edge's end, the weighted row of its start."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int) -> None:
+        by = np.argsort(dst, kind="stable")
+        self.src, self.dst, self.weight, self.n = src[by], dst[by], weight[by], n
+        self.ends, self.first = np.unique(self.dst, return_index=True)
+
+    def __matmul__(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, h.shape[1]))
+        if len(self.src):
+            out[self.ends] = np.add.reduceat(h[self.src] * self.weight[:, None], self.first)
+        return out
+
+    @property
+    def T(self) -> Adjacency:
+        return Adjacency(self.dst, self.src, self.weight, self.n)
+
+
 class Net:
-    """A GIN or GCN with a readout MLP in NumPy, its gradients by hand, trained by Adam. clusters: one set of layers for each."""
+    """A GIN or GCN with a readout MLP in NumPy, its gradients by hand, trained by Adam. clusters: one set of layers for each.
+
+    norm: a layer's sums are normalised over all vertices of a batch before its last ReLU, in training by the batch's own statistics and
+    later by running means of them (a tenth of each new one). colours: (rounds, width) of class-wise vertex and edge colours that are
+    learnt: a vertex begins with its cluster's vector; in each round it adds its neighbours' vectors, each times a factor of the two
+    clusters that starts at 1, and keeps what is over 0. The layers then run on those states in place of the given ones."""
 
-    def __init__(self, model: str, width: int, hidden: int, layers: int, classes: int, clusters: int, seed: int) -> None:
+    def __init__(self, model: str, width: int, hidden: int, layers: int, classes: int, clusters: int, seed: int, norm: bool = False, colours: tuple[int, int] | None = None) -> None:
         rng = np.random.default_rng(seed)
-        make = lambda i, o: rng.uniform(-1, 1, (max(1, clusters), i, o)) / np.sqrt(i)
-        self.model, self.layers = model, layers
+        many = 1 if colours else max(1, clusters)  # with colours the clusters are in the states
+        make = lambda i, o: rng.uniform(-1, 1, (many, i, o)) / np.sqrt(i)
+        self.model, self.layers, self.norm, self.colours = model, layers, norm, colours
         self.p = {}
+        if colours:
+            self.p["gamma"], self.p["alpha"] = rng.uniform(-1, 1, (max(1, clusters), colours[1])), np.ones((max(1, clusters), max(1, clusters)))
+            width = colours[1]
         for k in range(layers):
             i = width if k == 0 else hidden
-            self.p[f"w{k}"], self.p[f"b{k}"] = make(i, hidden), np.zeros((max(1, clusters), hidden))
+            self.p[f"w{k}"], self.p[f"b{k}"] = make(i, hidden), np.zeros((many, hidden))
             if model == "gin":
-                self.p[f"v{k}"], self.p[f"c{k}"] = make(hidden, hidden), np.zeros((max(1, clusters), hidden))
+                self.p[f"v{k}"], self.p[f"c{k}"] = make(hidden, hidden), np.zeros((many, hidden))
+            if norm:
+                self.p[f"scale{k}"], self.p[f"shift{k}"] = np.ones(hidden), np.zeros(hidden)
+        self.mean, self.var = (np.zeros((layers, hidden)), np.ones((layers, hidden))) if norm else (None, None)
         self.p["r"], self.p["rb"] = rng.uniform(-1, 1, (hidden * layers, hidden)) / np.sqrt(hidden * layers), np.zeros(hidden)
         self.p["o"], self.p["ob"] = rng.uniform(-1, 1, (hidden, classes)) / np.sqrt(hidden), np.zeros(classes)
         self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
@@ -143,20 +176,53 @@ class Net:
         into[{"w": "b", "v": "c"}[name[0]] + name[1:]] = b
         return back
 
-    def run(self, batch):
-        """Logits and what the gradients need. batch: x, adjacency (dense, with self-loops as the model has them), of, graph, n graphs."""
+    def _coloured(self, a, of, edges):
+        """States of the vertex and edge colours, and those of every round before its ReLU."""
+        gamma, alpha = self.p["gamma"], self.p["alpha"]
+        src, dst = edges
+        weight = alpha[of[src], of[dst]]
+        h, kept = gamma[of], []
+        for _ in range(self.colours[0]):
+            z = h + Adjacency(src, dst, weight, len(of)) @ h
+            kept.append((h, z))
+            h = np.maximum(z, 0)
+        return h, (kept, src, dst, weight)
+
+    def _coloured_back(self, grad, kept, of, into):
+        rounds, src, dst, weight = kept
+        alpha = np.zeros_like(self.p["alpha"])
+        for h, z in reversed(rounds):
+            grad = grad * (z > 0)
+            np.add.at(alpha, (of[src], of[dst]), (grad[dst] * h[src]).sum(1))
+            grad = grad + Adjacency(dst, src, weight, len(of)) @ grad
+        gamma = np.zeros_like(self.p["gamma"])
+        np.add.at(gamma, of, grad)
+        into |= {"gamma": gamma, "alpha": alpha}
+
+    def run(self, batch, training: bool = False):
+        """Logits and what the gradients need. batch: as of batch_of."""
         x, a, of, graph, n = batch
-        kept, h, pools = [], x, []
+        first, colours = x, None
+        if self.colours:
+            first, colours = self._coloured(a, of, a.edges)
+            of = np.zeros_like(of)
+        kept, h, pools = [], first, []
         for k in range(self.layers):
             if self.model == "gin":
                 s = a @ h
                 z1 = self._map(s, self.p[f"w{k}"], self.p[f"b{k}"], of)
                 r1 = np.maximum(z1, 0)
                 z2 = self._map(r1, self.p[f"v{k}"], self.p[f"c{k}"], of)
-                kept.append((s, z1, r1, z2))
             else:
+                s, z1, r1 = h, None, None
                 z2 = a @ self._map(h, self.p[f"w{k}"], self.p[f"b{k}"], of)
-                kept.append((h, None, None, z2))
+            even = None
+            if self.norm:
+                mean, var = (z2.mean(0), z2.var(0)) if training else (self.mean[k], self.var[k])
+                even = ((z2 - mean) / np.sqrt(var + 1e-5), var)
+                z2 = even[0] * self.p[f"scale{k}"] + self.p[f"shift{k}"]
+                even = (*even, mean)
+            kept.append((s, z1, r1, z2, even))
             h = np.maximum(z2, 0)
             pool = np.zeros((n, h.shape[1]))
             np.add.at(pool, graph, h)
@@ -164,32 +230,55 @@ class Net:
         q = np.concatenate(pools, 1)
         z = q @ self.p["r"] + self.p["rb"]
         y = np.maximum(z, 0)
-        return y @ self.p["o"] + self.p["ob"], (kept, q, z, y)
+        return y @ self.p["o"] + self.p["ob"], (kept, q, z, y, colours)
 
-    def step(self, batch, target, rate: float) -> float:
-        """One step of Adam on the batch's mean cross-entropy; gives the loss before it."""
-        x, a, of, graph, n = batch
-        logits, (kept, q, z, y) = self.run(batch)
-        loss, grad = cross_entropy(logits, target)
+    def gradients(self, batch, target):
+        """The batch's loss and weight, summed, the gradients of that sum, and, with norm, (vertices, means, variances) of its layers."""
+        _, a, of, graph, _ = batch
+        logits, (kept, q, z, y, colours) = self.run(batch, training=True)
+        loss, weight, grad = loss_of(logits, target)
         into = {"o": y.T @ grad, "ob": grad.sum(0)}
         grad = (grad @ self.p["o"].T) * (z > 0)
         into |= {"r": q.T @ grad, "rb": grad.sum(0)}
-        of_pools, above = grad @ self.p["r"].T, 0.0
+        of_pools, above, back = grad @ self.p["r"].T, 0.0, a.T
+        own = np.zeros_like(of) if self.colours else of
         hidden = kept[0][3].shape[1]
         for k in reversed(range(self.layers)):
-            s, z1, r1, z2 = kept[k]
+            s, z1, r1, z2, even = kept[k]
             g = (of_pools[:, k * hidden : (k + 1) * hidden][graph] + above) * (z2 > 0)
+            if even is not None:
+                x, var, _ = even
+                into |= {f"scale{k}": (g * x).sum(0), f"shift{k}": g.sum(0)}
+                g = g * self.p[f"scale{k}"]
+                g = (g - g.mean(0) - x * (g * x).mean(0)) / np.sqrt(var + 1e-5)
             if self.model == "gin":
-                g = self._back(f"v{k}", r1, g, of, into) * (z1 > 0)
-                above = a.T @ self._back(f"w{k}", s, g, of, into)
+                g = self._back(f"v{k}", r1, g, own, into) * (z1 > 0)
+                above = back @ self._back(f"w{k}", s, g, own, into)
             else:
-                above = self._back(f"w{k}", s, a.T @ g, of, into)
+                above = self._back(f"w{k}", s, back @ g, own, into)
+        if colours is not None:
+            self._coloured_back(above, colours, of, into)
+        n = len(of)
+        stats = (n, np.array([e[4][2] for e in kept]), np.array([e[4][1] for e in kept]) * (n / max(1, n - 1))) if self.norm else None
+        return loss, weight, into, stats
+
+    def update(self, into: dict, rate: float, stats=None) -> None:
+        """One step of Adam with mean gradients; running statistics move by a tenth."""
+        if stats is not None:
+            self.mean, self.var = 0.9 * self.mean + 0.1 * stats[1], 0.9 * self.var + 0.1 * stats[2]
         self.t += 1
         for key, g in into.items():
             self.m[key] = 0.9 * self.m[key] + 0.1 * g
             self.v[key] = 0.999 * self.v[key] + 0.001 * g * g
             self.p[key] = self.p[key] - rate * (self.m[key] / (1 - 0.9**self.t)) / (np.sqrt(self.v[key] / (1 - 0.999**self.t)) + 1e-8)
-        return loss
+
+    def step(self, batch, target, rate: float) -> float:
+        """One step of Adam on the batch's mean loss; gives the loss before it. A batch without labels changes nothing."""
+        loss, weight, into, stats = self.gradients(batch, target)
+        if not weight:
+            return 0.0
+        self.update({k: g / weight for k, g in into.items()}, rate, stats)
+        return loss / weight
 
 
 def cross_entropy(logits: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
@@ -202,20 +291,84 @@ def cross_entropy(logits: np.ndarray, target: np.ndarray) -> tuple[float, np.nda
     return loss, p / len(p)
 
 
+def logistic(logits: np.ndarray, target: np.ndarray) -> tuple[float, int, np.ndarray]:
+    """Summed logistic loss over the cells that have a label (others are NaN), their number, and the gradient of the sum by logit."""
+    known = ~np.isnan(target)
+    y = np.where(known, target, 0.0)
+    loss = np.log1p(np.exp(-np.abs(logits))) + np.maximum(logits, 0) - logits * y
+    share = np.exp(-np.logaddexp(0, -logits))
+    return float(loss[known].sum()), int(known.sum()), np.where(known, share - y, 0.0)
+
+
+def loss_of(logits: np.ndarray, target: np.ndarray) -> tuple[float, int, np.ndarray]:
+    """(summed loss, weight, its gradient): cross-entropy of classes, or logistic loss of rows of tasks."""
+    if target.ndim == 2:
+        return logistic(logits, target)
+    loss, grad = cross_entropy(logits, target)
+    return loss * len(target), len(target), grad * len(target)
+
+
+def hits_of(logits: np.ndarray, target: np.ndarray) -> tuple[int, int]:
+    """Right predictions and how many there are: of classes, or of all labelled cells of tasks."""
+    if target.ndim == 2:
+        known = ~np.isnan(target)
+        return int(((logits > 0) == (target > 0.5))[known].sum()), int(known.sum())
+    return int((logits.argmax(1) == target).sum()), len(target)
+
+
+def areas(scores: np.ndarray, target: np.ndarray) -> float:
+    """Mean area under the curve over the tasks that have both labels, ties counting half; NaN without any."""
+    out = []
+    for s, y in zip(scores.T, target.T, strict=True):
+        s, y = s[~np.isnan(y)], y[~np.isnan(y)] > 0.5
+        if y.any() and not y.all():
+            values, at, n = np.unique(s, return_inverse=True, return_counts=True)
+            rank = (np.cumsum(n) - (n - 1) / 2)[at]
+            out.append((rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()))
+    return float(np.mean(out)) if out else np.nan
+
+
 def batch_of(graphs: list, model: str):
-    """One batch from (x, of, pairs) of some graphs."""
+    """One batch from (x, of, pairs) of some graphs: states, adjacency with self-loops as the model has them (a.edges: without), clusters,
+    each vertex's graph, and how many graphs."""
     sizes = [len(x) for x, _, _ in graphs]
     x, of, start = np.concatenate([g[0] for g in graphs]), np.concatenate([g[1] for g in graphs]), np.cumsum([0, *sizes])
-    a = np.eye(len(x))
-    for (_, _, e), s in zip(graphs, start, strict=False):
-        if len(e):
-            a[e[:, 1] + s, e[:, 0] + s] = 1
+    pairs = [e + s for (_, _, e), s in zip(graphs, start, strict=False) if len(e)]
+    edges = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), int)
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    loops = np.arange(len(x))
+    src, dst = np.concatenate([edges[:, 0], loops]), np.concatenate([edges[:, 1], loops])
+    weight = np.ones(len(src))
     if model == "gcn":
-        d = 1 / np.sqrt(a.sum(1))
-        a = d[:, None] * a * d[None, :]
+        d = 1 / np.sqrt(np.bincount(dst, minlength=len(x)))
+        weight = d[src] * d[dst]
+    a = Adjacency(src, dst, weight, len(x))
+    a.edges = (edges[:, 0], edges[:, 1])
     return x, a, of, np.repeat(np.arange(len(graphs)), sizes), len(graphs)
 
 
+def graph_of(r) -> tuple:
+    """(x, of, pairs) of a row of nested()."""
+    return np.array([np.asarray(h) for h in r.x], float), np.asarray(r.of, int), np.column_stack([r.src, r.dst]).astype(int)
+
+
+def targets(y) -> np.ndarray:
+    """Classes as integers, or rows of tasks with NaN for missing labels."""
+    y = list(y)
+    if len(y) and isinstance(y[0], (list, tuple, np.ndarray)):
+        return np.array([[np.nan if v is None else float(v) for v in row] for row in y])
+    return np.array(y, int)
+
+
+def dealt_batches(ids: np.ndarray, n_batches: int, seed: int, epoch: int) -> np.ndarray:
+    """The batch of each graph in an epoch: a hash of its id, so that any task finds it alone."""
+    with np.errstate(over="ignore"):
+        x = (ids.astype(np.int64).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 1_000_003 + epoch) * np.uint64(0xD1B54A32D192ED03)
+        for shift in (32, 29, 32):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(33)) % np.uint64(n_batches)).astype(np.int64)
+
+
 def nested(vertices: DataFrame, edges: DataFrame, graphs: DataFrame) -> DataFrame:
     """One row a graph: graph_id, y, x (states in vertex order), of (cluster ids, 0 without), src and dst as positions."""
     cluster = F.col("cluster_id") if "cluster_id" in vertices.columns else F.lit(0)
@@ -228,35 +381,49 @@ def nested(vertices: DataFrame, edges: DataFrame, graphs: DataFrame) -> DataFram
     return d.select("graph_id", "y", F.transform("v", lambda r: r.h).alias("x"), F.transform("v", lambda r: r.c.cast("int")).alias("of"), place("src").alias("src"), place("dst").alias("dst"))
 
 
-def train(rows: DataFrame, grid: DataFrame, splits: DataFrame, model: str = "gin", reruns: int = 1, patience: int = 100, seed: int = 37) -> DataFrame:
+LOG = "experiment_idx int, fold int, rerun int, epoch int, train_loss double, val_loss double, val_acc double, test_acc double"
+
+
+def _shape(rows: DataFrame) -> DataFrame:
+    """n_classes (or tasks), n_clusters of rows of nested()."""
+    tasks = isinstance(rows.schema["y"].dataType, ArrayType)
+    return rows.agg((F.max(F.size("y")) if tasks else F.max("y") + 1).alias("n_classes"), (F.max(F.array_max("of")) + 1).alias("n_clusters"))
+
+
+def train(rows: DataFrame, grid: DataFrame, splits: DataFrame, model: str = "gin", reruns: int = 1, patience: int = 100, seed: int = 37, norm: bool = False, colours: tuple[int, int] | None = None) -> DataFrame:
     """Epoch logs: experiment_idx, fold, rerun, epoch, train_loss, val_loss, val_acc, test_acc.
 
-    rows: of nested(). grid: experiment_idx, layers, channels, batch, epochs, lr. splits: fold, role, graph_id. Each group ends with
-    the patience-th epoch in a row whose validation loss doesn't improve. Batches of a single vertex are left out of training."""
+    rows: of nested(), y a class or an array of tasks' labels (null: missing), for which the loss is logistic over the labelled cells
+    and val_acc and test_acc are mean areas under the curve. grid: experiment_idx, layers, channels, batch, epochs, lr. splits: fold, role, graph_id. An epoch deals the training
+    graphs into batches by a hash. Each group ends with the patience-th epoch in a row whose validation loss doesn't improve. Batches of a
+    single vertex are left out of training. A group's graphs are in one task; parallel.train leaves them where they are."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("graph_id")
         one = pdf.iloc[0]
-        graphs = [(np.array([np.asarray(h) for h in r.x], float), np.asarray(r.of, int), np.column_stack([r.src, r.dst]).astype(int)) for r in pdf.itertuples()]
-        y, role = pdf["y"].to_numpy(int), pdf["role"].to_numpy()
-        net = Net(model, graphs[0][0].shape[1], int(one.channels), int(one.layers), int(one.n_classes), int(one.n_clusters), seed + int(one.rerun))
-        rng = np.random.default_rng([seed, int(one.experiment_idx), int(one.fold), int(one.rerun)])
+        graphs = [graph_of(r) for r in pdf.itertuples()]
+        y, role, ids = targets(pdf["y"]), pdf["role"].to_numpy(), pdf["graph_id"].to_numpy()
+        net = Net(model, graphs[0][0].shape[1], int(one.channels), int(one.layers), int(one.n_classes), int(one.n_clusters), seed + int(one.rerun), norm, colours)
+        at_train = np.flatnonzero(role == "train")
+        n_batches = max(1, -(-len(at_train) // int(one.batch)))
 
         def measured(name):
-            at, losses, hits = np.flatnonzero(role == name), 0.0, 0
+            at, losses, weight, hits, seen, logits = np.flatnonzero(role == name), 0.0, 0, 0, 0, []
             for i in range(0, len(at), int(one.batch)):
                 part = at[i : i + int(one.batch)]
-                logits, _ = net.run(batch_of([graphs[j] for j in part], model))
-                losses += cross_entropy(logits, y[part])[0] * len(part)
-                hits += int((logits.argmax(1) == y[part]).sum())
-            return (losses / len(at), hits / len(at)) if len(at) else (np.nan, np.nan)
+                logits.append(net.run(batch_of([graphs[j] for j in part], model))[0])
+                loss, n, _ = loss_of(logits[-1], y[part])
+                right, of = hits_of(logits[-1], y[part])
+                losses, weight, hits, seen = losses + loss, weight + n, hits + right, seen + of
+            score = areas(np.concatenate(logits), y[at]) if y.ndim == 2 and len(at) else hits / seen if seen else np.nan
+            return losses / weight if weight else np.nan, score
 
         out, best, since = [], np.inf, 0
         for epoch in range(int(one.epochs)):
-            at, losses, seen = rng.permutation(np.flatnonzero(role == "train")), 0.0, 0
-            for i in range(0, len(at), int(one.batch)):
-                part = at[i : i + int(one.batch)]
+            batch, losses, seen = dealt_batches(ids[at_train], n_batches, seed + int(one.rerun), epoch), 0.0, 0
+            for i in range(n_batches):
+                part = at_train[batch == i]
                 if sum(len(graphs[j][0]) for j in part) > 1:
                     losses += net.step(batch_of([graphs[j] for j in part], model), y[part], float(one.lr)) * len(part)
                     seen += len(part)
@@ -265,12 +432,17 @@ def train(rows: DataFrame, grid: DataFrame, splits: DataFrame, model: str = "gin
             best, since = (val[0], 0) if val[0] < best else (best, since + 1)
             if since >= patience:
                 break
-        return pd.DataFrame(out, columns=["experiment_idx", "fold", "rerun", "epoch", "train_loss", "val_loss", "val_acc", "test_acc"])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in LOG.split(", ")])
 
-    schema = "experiment_idx int, fold int, rerun int, epoch int, train_loss double, val_loss double, val_acc double, test_acc double"
-    sizes = rows.agg((F.max("y") + 1).alias("n_classes"), (F.max(F.array_max("of")) + 1).alias("n_clusters"))
     again = rows.sparkSession.range(reruns).select(F.col("id").cast("int").alias("rerun"))
-    runs = F.broadcast(grid.crossJoin(again).crossJoin(sizes))  # a row for each point of the grid and rerun
+    runs = F.broadcast(grid.crossJoin(again).crossJoin(_shape(rows)))  # a row for each point of the grid and rerun
     both = rows.join(splits, "graph_id").crossJoin(runs)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(parts, "experiment_idx", "fold", "rerun").groupBy("experiment_idx", "fold", "rerun").applyInPandas(run, schema)
+    return both.repartition(parts, "experiment_idx", "fold", "rerun").groupBy("experiment_idx", "fold", "rerun").applyInPandas(run, LOG)
+
+
+def multi_task_loss(rows: DataFrame) -> DataFrame:
+    """loss, n_labelled: mean logistic loss of (logits, y: arrays of as many tasks) over the cells whose label isn't null."""
+    cells = rows.select(F.explode(F.arrays_zip("logits", "y")).alias("c")).select("c.logits", F.col("c.y").cast("double").alias("y")).where("y IS NOT NULL AND NOT isnan(y)")
+    loss = F.log1p(F.exp(-F.abs("logits"))) + F.greatest("logits", F.lit(0.0)) - F.col("logits") * F.col("y")
+    return cells.agg(F.avg(loss).alias("loss"), F.count("*").alias("n_labelled"))

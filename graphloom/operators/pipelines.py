@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import clustering as cl
-from graphloom.operators import enhance, models
+from graphloom.operators import enhance, models, parallel
 from graphloom.operators import experiments as ex
 from graphloom.operators import features as ft
 from graphloom.operators import graphs as gr
@@ -40,6 +40,24 @@ class Settings:
     batch: list[int] = field(default_factory=lambda: [32])
     epochs: list[int] = field(default_factory=lambda: [5])
     lr: list[float] = field(default_factory=lambda: [0.01])
+    batch_norm: bool = False
+    #: Rounds and width of learnt vertex and edge colours (GPNN) below the network, where there are any.
+    colours: tuple[int, int] | None = None
+    #: An epoch is chosen by its greatest validation score instead of its least loss.
+    ranked: bool = False
+    #: Training leaves graphs where they are, run after run, instead of taking a dataset into one task for each run.
+    parallel: bool = False
+
+
+def settings_of(config: dict) -> Settings:
+    """The settings of an experiment's configuration (configs.example)."""
+    general, data, hyper = config["general"], config["dataset"], config["hyperparameters"]
+    colours = (hyper["num_gpnn_layer"][0], hyper["gpnn_channels"][0]) if data["use_gpnn"] else None
+    return Settings(
+        model=data["base_model"], folds=general["num_k_fold"], reruns=general["num_reruns"], patience=general["max_patience"], seed=general["seed"], batch_norm=general["use_batch_norm"], colours=colours,
+        normalise=data["normalize_vertex_features"], augmented=data["use_augmented_gnn"], clusters=hyper["num_clusters"], dims=hyper["pca_dims"], least=hyper["min_cluster_size"],
+        layers=hyper["num_layers"], channels=hyper["num_hidden_channels"], batch=hyper["num_batch_sizes"], epochs=hyper["num_epochs"], lr=hyper["lrs"],
+    )
 
 
 def feature_rows(g: gr.Graphs, kind: str, labels: int, **size) -> DataFrame:
@@ -66,12 +84,14 @@ def one_hot(g: gr.Graphs, labels: int) -> DataFrame:
 def _logs(g: gr.Graphs, states: DataFrame, splits: DataFrame, s: Settings) -> DataFrame:
     grid = ex.grid(states.sparkSession, layers=s.layers, channels=s.channels, batch=s.batch, epochs=s.epochs, lr=s.lr)
     rows = cut(models.nested(states, g.edges, g.graphs))
-    return models.train(rows, grid, splits, s.model, s.reruns, s.patience, s.seed)
+    trainer = parallel if s.parallel else models
+    return trainer.train(rows, grid, splits, s.model, s.reruns, s.patience, s.seed, s.batch_norm, s.colours)
 
 
-def summary(logs: DataFrame, grid_keys: list[str]) -> DataFrame:
-    """grid keys, val_mean, val_std, test_mean, test_std over folds and reruns, each at its epoch of least validation loss."""
-    at = ex.best_epoch(logs, [*grid_keys, "fold", "rerun"]).select(*grid_keys, "fold", "rerun", F.col("best_epoch").alias("epoch"))
+def summary(logs: DataFrame, grid_keys: list[str], ranked: bool = False) -> DataFrame:
+    """grid keys, val_mean, val_std, test_mean, test_std over folds and reruns, each at its epoch of least validation loss, or of the
+    greatest validation score if ranked."""
+    at = (ex.best_epoch_by_metric if ranked else ex.best_epoch)(logs, [*grid_keys, "fold", "rerun"]).select(*grid_keys, "fold", "rerun", F.col("best_epoch").alias("epoch"))
     rows = logs.join(at, [*grid_keys, "fold", "rerun", "epoch"])
     both = [f(c).alias(f"{n}_{k}") for n, c in (("val", "val_acc"), ("test", "test_acc")) for k, f in (("mean", F.avg), ("std", lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))))]
     return rows.groupBy(*grid_keys).agg(*both)
@@ -101,9 +121,9 @@ def clustered(g: gr.Graphs, features: DataFrame, labels: int, s: Settings) -> Da
     return out
 
 
-def best_of(logs: DataFrame, keys: list[str]) -> dict | None:
+def best_of(logs: DataFrame, keys: list[str], ranked: bool = False) -> dict | None:
     """The settings of the greatest mean validation accuracy over 0, the first on ties; None if all are 0."""
-    row = summary(logs, keys).where("val_mean > 0").orderBy(F.desc("val_mean"), *keys).first()
+    row = summary(logs, keys, ranked).where("val_mean > 0").orderBy(F.desc("val_mean"), *keys).first()
     return row.asDict() if row else None
 
 
@@ -125,7 +145,7 @@ def run(g: gr.Graphs, mode: str, labels: int, s: Settings, features: DataFrame |
             s = Settings(**{**s.__dict__, "clusters": [previous["k"]], "dims": [previous["dims"]], "least": [previous["least"]]})
     keys = ["experiment_idx"] if mode == "classical" else ["k", "dims", "least", "experiment_idx"]
     logs = cut(classical(g, labels, s) if mode == "classical" else clustered(g, features, labels, s))
-    return summary(logs, keys), best_of(logs, keys)
+    return summary(logs, keys, s.ranked), best_of(logs, keys, s.ranked)
 
 
 #: The two toy graphs of the demonstration (fixed values): edges of each, once.
