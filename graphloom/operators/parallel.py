@@ -8,7 +8,6 @@ gives for one group, but for batch norm: its statistics are those of a task's sh
 
 from __future__ import annotations
 
-import math
 import pickle
 
 import numpy as np
@@ -17,28 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import models
-from graphloom.plans import cut
+from graphloom.plans import cut, summed
 
-#: Vertices of a share whose gradients a task computes at once (one graph at least), and tasks whose sums the driver adds itself.
-SHARE, FLAT = 20_000, 16
-
-
-def _added(sums: DataFrame, tasks: int) -> np.ndarray | None:
-    """The elementwise sum of the column `sums` (binary doubles) over all rows, by groups of tasks first."""
-
-    def run(batches):
-        total = None
-        for b in batches:
-            for v in b.column("sums"):
-                x = np.frombuffer(v.as_py(), np.float64)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    if tasks > FLAT:
-        sums = sums.repartition(math.isqrt(tasks)).mapInArrow(run, "sums binary")
-    rows = [np.frombuffer(r.sums, np.float64) for r in sums.collect()]
-    return np.sum(rows, axis=0) if rows else None
+#: Vertices of a share whose gradients a task computes at once (one graph at least).
+SHARE = 20_000
 
 
 class Trainer:
@@ -78,7 +59,7 @@ class Trainer:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
         try:
-            return _added(self.rows.mapInArrow(run, "sums binary"), self.tasks)
+            return summed(self.rows.mapInArrow(run, "sums binary"), self.tasks)
         finally:
             sent.unpersist()
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +55,26 @@ def grow(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], most: in
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+#: Rows of sums that the driver adds itself.
+FLAT = 16
+
+
+def summed(sums: DataFrame, tasks: int) -> np.ndarray | None:
+    """The elementwise sum of the column `sums` (binary, doubles) over all rows, one a task at most: tasks' rows are added by groups
+    of about the square root of their number first, so that the driver holds as many. None without rows."""
+
+    def run(batches):
+        total = None
+        for b in batches:
+            for v in b.column("sums"):
+                x = np.frombuffer(v.as_py(), np.float64)
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    if tasks > FLAT:
+        sums = sums.repartition(math.isqrt(tasks)).mapInArrow(run, "sums binary")
+    rows = [np.frombuffer(r.sums, np.float64) for r in sums.collect()]
+    return np.sum(rows, axis=0) if rows else None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -463,6 +464,28 @@ def _first_centroids(v: DataFrame, k: int = 8) -> DataFrame:
     return v.sparkSession.createDataFrame([(i, list(r.x)) for i, r in enumerate(rows)], "cluster_id int, center array<double>")
 
 
+def _batch_steps(steps: int) -> str:
+    """CTEs c0.. of eight centres after each batch of ids that leave the same rest by four."""
+    out = [_C.replace("c AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS cluster_id, x AS center", "c0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS cluster_id, x AS center, 0 AS n")]
+    for s in range(steps):
+        out.append(f"a{s} AS (SELECT id, v.x, cluster_id, row_number() OVER (PARTITION BY id ORDER BY {_D2}, cluster_id) AS rn FROM v, c{s} c WHERE id % 4 = {s})")
+        out.append(f"e{s} AS (SELECT cluster_id, i, sum(w) AS s, count(*) AS b FROM (SELECT cluster_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM a{s} WHERE rn = 1) GROUP BY 1, 2)")
+        out.append(f"""c{s + 1} AS (SELECT c.cluster_id, list(w + (coalesce(s, 0) - coalesce(b, 0) * w) / greatest(n + coalesce(b, 0), 1) ORDER BY c.i) AS center, max(n + coalesce(b, 0)) AS n
+            FROM (SELECT cluster_id, n, unnest(center) AS w, generate_subscripts(center, 1) AS i FROM c{s}) c LEFT JOIN e{s} e ON e.cluster_id = c.cluster_id AND e.i = c.i GROUP BY 1)""")
+    return ", ".join(out)
+
+
+@query(f"WITH {_V}, {_batch_steps(4)}, r AS (SELECT cluster_id, n::BIGINT AS n, unnest(range(64))::INT AS f, unnest(center) AS x FROM c4) SELECT cluster_id, n, f, round(x, 6) AS x FROM r")
+def minibatch_steps(spark, d: str) -> DataFrame:
+    """Eight centres after four batches that hold every vector once."""
+    v = vectors(spark, d)
+    centers, counts = np.array([r.center for r in _first_centroids(v).orderBy("cluster_id").collect()]), np.zeros(8)
+    for s in range(4):
+        centers, counts, _, _ = cl.minibatch_step(v.where(F.col("id") % 4 == s), centers, counts)
+    rows = [(c, int(counts[c]), f, float(x)) for c in range(8) for f, x in enumerate(centers[c])]
+    return spark.createDataFrame(rows, "cluster_id int, n long, f int, x double").withColumn("x", F.round("x", 6))
+
+
 @query(f"""WITH {_V}, n AS (SELECT id, x, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS l FROM v)
     SELECT id, round(list_sum(list_transform(x, lambda e: abs(e) / l)), 6) AS l1, round(list_max(list_transform(x, lambda e: e / l)), 6) AS top FROM n""")
 def l2_normalize(spark, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import configs
+from graphloom import configs, plans
 from graphloom.operators import models, parallel, pipelines
 from graphloom.operators import experiments as ex
 
@@ -96,7 +96,7 @@ def _rows(spark, tasks=False):
 @pytest.mark.parametrize("flat", [16, 1])
 @pytest.mark.parametrize("model, colours, tasks", [("gin", None, False), ("gcn", (1, 3), False), ("gin", None, True)])
 def test_parallel_steps_equal_one_group(spark, monkeypatch, model, colours, tasks, flat):
-    monkeypatch.setattr(parallel, "FLAT", flat)
+    monkeypatch.setattr(plans, "FLAT", flat)
     rows, splits = _rows(spark, tasks)
     grid = ex.grid(spark, layers=[2], channels=[4], batch=[12], epochs=[5], lr=[0.01])
     one = models.train(rows, grid, splits, model, colours=colours).orderBy("epoch").collect()
