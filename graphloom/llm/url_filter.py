@@ -2,10 +2,13 @@
 
 Rules name a host with its subdomains and the beginning of a path; the longest that fits decides. For the rest, labels of the
 host are split into words by unigram Viterbi (counts of all words of all pages' texts, kept as a table) and multinomial naive
-Bayes scores these words and those of the path. Its training rows are the urls that a rule decides and those whose host holds a
-seed word; the endings that rules are made of (top-level label and first path part) are left out in training, not in scoring.
+Bayes scores these words and those of the path. Its training rows are the urls whose host holds a seed word, to block, and the others that
+a rule allows; what a rule alone blocks is blocked for its place, which says nothing of its words, and stays out. The endings that rules are made of (top-level label and first path part) are left out in training, not in scoring.
+A url is blocked from a threshold on that, with the classes' prior odds, which a fifth of the urls chooses: odds fitted on the
+others judge their training rows, and the middle of the thresholds with the best balanced accuracy is taken.
 
-Tokens are hashed into a fixed number of buckets, so the odds are two fixed arrays. Urls meet the words of their runs of letters in
+Tokens are hashed into a fixed number of buckets, so the odds are two fixed arrays. A run of letters is looked up by its substrings of KEY letters
+at most, taken from slices of it: shorter words are such a substring, a longer one has its first KEY letters as key, whatever its length. Urls meet the words of their runs of letters in
 a join, whose frequent keys are dealt by salts. A null url or one
 without "://" has an empty host and path, no rule and no word, and is allowed. Null html gives no words. Rows are judged one by one, urls
 of any length and rows that repeat a page_id or have none too; without any rule or seed among the urls every other url is allowed, and an
@@ -32,10 +35,14 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 SEEDS = ("casino", "bet", "bets", "poker", "pills", "viagra", "cheap", "free", "win", "adult", "xxx", "porn", "spam", "ads", "track", "loan", "farm")
 #: Buckets of the classifier, and tasks that a frequent key of a join is dealt to.
 BUCKETS, SALTS = 1 << 16, 16
+#: Letters of a key that words are looked up by, and letters of a run that make a slice.
+KEY, SLICE = 16, 2048
 #: Pseudo-counts of each token, dealt to the classes as all tokens are.
-SMOOTHING = 5.0
-#: log odds from which an undecided url is blocked.
-THRESHOLD = math.log(6.0)
+SMOOTHING = 1.0
+#: Urls held out to choose a threshold, one in so many, and the threshold where they don't hold both classes.
+HELD, THRESHOLD = 5, math.log(6.0)
+#: Steps of the scores that thresholds are chosen from, and their range.
+STEP, RANGE = 0.125, 32.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -108,21 +115,23 @@ class Segmenter:
 
 def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
     """run, words: each distinct run of letters, split. Its substrings are looked up among all words, so that a task holds only
-    the counts of words that occur in the run at hand."""
+    the counts of words that occur in the run at hand, and of longer ones that begin like a part of it."""
     total = words.agg(F.sum("n")).first()[0]
-    sizes = sorted(r[0] for r in words.select(F.length("w")).distinct().collect())  # few: n sizes take n * n / 2 letters of words
-    inner = f"transform(filter(array({', '.join(map(str, sizes))}), l -> l <= length(run)), l -> transform(sequence(1, length(run) - l + 1), i -> substring(run, i, l)))"
-    inside = runs.select("run", F.explode(F.expr(f"array_distinct(flatten({inner}))")).alias("w"), F.pmod(F.xxhash64("run"), F.lit(SALTS)).cast("int").alias("salt"))
-    needed = salted(words.join(inside.select("w").distinct(), "w", "left_semi"))
-    found = inside.join(needed, ["w", "salt"]).groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("found"))
+    runs = stored(runs.select("run", F.monotonically_increasing_id().alias("id")), "runs")
+    slices = runs.select("id", F.explode(F.expr(f"transform(sequence(1, length(run), {SLICE}), i -> substring(run, i, {SLICE + KEY - 1}))")).alias("s"))
+    inner = f"transform(sequence(1, least({KEY}, length(s))), l -> transform(sequence(1, length(s) - l + 1), i -> substring(s, i, l)))"
+    inside = slices.select("id", F.explode(F.expr(f"array_distinct(flatten({inner}))")).alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
+    keyed = words.withColumn("key", F.substring("w", 1, KEY))
+    needed = salted(keyed.join(inside.select("key").distinct(), "key", "left_semi"))
+    found = inside.join(needed, ["key", "salt"]).groupBy("id").agg(F.collect_list(F.struct("w", "n")).alias("found"))
 
     def split(batches):
         for batch in batches:
             runs, found = batch.column("run").to_pylist(), batch.column("found").to_pylist()
-            out = [Segmenter({x["w"]: x["n"] for x in f or ()}, total).split(r) for r, f in zip(runs, found, strict=True)]
+            out = [Segmenter({x["w"]: x["n"] for x in f or () if len(x["w"]) <= KEY or x["w"] in r}, total).split(r) for r, f in zip(runs, found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(out, pa.list_(pa.string()))], names=["run", "words"])
 
-    return stored(runs.join(found, "run", "left").select("run", "found").mapInArrow(split, "run string, words array<string>"), "segmented")
+    return stored(runs.join(found, "id", "left").select("run", "found").mapInArrow(split, "run string, words array<string>"), "segmented")
 
 
 def salted(d: DataFrame) -> DataFrame:
@@ -159,33 +168,84 @@ def _seeded(tokens: list[str]) -> bool:
 class Filter:
     words: DataFrame
     odds: np.ndarray  # log odds of block over allow, by bucket
+    threshold: float = THRESHOLD
 
 
 def train(pages: DataFrame, rules=RULES) -> Filter:
     words = vocabulary(pages)
-    return Filter(words, fit(featured(pages, words, rules)))
+    rows = featured(pages, words, rules)
+    return Filter(words, fit(rows), chosen(rows)[0])
 
 
 def fit(rows: DataFrame) -> np.ndarray:
-    """Log odds by bucket from the rows of featured that a rule decides or whose host holds a seed word."""
+    """Log odds by bucket from the rows of featured that a rule allows or whose host holds a seed word."""
+    return log_odds(_counted(rows)[0])
+
+
+def held_out(rows: DataFrame):
+    """Whether a row's url is one of those that choose the threshold."""
+    return F.crc32(F.concat("host", "path").cast("binary")) % HELD == 0
+
+
+def chosen(rows: DataFrame) -> tuple[float, dict[str, float]]:
+    """(threshold on scores, figures): the threshold less the prior log odds of all training rows, and on the held-out urls the
+    number of blocked and allowed training rows and the share of each judged so."""
+    prior = lambda urls: math.log((urls[1] + 1) / (urls[0] + 1))
+    sums, urls = _counted(rows.where(~held_out(rows)))
+    odds, shift = log_odds(sums), prior(urls)
+
+    def run(batches):
+        bins = Counter()
+        for batch in batches:
+            for tokens, ruling in zip(batch.column("known").to_pylist(), batch.column("ruling").to_pylist(), strict=True):
+                label = _label(tokens, ruling)
+                if label is not None:
+                    score = float(sum(odds[bucket(t)] for t in tokens)) + shift
+                    bins[label, int(math.floor(min(max(score, -RANGE), RANGE) / STEP))] += 1
+        rows = [(int(label), b, n) for (label, b), n in bins.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["blocked", "bin", "n"])
+
+    least, size = int(-RANGE / STEP), int(2 * RANGE / STEP) + 1
+    hist = np.zeros((2, size))
+    for r in rows.where(held_out(rows)).select("known", "ruling").mapInArrow(run, "blocked long, bin long, n long").groupBy("blocked", "bin").agg(F.sum("n").alias("n")).collect():
+        hist[r.blocked, r.bin - least] = r.n
+    totals = hist.sum(1)
+    allowed = prior(_counted(rows)[1])
+    if not totals.all():
+        return THRESHOLD - allowed, {"blocked": totals[1], "allowed": totals[0]}
+    hit = hist[1][::-1].cumsum()[::-1] / totals[1]
+    right = (hist[0].cumsum() - hist[0]) / totals[0]
+    best = np.flatnonzero(hit + right == (hit + right).max())
+    at = int(best[len(best) // 2])
+    return (at + least) * STEP - allowed, {"blocked": totals[1], "allowed": totals[0], "blocked_right": float(hit[at]), "allowed_right": float(right[at])}
+
+
+def _label(tokens: list[str], ruling: str | None) -> bool | None:
+    """Whether a training row is one to block; None for a row that isn't one."""
+    return True if _seeded(tokens) else False if ruling == "allow" else None
+
+
+def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of the training rows by class and bucket, training rows by class), classes allow and block."""
 
     def run(batches):
         sums = {True: Counter(), False: Counter()}
         for batch in batches:
             for tokens, ruling in zip(batch.column("known").to_pylist(), batch.column("ruling").to_pylist(), strict=True):
-                seeded = _seeded(tokens)
-                if seeded or ruling is not None:
-                    sums[seeded or ruling == "block"].update(map(bucket, tokens))
+                label = _label(tokens, ruling)
+                if label is not None:
+                    sums[label].update(map(bucket, tokens))
+                    sums[label][BUCKETS] += 1  # the row itself
         rows = [(b, int(k), n) for k, c in sums.items() for b, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["bucket", "blocked", "n"])
 
-    # at most BUCKETS rows come to the driver
+    # at most BUCKETS + 1 rows come to the driver
     found = rows.select("known", "ruling").mapInArrow(run, "bucket long, blocked long, n long")
-    sums = np.zeros((2, BUCKETS))
+    sums = np.zeros((2, BUCKETS + 1))
     for r in found.groupBy("bucket").pivot("blocked", [0, 1]).agg(F.sum("n")).collect():
         sums[0, r.bucket] += r["0"] or 0
         sums[1, r.bucket] += r["1"] or 0
-    return log_odds(sums)
+    return sums[:, :BUCKETS], sums[:, BUCKETS]
 
 
 def log_odds(sums: np.ndarray, strength: float = SMOOTHING) -> np.ndarray:
@@ -198,9 +258,9 @@ def log_odds(sums: np.ndarray, strength: float = SMOOTHING) -> np.ndarray:
     return np.log(share[1] / share[0]) - math.log(base[1] / base[0])
 
 
-def judge(pages: DataFrame, model: Filter, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, model: Filter, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the method's log odds as score."""
-    return scored(featured(pages, model.words, rules), model.odds, threshold)
+    return scored(featured(pages, model.words, rules), model.odds, model.threshold)
 
 
 def scored(rows: DataFrame, odds: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -217,4 +277,4 @@ def scored(rows: DataFrame, odds: np.ndarray, threshold: float = THRESHOLD) -> D
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = featured(pages, vocabulary(pages))
-    return scored(rows, fit(rows))
+    return scored(rows, fit(rows), chosen(rows)[0])

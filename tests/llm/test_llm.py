@@ -481,9 +481,9 @@ def test_url_odds_equal_brute_force(spark):
     sums = np.zeros((2, url_filter.BUCKETS))
     for r in rows.collect():
         seeded = any(t.startswith("h:") and t[2:] in url_filter.SEEDS for t in r.known)
-        if seeded or r.ruling:
+        if seeded or r.ruling == "allow":
             for t in r.known:
-                sums[int(seeded or r.ruling == "block"), url_filter.bucket(t)] += 1
+                sums[int(seeded), url_filter.bucket(t)] += 1
     odds, (a, b) = url_filter.fit(rows), sums.sum(1)
     for r in url_filter.scored(rows, odds).collect():
         want = 0.0
@@ -496,6 +496,46 @@ def test_url_odds_equal_brute_force(spark):
         assert r.rule is not None or r.verdict == ("block" if want >= url_filter.THRESHOLD else "allow")
 
 
+def test_url_filter_survives_words_of_all_lengths_and_a_long_run(spark):
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    text = " ".join(letters(n) for n in range(1, 1501)) + " " + " ".join("a" * n for n in range(1, 300))
+    inner = letters(900)
+    pages = spark.createDataFrame([(1, "http://x.info/fr/" + letters(1500) + inner + "a" * 1600, text + " " + inner), (2, None, f"<p>{inner}</p>")], "page_id long, url string, html string")
+    words = url_filter.vocabulary(pages)
+    tokens = {r.page_id: r.tokens for r in url_filter.featured(pages, words).collect()}
+    assert "p:" + inner in tokens[1] and "p:" + "a" * 299 in tokens[1] and tokens[2] == []
+
+
+def _all_splits(run, counts, total, longest=9):
+    cost = lambda w: -np.log(counts[w] / (total + 1.0)) if w in counts else np.log(total + 1.0) + 2.0 + 3.0 * len(w)
+    best = {0: (0.0, [])}
+    for j in range(1, len(run) + 1):
+        best[j] = min(((best[i][0] + cost(run[i:j]), [*best[i][1], run[i:j]]) for i in range(j)), key=lambda b: b[0])
+    return best[len(run)][0], cost
+
+
+def test_segmentation_equals_the_best_of_all_splits(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = {w: int(rng.integers(1, 50)) for w in ["the", "then", "he", "hen", "n", "in", "ink", "kin", "nether", "t" * 20, "t" * 18 + "h"]}
+    runs = ["".join(rng.choice(["the", "in", "k", "n", "he", "q", "t" * 20], int(rng.integers(1, 6)))) for _ in range(60)]
+    words = spark.createDataFrame(list(vocabulary.items()), "w string, n long")
+    total = sum(vocabulary.values())
+    for r in url_filter.segmented(spark.createDataFrame([(x,) for x in set(runs)], "run string"), words).collect():
+        least, cost = _all_splits(r.run, vocabulary, total)
+        assert "".join(r.words) == r.run and sum(map(cost, r.words)) == pytest.approx(least)
+
+
+def test_url_threshold_is_chosen_on_other_urls(spark):
+    urls = [f"http://{h}{i}.info/fr/a" if h != "good" else f"http://good{i}.net/de/{i}" for i in range(60) for h in ("casino-", "good")]
+    pages = spark.createDataFrame([(i, u, "<p>casino good words</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    model = url_filter.train(pages)
+    rows = url_filter.featured(pages, model.words)
+    threshold, figures = url_filter.chosen(rows)
+    assert figures["blocked_right"] == figures["allowed_right"] == 1.0 and threshold == model.threshold
+    assert all((r.verdict == "block") == ("casino" in r.host) for r in url_filter.judge(pages, model).collect())
+
+
 def test_label_model_step_equals_bayes():
     votes = np.array([[1, 0], [1, 1], [2, 0], [2, 2], [0, 0], [1, 2]])
     m = toxicity.LabelModel.fit(votes, 0.4, rounds=3)
