@@ -38,7 +38,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its rows. Texts without words are in no group: each id keeps one, and so does each such text with a null id."""
     null = F.col("doc_id").isNull()
     worded = F.col("n_shingles") > 0
-    unit = F.when(null, F.when(worded, F.col("component")).otherwise(F.col("row")))
+    unit = F.when(null, F.when(worded, F.col("component").cast("string")).otherwise(F.hex("row")))
     kept = near_dedup.grouped(docs, percent=PERCENT).where("kept").groupBy("doc_id", unit.alias("unit"), (null & worded).alias("in_group"))
     kept = kept.agg(F.min(F.struct(~worded, "row")).alias("best")).select("best.row")
     rows = docs.select(*COLUMNS, near_dedup.row_key(F.col("doc_id"), F.col("text")).alias("row"))
