@@ -260,8 +260,9 @@ def _joined(table: pa.Table, percent: int) -> pa.Table:
 
 
 def row_key(key: Column, text: Column) -> Column:
-    """A 64-bit hash of id and text: what tells rows apart where ids are null or repeat."""
-    return F.xxhash64(key.cast("long"), text)
+    """A 128-bit digest of id and text: what tells rows apart where ids are null or repeat. Rows that are alike share it."""
+    marked = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit("-"))  # noqa: E731  null and empty differ
+    return F.unhex(F.md5(F.concat(marked(key.cast("long").cast("string")), F.lit(":"), marked(text)).cast("binary")))
 
 
 def versions(sketch: DataFrame, of_class: DataFrame) -> DataFrame:
@@ -278,7 +279,7 @@ def versions(sketch: DataFrame, of_class: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """doc_id, row (its row_key), n_shingles, component (a number of its own, null without words), component_id, kept for each row of docs."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(F.col(key), F.col(text)).alias("row"))
-    sketch = stored(rows.mapInArrow(_sketch, "doc_id long, row long, n_shingles long, digest binary, bands array<long>, sig array<long>"), "sketch")
+    sketch = stored(rows.mapInArrow(_sketch, "doc_id long, row binary, n_shingles long, digest binary, bands array<long>, sig array<long>"), "sketch")
     # equal sets have equal bands and signatures; a copy with an id stands for the class where there is one
     of_set = [F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sig")]
     stands = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stands")
@@ -290,11 +291,14 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: i
     of_class = classes.join(comps, "id", "left").select("digest", "doc_id", "row", F.coalesce("comp", "id").alias("component"))
     of_class = of_class.join(versions(sketch, of_class), "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
     named = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("first"))
-    of_class = of_class.join(named, "component").select("digest", "component", "component_id", (F.col("row") == F.col("first")).alias("leads"))
-    out = sketch.select("doc_id", "row", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    kept = component.eqNullSafe(F.col("doc_id")) & (F.col("doc_id").isNotNull() | F.coalesce("leads", F.lit(True)))
-    return out.select("doc_id", "row", "n_shingles", "component", component.alias("component_id"), kept.alias("kept"))
+    # stored, so that both sides of the join below are plain exchanges and the rows of a class with very many copies are split
+    of_class = stored(of_class.join(named, "component").select("digest", "component", "component_id", (F.col("row") == F.col("first")).alias("leads")), "of-class")
+    own = sketch.select("doc_id", "row", "n_shingles", "digest")
+    out = own.where("n_shingles > 0").join(of_class, "digest", "left")
+    kept = F.col("component_id").eqNullSafe(F.col("doc_id")) & (F.col("doc_id").isNotNull() | F.col("leads"))
+    worded = out.select("doc_id", "row", "n_shingles", "component", "component_id", kept.alias("kept"))
+    # texts without words would all meet at one digest; they have no class to look up
+    return worded.unionByName(own.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def group(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh_path, plan_bytes, slices
+from graphloom.llm.common import fresh_path, plan_bytes, slices, stored
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
@@ -112,7 +112,8 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest_hex", F.sha1(F.col("html").cast("binary")))
     first = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest_hex").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    found = rows.join(first.where("n > 1").drop("n"), "digest_hex", "left")
+    # stored, so that the join is one of plain exchanges where it isn't a broadcast, and the pages of a frequent payload are split
+    found = rows.join(stored(first.where("n > 1").drop("n"), "payloads"), "digest_hex", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least_bytes)
     return found.select("page_id", "url", "html", "digest_hex", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
