@@ -18,7 +18,7 @@ from graphloom.operators import graphs as gr
 from graphloom.operators import learning as le
 from graphloom.operators import lovasz as lo
 from graphloom.operators import paths as pa
-from graphloom.plans import cut, fresh_path
+from graphloom.plans import cut, fresh_path, reuse
 from graphloom.queries import _C, _CELLS, _D2, _NEAR, _SLOTS, _V, _WL, GRAPHS, SQL, _disk_vectors, _first_centroids, _mlp, _sql, _states, bfs, inner_bfs, query
 from graphloom.sources import files, layouts
 from graphloom.sources.driver_tables import customer_graphs, vectors
@@ -90,6 +90,19 @@ def archive_splits(spark, d: str) -> DataFrame:
     return layouts.read_archive_splits(spark, path, "place")
 
 
+@query(SQL["graph_properties"])
+def reused_properties(spark, d: str) -> DataFrame:
+    """The properties of the graphs as a second run finds them in the store, where it must not compute them again."""
+    store, inputs = fresh_path(spark, "store"), [f"{d}/{t}.parquet" for t in ("lineitem", "orders", "part", "customer")]
+    kept = {c: F.round(c, 6) for c in ("size_avg", "labels_avg")}
+    reuse.stage(spark, store, "properties", inputs, {"round": 6}, lambda: gr.properties(customer_graphs(spark, d)).withColumns(kept))
+
+    def again() -> DataFrame:
+        raise RuntimeError("the stored stage wasn't found")
+
+    return reuse.stage(spark, store, "properties", inputs, {"round": 6}, again)
+
+
 # sources and sinks --------------------------------------------------------------------------------------------------------
 
 
