@@ -285,8 +285,9 @@ def cross_entropy(logits: np.ndarray, target: np.ndarray) -> tuple[float, np.nda
     """Mean loss and its gradient by logit."""
     z = logits - logits.max(1, keepdims=True)
     p = np.exp(z)
-    p /= p.sum(1, keepdims=True)
-    loss = float(-np.log(p[np.arange(len(p)), target] + 1e-12).mean())
+    total = p.sum(1, keepdims=True)
+    loss = float((np.log(total[:, 0]) - z[np.arange(len(z)), target]).mean())
+    p /= total
     p[np.arange(len(p)), target] -= 1
     return loss, p / len(p)
 
