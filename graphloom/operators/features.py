@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import paths
@@ -87,6 +87,38 @@ def histogram(colours: DataFrame) -> DataFrame:
     return colours.groupBy("graph_id", "round", "colour").agg(F.count("*").alias("cnt"))
 
 
+#: Buckets of colours, by their first three hexadecimal digits, for which sums of sizes are taken.
+DIGITS = 3
+
+
+def colour_alphabet(counts: DataFrame) -> DataFrame:
+    """round, colour, slot: the place of each distinct colour among its round's, in order, from 0; one alphabet for all graphs.
+
+    Colours are digests, so their first digits deal them evenly: places are taken within buckets, beside sums over at most 16^DIGITS
+    sizes a round, and no task sorts an alphabet."""
+    one = counts.select("round", "colour").distinct().withColumn("bucket", F.substring("colour", 1, DIGITS))
+    sizes = one.groupBy("round", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("round").orderBy("bucket")) - F.col("n")
+    starts = sizes.select("round", "bucket", before.alias("start"))
+    place = F.row_number().over(Window.partitionBy("round", "bucket").orderBy("colour")) - 1
+    return one.withColumn("place", place).join(starts, ["round", "bucket"]).select("round", "colour", (F.col("start") + F.col("place")).alias("slot"))
+
+
+def colour_slots(counts: DataFrame, alphabet: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """keys, round, slots, counts: a histogram's colours as places of the alphabet, ascending. Colours outside it are left out, as for
+    graphs that came after it was made; a graph with none of its colours has no row."""
+    of = F.sort_array(F.collect_list(F.struct("slot", "cnt")))
+    rows = counts.join(alphabet, ["round", "colour"]).groupBy(*keys, "round").agg(of.alias("s"))
+    return rows.select(*keys, "round", F.transform("s", lambda s: s.slot).alias("slots"), F.transform("s", lambda s: s.cnt).alias("counts"))
+
+
+def dense_counts(slots: DataFrame, width: int) -> DataFrame:
+    """slots' rows with `features`: an array of so many doubles, one a place of the alphabet."""
+    cells = F.map_from_arrays("slots", "counts")
+    features = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0)).cast("double"))
+    return slots.withColumn("cells", cells).withColumn("features", features if width else F.array().cast("array<double>")).drop("cells", "slots", "counts")
+
+
 def normalised_histogram(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Counts over the length of their key's vector of counts."""
     length = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("length"))

@@ -10,7 +10,7 @@ vertices such as disks and rings. Many graphs run in parallel. Vertices without
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations
+from hashlib import md5
 from math import comb, sqrt
 
 import numpy as np
@@ -138,20 +138,77 @@ def sample_counts(sizes: range, n: int, samples: int) -> dict[int, int]:
     return out
 
 
-def cone_features(u: np.ndarray, sizes: range, samples: int, seed) -> list[float]:
+def drawn(total: int, want: int, salt: str) -> list[int]:
+    """`want` distinct numbers below total, every such set equally likely over the salts: number j, from total - want on, is
+    (the first 15 hexadecimal digits of md5 of "salt:j") mod (j + 1), or j itself where that was taken. All where there are no more."""
+    taken: dict[int, None] = {}
+    for j in range(max(0, total - want), total):
+        x = int(md5(f"{salt}:{j}".encode()).hexdigest()[:15], 16) % (j + 1)
+        taken[j if x in taken else x] = None
+    return list(taken)
+
+
+def unranked(place: int, d: int) -> list[int]:
+    """The d-subset at this place of all, ordered by their largest members: place = comb(s0, 1) + comb(s1, 2) + ..., s ascending."""
+    out = []
+    for i in range(d, 0, -1):
+        low, high = i - 1, i
+        while comb(high, i) <= place:
+            low, high = high, 2 * high
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if comb(mid, i) <= place else (low, mid)
+        place -= comb(low, i)
+        out.append(low)
+    return out[::-1]
+
+
+def random_subsets(n: int, sizes: range, samples: int, salt: str) -> dict[int, list[list[int]]]:
+    """For each size the distinct subsets of 0 .. n - 1 to take, by their places, so that none is made that isn't taken."""
+    return {d: [unranked(p, d) for p in drawn(comb(n, d), want, f"{salt}:{d}")] for d, want in sample_counts(sizes, n, samples).items()}
+
+
+def cone_features(u: np.ndarray, sizes: range, samples: int, salt: str) -> list[float]:
     """For each size the mean cone value over distinct random subsets; all subsets where fewer exist; 0 where none is drawn."""
-    n, rng, out = len(u), np.random.default_rng(seed), []
-    counts = sample_counts(sizes, n, samples)
-    for d in sizes:
-        want = counts.get(d, 0)
-        if want >= comb(n, d):
-            drawn = set(combinations(range(n), d)) if want else set()
-        else:
-            drawn = set()
-            while len(drawn) < want:
-                drawn.add(tuple(sorted(rng.choice(n, d, replace=False).tolist())))
-        out.append(float(np.mean([cone(u[list(s)]) for s in sorted(drawn)])) if drawn else 0.0)
-    return out
+    subsets = random_subsets(len(u), sizes, samples, salt)
+    return [float(np.mean([cone(u[s]) for s in sorted(subsets[d])])) if subsets.get(d) else 0.0 for d in sizes]
+
+
+def _sizes(vertices: DataFrame, keys: list[str]) -> DataFrame:
+    return vertices.where("vertex_id IS NOT NULL").groupBy(*keys).agg(F.count_distinct("vertex_id").alias("n"))
+
+
+def subset_counts(vertices: DataFrame, sizes: range, samples: int, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """keys, d, samples: how many subsets of d vertices to draw from each graph."""
+    return _drawn(vertices, keys, "d long, samples long", lambda n, key: sample_counts(sizes, n, samples).items())
+
+
+def subsets(vertices: DataFrame, sizes: range, samples: int, seed: int = 0, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """keys, d, subset: the subsets that `features` draws, as places in the order of a graph's vertex ids."""
+
+    def rows(n, key):
+        of = random_subsets(n, sizes, samples, _salt(seed, key))
+        return [(d, s) for d, some in of.items() for s in some]
+
+    return _drawn(vertices, keys, "d long, subset array<long>", rows)
+
+
+def _salt(seed: int, key) -> str:
+    return ":".join(map(str, [seed, *map(int, key)]))
+
+
+def _drawn(vertices: DataFrame, keys: tuple[str, ...], kinds: str, rows) -> DataFrame:
+    """keys and rows(n, key) for each graph of n vertices; keys are integers."""
+    names = [*keys, *[x.split()[0] for x in kinds.split(", ")]]
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame([(*key, *r) for *key, n in b.itertuples(index=False) for r in rows(int(n), key)], columns=names)
+
+    types = ", ".join(f"{k} {vertices.schema[k].dataType.simpleString()}" for k in keys)
+    return _sizes(vertices, list(keys)).mapInPandas(run, f"{types}, {kinds}")
 
 
 def _by_graph(vertices: DataFrame, edges: DataFrame, keys: list[str], kinds: str, f) -> DataFrame:
@@ -188,6 +245,6 @@ def features(vertices: DataFrame, edges: DataFrame, sizes: range, samples: int,
     def row(key, n, e):
         theta, z = _solved(n, e.tobytes())
         u = representation(theta, z) if n > 1 else np.ones((1, 1))
-        return n, cone_features(u, sizes, samples, [seed, *(int(k) % 2**63 for k in key)])
+        return n, cone_features(u, sizes, samples, _salt(seed, key))
 
     return _by_graph(vertices, edges, list(keys), "n long, features array<double>", row)

@@ -15,6 +15,7 @@ from graphloom.operators import learning as le
 from graphloom.operators import lovasz as lo
 from graphloom.operators import paths as pa
 from graphloom.operators import pipelines
+from graphloom.plans import cut
 from graphloom.sources import files
 from graphloom.sources.driver_tables import customer_graphs, vectors
 
@@ -564,7 +565,14 @@ def clarans_cost(spark, d: str) -> DataFrame:
     return cl.swap_cost(near, 3, F.array(*[F.lit(float(e)) for e in new])).select(F.round("delta", 5).alias("delta"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, p AS MATERIALIZED (SELECT 18 * r + i - 1 AS place, x FROM (
+        SELECT r, x, row_number() OVER (PARTITION BY r ORDER BY md5('37:0:' || r || ':' || id), id) AS i FROM v, range(60) q(r)) WHERE i <= 18),
+    s AS (SELECT 8 AS place, 0 AS t, 0 AS failed, (SELECT list(x ORDER BY place) FROM p WHERE place < 8) AS centers
+    UNION ALL SELECT place + 1, t + fresh::INT, CASE WHEN delta < -1e-12 THEN 0 ELSE failed + fresh::INT END, CASE WHEN delta < -1e-12 THEN swapped ELSE centers END FROM (
+        SELECT place, t, failed, centers, swapped, fresh, sum(CASE WHEN fresh THEN list_min(list_transform(swapped, lambda c: list_distance(c, v.x))) - list_min(list_transform(centers, lambda c: list_distance(c, v.x))) ELSE 0 END) AS delta
+        FROM (SELECT s.*, NOT list_contains(centers, p.x) AS fresh, list_transform(range(8), lambda m: CASE WHEN m = (37 + t) % 8 THEN p.x ELSE centers[m + 1] END) AS swapped
+            FROM s JOIN p ON p.place = s.place WHERE failed < 10), v GROUP BY ALL))
+    SELECT m::INT AS cluster_id, list_transform(centers[m + 1], lambda e: round(e, 6)) AS center FROM (FROM s ORDER BY place DESC LIMIT 1), range(8) r(m)""")
 def clarans_medoids(spark, d: str) -> DataFrame:
     return cl.clarans(vectors(spark, d), 8, 10).select("cluster_id", rounded(F.col("center"), 6).alias("center"))
 
@@ -715,7 +723,37 @@ def cone_features(spark, d: str) -> DataFrame:
     SELECT graph_id, d, k + (i <= 100 - sum(k) OVER (PARTITION BY graph_id))::BIGINT AS samples FROM f"""))
 def cone_sample_counts(spark, d: str) -> DataFrame:
     """Subsets of one to three vertices to draw from each graph, of 100 in all."""
-    n = customer_graphs(spark, d).vertices.groupBy("graph_id").agg(F.count("*").alias("n"))
-    c = n.select("graph_id", F.expr("explode(filter(array(struct(1 AS d, n AS c), struct(2 AS d, n * (n - 1) div 2 AS c), struct(3 AS d, n * (n - 1) * (n - 2) div 6 AS c)), x -> x.d <= n)) AS x")).select("graph_id", "x.*")
-    f = c.withColumn("k", F.expr("100 * c div sum(c) OVER (PARTITION BY graph_id)")).withColumn("i", F.expr("row_number() OVER (PARTITION BY graph_id ORDER BY d DESC)"))
-    return f.select("graph_id", "d", F.expr("k + CAST(i <= 100 - sum(k) OVER (PARTITION BY graph_id) AS BIGINT) AS samples"))
+    return lo.subset_counts(customer_graphs(spark, d).vertices, range(1, 4), 100)
+
+
+@query(_sql(GRAPHS, "n AS (SELECT graph_id, count(*) n FROM vertices GROUP BY 1), d AS (SELECT graph_id, n, unnest([2, 3]) d FROM n)",
+    "c AS (SELECT graph_id, n, d, CASE d WHEN 2 THEN n * (n - 1) // 2 ELSE n * (n - 1) * (n - 2) // 6 END c FROM d WHERE d <= n)",
+    "f AS (SELECT *, (12 * c // sum(c) OVER (PARTITION BY graph_id))::BIGINT k, row_number() OVER (PARTITION BY graph_id ORDER BY d DESC) i FROM c)",
+    "w AS (SELECT *, least(c, k + (i <= 12 - sum(k) OVER (PARTITION BY graph_id))::BIGINT) AS want FROM f)",
+    """r AS (SELECT graph_id, d, unnest(list_reduce(list_transform(range(c - want, c), lambda j: [j]), lambda taken, j: list_append(taken, CASE WHEN list_contains(taken,
+            ('0x' || substr(md5('0:' || graph_id || ':' || d || ':' || j[1]), 1, 15))::BIGINT % (j[1] + 1)) THEN j[1] ELSE ('0x' || substr(md5('0:' || graph_id || ':' || d || ':' || j[1]), 1, 15))::BIGINT % (j[1] + 1) END),
+            []::BIGINT[])) AS place FROM w)""",
+    "m AS (SELECT max(n) AS m FROM n)", "pairs AS (SELECT 2 AS d, a + b * (b - 1) // 2 AS place, [a, b] AS subset FROM m, range(m) x(a), range(m) y(b) WHERE a < b)",
+    "triples AS (SELECT 3 AS d, p.place + c * (c - 1) * (c - 2) // 6 AS place, list_append(subset, c) AS subset FROM m, pairs p, range(m) z(c) WHERE c > subset[2])",
+    select="SELECT graph_id, r.d::BIGINT AS d, subset FROM r JOIN (FROM pairs UNION ALL FROM triples) t ON t.d = r.d AND t.place = r.place"))
+def cone_subsets(spark, d: str) -> DataFrame:
+    """The subsets that cone features of each graph draw, as places of its vertices in the order of their ids."""
+    return lo.subsets(customer_graphs(spark, d).vertices, range(2, 4), 12)
+
+
+@query(_WL.format(""", n AS (SELECT graph_id, colour, count(*) AS cnt FROM wl WHERE round = 1 GROUP BY ALL), a AS (SELECT colour, row_number() OVER (ORDER BY colour) AS slot FROM (SELECT DISTINCT colour FROM n)),
+    g AS (SELECT graph_id, map_from_entries(list((slot, cnt))) AS m FROM n JOIN a USING (colour) GROUP BY 1)
+    SELECT graph_id, list_transform(range(1, (SELECT count(*) FROM a) + 1), lambda i: coalesce(m[i], 0)::DOUBLE) AS features FROM g"""))
+def wl1_vectors(spark, d: str) -> DataFrame:
+    """Counts of the colours of round 1 over the alphabet of all graphs' colours."""
+    counts = cut(ft.histogram(ft.wl1(gr.settled(customer_graphs(spark, d)), 1)).where("round = 1"))
+    alphabet = ft.colour_alphabet(counts)
+    return ft.dense_counts(ft.colour_slots(counts, alphabet), alphabet.count()).select("graph_id", "features")
+
+
+@query(_WL.format(""", n AS (SELECT graph_id, round, colour, count(*) AS cnt FROM wl GROUP BY ALL), a AS (SELECT round, colour, row_number() OVER (PARTITION BY round ORDER BY colour) - 1 AS slot FROM (SELECT DISTINCT round, colour FROM n))
+    SELECT graph_id, round::INT AS round, list(slot ORDER BY slot) AS slots, list(cnt ORDER BY slot) AS counts FROM n JOIN a USING (round, colour) GROUP BY 1, 2"""))
+def wl1_slots(spark, d: str) -> DataFrame:
+    """Counts of the colours of rounds 0 to 2, each round with its own alphabet, as slots and counts."""
+    counts = cut(ft.histogram(ft.wl1(gr.settled(customer_graphs(spark, d)), 2)))
+    return ft.colour_slots(counts, ft.colour_alphabet(counts)).select("graph_id", "round", "slots", "counts")

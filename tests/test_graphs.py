@@ -1,5 +1,6 @@
 """Golden outputs, closed forms and laws of the graph operators, on toy graphs with the degenerate cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,26 @@ def test_clarans_searches_until_enough_proposals_fail(spark):
     assert sorted(round(r.center[0] / 100) for r in medoids) == list(range(6))
     few = spark.createDataFrame(rows[:3], "id long, x array<double>")
     assert len(cl.clarans(few, 3, 5).collect()) == 3
+    assert cl.clarans(v.limit(0), 3, 5).count() == 0
+    assert len(cl.clarans(spark.createDataFrame(rows[:1] * 4, "id long, x array<double>"), 2, 3).collect()) == 2
+
+
+def test_medoid_table_keeps_the_two_nearest_across_swaps(spark):
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 6, (150, 2)).astype(float)  # many ties and repeated points
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "id long, x array<double>")
+    table = cl.MedoidTable(v, {m: points[m].tolist() for m in range(5)})
+    for step in range(7):
+        out, new = int(rng.integers(5)), points[rng.integers(150)].tolist()
+        before, [delta] = table.cost, table.deltas([(out, new)])
+        table.swap(out, new)
+        fresh = cl.two_nearest(v, spark.createDataFrame(list(table.medoids.items()), "cluster_id int, center array<double>"))
+        columns = ["id", "m1", "d1", "m2", "d2"]
+        assert sorted(table.near.select(columns).collect()) == sorted(fresh.select(columns).collect()), step
+        assert table.cost == pytest.approx(before + delta)
+    single = cl.MedoidTable(v, {0: points[0].tolist()})
+    single.swap(0, points[1].tolist())
+    assert single.cost == pytest.approx(np.linalg.norm(points - points[1], axis=1).sum())
 
 
 def test_class_representatives_with_equal_vectors(spark):
@@ -137,3 +158,18 @@ def test_clique_query_goes_on_past_two_dimensions(spark, monkeypatch):
     rows = [(i, [0.1, 0.1, 0.1] if i % 10 else [1.0, 1.0, 1.0]) for i in range(40)]
     monkeypatch.setattr(queries, "vectors", lambda *_: spark.createDataFrame(rows, "id long, x array<double>"))
     assert {r["size"] for r in queries.clique_clusters(spark, "").collect()} == {1, 2, 3}
+
+
+def test_colour_alphabet_is_shared_and_dense(spark):
+    colours = [f"{(i * 2654435761) % 2**32:08x}" for i in range(300)]
+    rows = [(g, r, c, 1 + (g + i) % 3) for g in range(4) for r in range(2) for i, c in enumerate(colours) if (i + g + r) % 3]
+    counts = spark.createDataFrame(rows, "graph_id long, round int, colour string, cnt long")
+    alphabet = ft.colour_alphabet(counts)
+    want = {(r, c): i for r in range(2) for i, c in enumerate(sorted({c for _, q, c, _ in rows if q == r}))}
+    assert {(a.round, a.colour): a.slot for a in alphabet.collect()} == want
+    vectors = ft.dense_counts(ft.colour_slots(counts, alphabet), len(colours)).collect()
+    assert len(vectors) == 8 and all(sum(v.features) == sum(n for g, r, _, n in rows if (g, r) == (v.graph_id, v.round)) for v in vectors)
+    late = spark.createDataFrame([(9, 0, colours[1], 2), (9, 0, "zz", 5), (8, 0, "zz", 1)], counts.schema)
+    [new] = ft.colour_slots(late, alphabet).collect()
+    assert (new.graph_id, new.slots, new.counts) == (9, [want[0, colours[1]]], [2])
+    assert ft.colour_alphabet(counts.limit(0)).count() == 0

@@ -1,6 +1,8 @@
 """Closed forms of the theta number, its representation, enclosing balls and sample counts."""
 
-from math import sqrt
+from collections import Counter
+from itertools import combinations
+from math import comb, sqrt
 
 import numpy as np
 import pytest
@@ -43,11 +45,21 @@ def test_sample_counts_and_features():
     assert lo.sample_counts(range(2, 5), 4, 12) == {2: 6, 3: 4, 4: 2}
     assert lo.sample_counts(range(2, 5), 1, 12) == {}
     u = lo.representation(*lo.theta_number(5, CYCLE(5)))
-    out = lo.cone_features(u, range(1, 7), 31, 7)
-    assert out[0] == pytest.approx(1) and out[5] == 0 and out == lo.cone_features(u, range(1, 7), 31, 7)
+    out = lo.cone_features(u, range(1, 7), 31, "7")
+    assert out[0] == pytest.approx(1) and out[5] == 0 and out == lo.cone_features(u, range(1, 7), 31, "7")
     assert out[4] == pytest.approx(lo.cone(u))
 
 
+def test_subsets_by_place():
+    for d in range(1, 5):
+        every = [lo.unranked(p, d) for p in range(comb(7, d))]
+        assert sorted(every) == sorted(map(list, combinations(range(7), d)))
+    assert lo.unranked(comb(10**6, 3) - 1, 3) == [10**6 - 3, 10**6 - 2, 10**6 - 1]
+    assert sorted(lo.drawn(5, 9, "s")) == list(range(5)) and lo.drawn(5, 0, "s") == [] and lo.drawn(0, 3, "s") == []
+    seen = Counter(tuple(sorted(lo.drawn(6, 3, str(i)))) for i in range(20_000))
+    assert len(seen) == comb(6, 3) and all(abs(c - 1000) < 160 for c in seen.values())  # five standard deviations
+
+
 def test_graphs_with_isolated_vertices_loops_and_stray_edges(spark):
     v = spark.createDataFrame([(0, i) for i in range(10, 15)] + [(1, 3), (2, 1), (2, 2), (2, 2), (3, None)], "graph_id long, vertex_id long")
     e = spark.createDataFrame([(0, 10 + i, 10 + (i + 1) % 5) for i in range(5)] + [(1, 3, 3), (2, 1, 9), (4, 1, 2)], "graph_id long, src long, dst long")
@@ -55,6 +67,9 @@ def test_graphs_with_isolated_vertices_loops_and_stray_edges(spark):
     assert got == {0: (5, 2.2361), 1: (1, 1.0), 2: (2, 2.0)}
     f = {r.graph_id: r.features for r in lo.features(v, e, range(1, 3), 4).collect()}
     assert f[1] == [1.0, 0.0] and f[2] == pytest.approx([1.0, 2.0], abs=1e-4)
+    drawn = lo.subsets(v, range(1, 3), 4).collect()
+    assert sorted(r.subset for r in drawn if r.graph_id == 2) == [[0], [0, 1], [1]] and {r.graph_id for r in drawn} == {0, 1, 2}
+    assert {(r.d, r.samples) for r in lo.subset_counts(v, range(1, 3), 4).where("graph_id = 0").collect()} == {(1, 1), (2, 3)}
     disks = v.where("graph_id = 0").selectExpr("graph_id", "vertex_id % 2 AS root", "vertex_id")
     rings = lo.theta_numbers(disks, e.selectExpr("graph_id", "src % 2 AS root", "src", "dst"), keys=("graph_id", "root"))
     assert {(r.root, r.n, round(r.theta, 4)) for r in rings.collect()} == {(0, 3, 2.0), (1, 2, 2.0)}
