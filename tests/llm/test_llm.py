@@ -143,12 +143,27 @@ def test_top_k_knows_rows_that_repeat_an_id(spark, monkeypatch):
             best = sorted((-int(own @ e), j) for b, (j, e) in enumerate(x) if b != a)[:4]
             want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == sorted(want)
-    queries, blocks = -(-sum(i % 20 == 0 for i, _ in x) // 3), index.blocks.count()
-    assert 0 < index.visits < queries * blocks  # the bounds leave annuli out
+    assert index.pairs == sum(i % 20 == 0 for i, _ in x) * index.blocks.count() and 0 < index.visits < index.pairs  # the bounds leave annuli out
     assert vector_search.top_k(v.limit(0), v.limit(0).select("vec_id")).count() == 0
     assert vector_search.top_k(v.where("vec_id IS NULL"), v.select("vec_id")).count() == 0
 
 
+def test_top_k_leaves_most_annuli_of_clustered_vectors_out(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "BLOCK", 32)
+    monkeypatch.setattr(vector_search, "PAGE", 16)  # several pages
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(20, 24))
+    x = centers[rng.integers(20, size=2400)] + rng.normal(size=(2400, 24)) * 0.1
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    index = vector_search.Index(v)
+    out = index.search(v.where("vec_id % 20 = 0").select("vec_id")).collect()
+    x = np.floor(x.astype(np.float32).astype(float) * 64).astype(int)
+    s = x @ x.T
+    want = [(q, k + 1, j, int(s[q, j])) for q in range(0, 2400, 20) for k, j in enumerate(sorted((j for j in range(2400) if j != q), key=lambda j: (-s[q, j], j))[:20])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == want
+    assert index.visits < 0.5 * index.pairs
+
+
 def _groups(texts, percent=85):
     sets = {}
     for i, t in texts.items():
