@@ -796,6 +796,25 @@ def subset_counts(spark, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "n long, d long, samples long")
 
 
+@query(_sql(GRAPHS, "first AS (SELECT graph_id, min(vertex_id) AS root FROM vertices GROUP BY 1)", "near AS (SELECT f.graph_id, root, e.dst AS v FROM first f JOIN edges e ON e.graph_id = f.graph_id AND e.src = root)",
+    "deg AS (SELECT n.graph_id, n.root, n.v, count(m.v) AS deg FROM near n JOIN edges e ON e.graph_id = n.graph_id AND e.src = n.v LEFT JOIN near m ON m.graph_id = e.graph_id AND m.v = e.dst GROUP BY ALL)",
+    "t AS (SELECT graph_id, root, count(*) AS n, CASE WHEN max(deg) <= 1 THEN count(*) - sum(deg) / 2 END::DOUBLE AS theta FROM deg GROUP BY ALL)",
+    select="SELECT graph_id, root, 'ring' AS kind, n, theta FROM t UNION ALL SELECT f.graph_id, f.root, 'disk', coalesce(n, 0) + 1, CASE WHEN n IS NULL THEN 1 ELSE theta END FROM first f LEFT JOIN t USING (graph_id)"))
+def neighbour_theta(spark, d: str) -> DataFrame:
+    """Theta numbers of the 1-disk and the 1-1-ring around the first vertex of each graph. A vertex joined to all others leaves the number
+    as it is; where no neighbour has two others beside it, the number counts the neighbours less their edges, and is given."""
+    g = _settled(spark, d)
+    first = g.vertices.groupBy("graph_id").agg(F.min("vertex_id").alias("root"))
+    dist, out, keys = cut(pa.graph_distances(g, 1, first)), [], ("graph_id", "root")
+    for kind, r in (("disk", 0), ("ring", 1)):
+        nodes = pa.ring(dist, r, 1)
+        edges = cut(pa.induced(nodes, g.edges))
+        out.append(lo.theta_numbers(nodes.select(*keys, F.col("v").alias("vertex_id")), edges, keys).withColumn("kind", F.lit(kind)))
+    most = edges.groupBy(*keys, "src").agg(F.count("*").alias("deg")).groupBy(*keys).agg(F.max("deg").alias("most"))
+    given = F.when(F.coalesce("most", F.lit(0)) <= 1, F.round("theta", 3))
+    return out[0].unionByName(out[1]).join(most, list(keys), "left").select(*keys, "kind", "n", given.alias("theta"))
+
+
 @query()
 def kdisk_theta(spark, d: str) -> DataFrame:
     """Theta numbers of the 1-disks around the first vertex of each graph."""

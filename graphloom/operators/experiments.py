@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans import running
+
 
 def _order(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("graph_id").cast("string")))
@@ -142,8 +144,7 @@ def accuracy(rows: DataFrame) -> DataFrame:
 def roc_auc(rows: DataFrame) -> DataFrame:
     """Area under the curve of (score, y) by rank sums; ties count half. Rows are first summed by score."""
     by = rows.groupBy("score").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") == 0).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = running(by, "score", "neg", "below").withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return won.agg((F.sum("won") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans import dealt
+from graphloom.plans import dealt, running
 
 
 @dataclass
@@ -94,11 +94,10 @@ def dataset_index(g: Graphs) -> DataFrame:
 
 def database_index(g: Graphs, samples: DataFrame) -> DataFrame:
     """Rows of sampled graphs (graph_id, place) in sample order: graph_id, vertex_id, database_idx."""
-    s = sizes(g).join(samples, "graph_id")
-    start = F.coalesce(F.sum("size").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = running(sizes(g).join(samples, "graph_id"), "place", "size", "start")
     place = F.row_number().over(Window.partitionBy("graph_id").orderBy("vertex_id")) - 1
     v = g.vertices.select("graph_id", "vertex_id", place.alias("position"))
-    return v.join(s.select("graph_id", start.alias("start")), "graph_id").select("graph_id", "vertex_id", (F.col("start") + F.col("position")).cast("long").alias("database_idx"))
+    return v.join(s.select("graph_id", "start"), "graph_id").select("graph_id", "vertex_id", (F.col("start") + F.col("position")).cast("long").alias("database_idx"))
 
 
 def mapped(g: Graphs, vertices=None, edges=None) -> Graphs:

@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +58,20 @@ def grow(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], most: in
     return out
 
 
+def running(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """rows with the column `name`: the sum of `value` (longs) over all rows before, in the order of a column without ties.
+
+    Rows are dealt by ranges of that column and checkpointed; sums within a range join those of the ranges before it, a row each, so
+    that no task orders all rows."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut(rows.repartitionByRange(parts, order)).withColumn("_part", F.spark_partition_id())
+    sums = d.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    base = sums.select("_part", F.coalesce(F.sum("_sum").over(before(Window.orderBy("_part"))), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum(value).over(before(Window.partitionBy("_part").orderBy(order))), F.lit(0))
+    return d.withColumn("_own", own).join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
+
+
 #: Rows of sums that the driver adds itself.
 FLAT = 16
 

@@ -15,7 +15,7 @@ from graphloom.operators import learning as le
 from graphloom.operators import lovasz as lo
 from graphloom.operators import paths as pa
 from graphloom.operators import pipelines
-from graphloom.plans import cut
+from graphloom.plans import cut, running
 from graphloom.sources import files
 from graphloom.sources.driver_tables import customer_graphs, vectors
 
@@ -125,11 +125,9 @@ def dataset_idx(spark, d: str) -> DataFrame:
 @query(_sql(GRAPHS, "s AS (SELECT graph_id, row_number() OVER (ORDER BY graph_id DESC) place FROM graphs WHERE y = 0)",
     select="SELECT graph_id, vertex_id, row_number() OVER (ORDER BY place, vertex_id) - 1 AS database_idx FROM vertices JOIN s USING (graph_id)"))
 def index_lookup(spark, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     g = customer_graphs(spark, d)
-    samples = g.graphs.where("y = 0").select("graph_id", F.row_number().over(Window.orderBy(F.desc("graph_id"))).alias("place"))
-    return gr.database_index(g, samples)
+    chosen = g.graphs.where("y = 0").select("graph_id", F.negate("graph_id").alias("place"), F.lit(1).alias("one"))
+    return gr.database_index(g, running(chosen, "place", "one", "n").select("graph_id", (F.col("n") + 1).alias("place")))
 
 
 @query(_sql(GRAPHS, select="SELECT graph_id, vertex_id, label FROM vertices JOIN graphs USING (graph_id) WHERE y = 1"))

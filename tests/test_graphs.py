@@ -11,6 +11,7 @@ from graphloom.operators import features as ft
 from graphloom.operators import graphs as gr
 from graphloom.operators import learning as le
 from graphloom.operators import paths as pa
+from graphloom.plans import running
 from graphloom.sources import files
 
 HALF = [(0, 0, 1), (0, 0, 2), (0, 2, 3), (0, 2, 4), (1, 0, 1), (1, 0, 2), (1, 0, 3), (1, 1, 2)]
@@ -173,3 +174,14 @@ def test_colour_alphabet_is_shared_and_dense(spark):
     [new] = ft.colour_slots(late, alphabet).collect()
     assert (new.graph_id, new.slots, new.counts) == (9, [want[0, colours[1]]], [2])
     assert ft.colour_alphabet(counts.limit(0)).count() == 0
+
+
+def test_running_sums_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(o), int(x)) for o, x in zip(rng.permutation(500), rng.integers(0, 9, 500), strict=True)]
+    got = {r.o: r.s for r in running(spark.createDataFrame(rows, "o long, x long").repartition(3), "o", "x", "s").collect()}
+    total = 0
+    for o, x in sorted(rows):
+        assert got[o] == total
+        total += x
+    assert running(spark.createDataFrame([], "o long, x long"), "o", "x", "s").count() == 0
