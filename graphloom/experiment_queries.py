@@ -467,6 +467,20 @@ def clique_levels(spark, d: str) -> DataFrame:
     return cl.clique(v, 4, 0.1).groupBy("size").agg(F.count("*").alias("units"), F.sum("cnt").alias("points"))
 
 
+@query(f"""WITH RECURSIVE {_CELLS}, t AS (SELECT 0.1 * count(*) n FROM v), u AS (SELECT f, bin, count(*) AS cnt FROM bins GROUP BY 1, 2 HAVING count(*) > (SELECT n FROM t)), h AS (SELECT id, f, bin FROM bins JOIN u USING (f, bin)),
+    p AS (SELECT a.f AS f1, a.bin AS b1, b.f AS f2, b.bin AS b2, count(*) AS cnt FROM h a JOIN h b ON a.id = b.id AND a.f < b.f GROUP BY 1, 2, 3, 4 HAVING count(*) > (SELECT n FROM t)),
+    n AS (SELECT f AS f1, bin AS b1, -1 AS f2, -1 AS b2, cnt FROM u UNION ALL FROM p),
+    r AS (SELECT f1, f2, b1, b2, b1 AS m1, b2 AS m2 FROM n UNION SELECT n.f1, n.f2, n.b1, n.b2, r.m1, r.m2 FROM r JOIN n ON n.f1 = r.f1 AND n.f2 = r.f2 AND abs(n.b1 - r.b1) + abs(n.b2 - r.b2) = 1),
+    c AS (SELECT f1, f2, b1, b2, min([m1, m2]) AS m FROM r GROUP BY 1, 2, 3, 4)
+    SELECT f1, f2, m[1] AS bin1, m[2] AS bin2, count(*) AS units, sum(cnt)::BIGINT AS points FROM c JOIN n USING (f1, f2, b1, b2) GROUP BY 1, 2, 3, 4""")
+def clique_components(spark, d: str) -> DataFrame:
+    """Clusters of units of one and two dimensions (f2 and bin2 of the former are -1) that hold a tenth of the rows, by their least unit."""
+    units = cl.clique(vectors(spark, d), 4, 0.1, 2)
+    by = units.groupBy("size", "cluster").agg(F.min("unit").alias("least"), F.count("*").alias("units"), F.sum("cnt").alias("points"))
+    part = lambda i, x: F.coalesce(F.get("least", F.lit(i))[x], F.lit(-1))
+    return by.select(part(0, "f").alias("f1"), part(1, "f").alias("f2"), part(0, "bin").alias("bin1"), part(1, "bin").alias("bin2"), "units", "points")
+
+
 # cluster ids and networks -----------------------------------------------------------------------------------------------------
 
 
