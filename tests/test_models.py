@@ -67,6 +67,24 @@ def test_steep_clusters_find_the_valleys():
     assert cl.steep_clusters(np.array([np.inf, 1.0, 1.0, np.inf]), 3, 0.05) == {(0, 2)}
 
 
+def test_clusters_end_at_points_reached_from_within():
+    shorter = 0
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        r = np.concatenate([[np.inf], rng.choice([0.1, 0.2, 0.5, 1.0, np.inf], 40), [np.inf]])
+        before = np.array([-1 if np.isinf(r[i]) else int(rng.integers(0, i)) for i in range(41)])  # nothing reaches some points
+        plain, found = cl.steep_clusters(r, 3, 0.05), cl.steep_clusters(r, 3, 0.05, before)
+        assert all(r[s] > r[e] or s <= before[e] < e for s, e in found)
+        assert all(e - s >= 2 and any(s == a and e <= b for a, b in plain) for s, e in found)
+        within = {(s, e) for s, e in plain if r[s] > r[e] or before[e] >= s}
+        assert within <= found
+        shorter += len(plain - found)
+        assert cl.steep_clusters(r, 3, 0.05, np.arange(-1, 40)) == plain  # each reached from the one before
+    assert shorter
+    r = np.array([np.inf, 0.1, 0.1, 0.1, 0.1, np.inf, np.inf, np.inf])
+    assert cl.steep_clusters(r, 3, 0.05, np.array([-1, 0, 1, 2, 3, -1, -1])) == {(0, 4)}
+
+
 def test_reachability_equals_the_definition(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 0.1, (12, 2)), rng.normal(5, 0.1, (12, 2))])
@@ -78,6 +96,8 @@ def test_reachability_equals_the_definition(spark):
     for row in order.itertuples():
         want = min((max(core[p], d[p, row.id]) for p in done), default=np.inf)
         assert row.reachability == pytest.approx(want) and row.core == pytest.approx(core[row.id])
+        source = done[row.before] if row.before >= 0 else None  # places are in the order of the rows
+        assert (source is None) == (not done) and (source is None or max(core[source], d[source, row.id]) == pytest.approx(want))
         done.append(row.id)
     clusters = cl.optics_clusters(cl.optics_order(v, 4), 4).collect()
     assert {(0, 11), (12, 23)} <= {(r.start, r.end) for r in clusters}
