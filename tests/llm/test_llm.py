@@ -569,3 +569,81 @@ def test_co_training_scores_equal_the_model(spark):
     want = 1 / (1 + np.exp(-(z[0] * model.mix[0] + z[1] * model.mix[1] + model.mix[2])))
     got = {r.doc_id: r.score for r in quality_classifier.judge(rows, model).collect()}
     assert got == pytest.approx(dict(zip(frame["doc_id"].tolist(), want.tolist(), strict=True)), abs=1e-6)
+
+
+def test_label_model_equals_em_by_brute_force():
+    rng = np.random.default_rng(8)
+    truth = rng.random(60) < 0.3
+    said = np.where(rng.random((60, 5)) < 0.8, np.where(truth, 1, 2)[:, None], np.where(truth, 2, 1)[:, None])
+    votes = np.where(rng.random((60, 5)) < 0.3, 0, said)
+    votes[:, 4] = votes[:, 3]  # two that always go together
+    prior, weight = 0.3, [1.0] * 5
+    p = []
+    for row in votes.tolist():
+        n = row.count(1)
+        p.append(min(0.98, 0.6 + 0.1 * n) if n else 0.02 if 2 in row else 0.2)
+    for turn in range(12):
+        share = {}
+        for j in range(5):
+            for c in (0, 1):
+                mass = [q if c else 1 - q for q in p]
+                for v in range(3):
+                    share[j, c, v] = (sum(m for m, row in zip(mass, votes, strict=True) if row[j] == v) + 0.5) / (sum(mass) + 1.5)
+        if turn == 9:
+            says = [[float(x == 1) for x in row] for row in votes.tolist()]
+            mean = [[sum(m * s[j] for m, s in zip(mass, says, strict=True)) / sum(mass) for j in range(5)] for mass in (p, [1 - q for q in p])]
+            left = [[s[j] - q * mean[0][j] - (1 - q) * mean[1][j] for j in range(5)] for q, s in zip(p, says, strict=True)]
+            dot = lambda i, j: sum(row[i] * row[j] for row in left)
+            alike = lambda i, j: min(1.0, max(0.0, dot(i, j) / (dot(i, i) * dot(j, j)) ** 0.5))
+            weight = [1 / (1 + sum(a for i in range(5) if i != j and (a := alike(i, j)) >= 0.3)) for j in range(5)]
+        odds = [prior / (1 - prior) * np.prod([(share[j, 1, v] / share[j, 0, v]) ** weight[j] for j, v in enumerate(row) if v]) for row in votes.tolist()]
+        p = [o / (1 + o) for o in odds]
+    model = toxicity.LabelModel.fit(votes, prior, rounds=12)
+    assert model.weight == pytest.approx(weight) and weight[3] < 0.6 and model.posterior(votes) == pytest.approx(p)
+    assert all(model.table[k] == pytest.approx(s) for k, s in share.items())
+    assert ((np.array(p) >= 0.5) == truth).mean() > 0.8
+
+
+def test_a_round_of_co_training_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "ROUNDS", 1)
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = common.stored(quality_classifier.measured(d), "measured")
+    model = quality_classifier.train(rows, labels)
+    frame = rows.withColumn("draw", quality_classifier._part(F.col("doc_id"), 10)).toPandas()
+    part = np.array([zlib.crc32(str(i).encode()) % 5 for i in frame["doc_id"]])
+    gold = {r.doc_id: r.quality for r in labels.collect()}
+    y = np.array([gold.get(i, -1) for i in frame["doc_id"]])
+    fit, cal, free = (part > 1) & (y >= 0), (part == 1) & (y >= 0), (part > 0) & (y < 0)
+    views = [quality_classifier.View.over(frame[fit], quality_classifier.TEXT, {}), quality_classifier.View.over(frame[fit], quality_classifier.META[:1], {"source": quality_classifier.SOURCES, "lang": quality_classifier.LANGS})]
+    for v in views:
+        v.fit(v.matrix(frame[fit]), y[fit].astype(float))
+    want, share = quality_classifier.SHARE * free.sum(), y[fit].mean()
+    given = [{}, {}]  # what each view tells the other
+    for k, v in enumerate(views):
+        for label in (0, 1):
+            sure = []
+            for i in np.flatnonzero(free):
+                row, z, at = frame.iloc[i], v.bias, 0
+                for c, edges in v.edges.items():
+                    z += sum(w for e, w in zip(edges, v.weights[at:], strict=False) if row[c] >= e)
+                    at += len(edges)
+                for c, n in v.categories.items():
+                    z += v.weights[at + int(row[c])]
+                    at += n
+                p = 1 / (1 + np.exp(-z))
+                if (p > quality_classifier.SURE) if label else (p < 1 - quality_classifier.SURE):
+                    sure.append(i)
+            most = want * (share if label else 1 - share)
+            given[k] |= {i: float(label) for i in sure if frame["draw"].iloc[i] < int(2**20 * min(1.0, most / max(1, len(sure))))}
+    assert all(given)
+    for k, v in enumerate(views):
+        more = list(given[1 - k])
+        v.fit(np.concatenate([v.matrix(frame[fit]), v.matrix(frame.iloc[more])]), np.concatenate([y[fit], list(given[1 - k].values())]))
+    z = []
+    for v, found in zip(views, (model.text, model.meta), strict=True):
+        raw = v.matrix(frame[cal]) @ v.weights + v.bias
+        slope, offset = quality_classifier.platt(raw, y[cal].astype(float))
+        assert found.weights == pytest.approx(v.weights, abs=2e-3) and (found.slope, found.offset) == pytest.approx((slope, offset), abs=2e-3)
+        z.append(slope * raw + offset)
+    w, c = quality_classifier.logistic(np.column_stack(z), y[cal].astype(float), l2=0.1)
+    assert model.mix == pytest.approx((max(0.0, w[0]), max(0.0, w[1]), c), abs=5e-3)
