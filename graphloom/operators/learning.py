@@ -45,9 +45,53 @@ def relu(x: Column) -> Column:
     return F.transform(x, lambda v: F.greatest(v, F.lit(0.0)))
 
 
+def chained_forward(h: DataFrame, edges: DataFrame, layers: list, model: str = "gin", eps: float = 0.0) -> DataFrame:
+    """graph_id, pools: sum-pooled states of every layer. layers: MLPs ((W, b), ..) for gin, matrices for gcn.
+
+    States are columns of numbers and each vertex carries those of the layers before, so that a layer is one join and one aggregation and
+    none is computed twice."""
+    ids, width = ["graph_id", "vertex_id"], len(layers[0][0][0][0] if model == "gin" else layers[0][0])
+    state = h.select(*ids, *[F.col("h")[i].alias(f"h{i}") for i in range(width)], F.lit(1).cast("long").alias("deg"))
+    if model == "gcn":
+        deg = edges.groupBy("graph_id", F.col("src").alias("vertex_id")).agg((F.count("*") + 1).alias("_deg"))
+        state = state.join(deg, ids, "left").withColumn("deg", F.coalesce("_deg", "deg")).drop("_deg")
+    pools: list[str] = []
+
+    def times(rows: DataFrame, n: int, weights, bias, name: str, act) -> DataFrame:
+        out = []
+        for row, b in zip(weights, bias, strict=True):
+            total = F.lit(0.0)
+            for i in range(n):
+                total = total + F.col(f"h{i}") * float(row[i])
+            out.append(act(total + float(b)))
+        return rows.select(*ids, "deg", *pools, *[x.alias(f"{name}{i}") for i, x in enumerate(out)])
+
+    positive = lambda x: F.greatest(x, F.lit(0.0))
+    for k, layer in enumerate(layers):
+        if model == "gcn":
+            state, width = times(state, width, layer, [0.0] * len(layer), "h", lambda x: x / F.sqrt("deg")), len(layer)
+        names = [f"h{i}" for i in range(width)]
+        own = state if model == "gcn" else state.withColumns({c: F.col(c) * (1 + eps) for c in names})
+        near = state.select("graph_id", F.col("vertex_id").alias("src"), *names).join(edges, ["graph_id", "src"])
+        near = near.select("graph_id", F.col("dst").alias("vertex_id"), *names, F.lit(0).cast("long").alias("deg"), *[F.lit(0.0).alias(p) for p in pools])
+        state = own.unionByName(near).groupBy(*ids).agg(*[F.sum(c).alias(c) for c in (*names, *pools, "deg")])
+        if model == "gcn":
+            state = state.where("deg > 0").withColumns({c: positive(F.col(c) / F.sqrt("deg")) for c in names})
+        else:
+            for weights, bias in layer:
+                state, width = times(state, width, weights, bias, "h", positive), len(weights)
+            state = state.withColumn("deg", F.lit(1).cast("long"))
+        new = {f"p{k}_{i}": F.col(f"h{i}") for i in range(width)}
+        state = state.withColumns(new)
+        pools += list(new)
+    return state.groupBy("graph_id").agg(*[F.sum(p).alias(p) for p in pools]).select("graph_id", F.array(*pools).alias("pools"))
+
+
 def gin_forward(h: DataFrame, edges: DataFrame, layers, eps: float = 0.0) -> DataFrame:
     """graph_id, pools: sum-pooled states of every layer one after another. layers: a dict of MLPs by cluster id for each
     layer, or one MLP; an MLP is ((W1, b1), (W2, b2)). With clusters, h has cluster_id and all rows are updated at once."""
+    if not any(isinstance(m, dict) for m in layers):
+        return chained_forward(h, edges, layers, "gin", eps)
     by_cluster = "cluster_id" in h.columns
     ids = h.select("graph_id", "vertex_id", *(["cluster_id"] if by_cluster else []))
     state, pools = h.select("graph_id", "vertex_id", "h"), None
