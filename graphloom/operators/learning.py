@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import dot
+from graphloom.plans import cut
 
 
 def vector_sum(df: DataFrame, keys: list[str], column: str = "h") -> DataFrame:
@@ -48,8 +49,8 @@ def relu(x: Column) -> Column:
 def chained_forward(h: DataFrame, edges: DataFrame, layers: list, model: str = "gin", eps: float = 0.0) -> DataFrame:
     """graph_id, pools: sum-pooled states of every layer. layers: MLPs ((W, b), ..) for gin, matrices for gcn.
 
-    States are columns of numbers and each vertex carries those of the layers before, so that a layer is one join and one aggregation and
-    none is computed twice."""
+    States are columns of numbers and each vertex carries those of the layers before; a state is checkpointed before the next layer, which
+    takes it twice, for a vertex and for its neighbours."""
     ids, width = ["graph_id", "vertex_id"], len(layers[0][0][0][0] if model == "gin" else layers[0][0])
     state = h.select(*ids, *[F.col("h")[i].alias(f"h{i}") for i in range(width)], F.lit(1).cast("long").alias("deg"))
     if model == "gcn":
@@ -84,6 +85,8 @@ def chained_forward(h: DataFrame, edges: DataFrame, layers: list, model: str = "
         new = {f"p{k}_{i}": F.col(f"h{i}") for i in range(width)}
         state = state.withColumns(new)
         pools += list(new)
+        if k + 1 < len(layers):
+            state = cut(state)
     return state.groupBy("graph_id").agg(*[F.sum(p).alias(p) for p in pools]).select("graph_id", F.array(*pools).alias("pools"))
 
 
