@@ -74,3 +74,53 @@ def test_graphs_with_isolated_vertices_loops_and_stray_edges(spark):
     rings = lo.theta_numbers(disks, e.selectExpr("graph_id", "src % 2 AS root", "src", "dst"), keys=("graph_id", "root"))
     assert {(r.root, r.n, round(r.theta, 4)) for r in rings.collect()} == {(0, 3, 2.0), (1, 2, 2.0)}
     assert lo.theta_numbers(v.limit(0), e.limit(0)).count() == 0
+
+
+def test_a_shape_is_solved_once_whatever_its_ids():
+    rng = np.random.default_rng(3)
+    for edges in (np.array([(i, i + 1) for i in range(8)]), np.array([(0, 1), (1, 2), (2, 3), (1, 4), (4, 5), (5, 6)])):
+        n = edges.max() + 1
+        forms = set()
+        for _ in range(20):
+            p = rng.permutation(n)
+            form, number = lo.shape(n, p[edges])
+            assert sorted(number) == list(range(n))
+            own = np.sort(np.array(number)[p[edges]], axis=1)
+            assert sorted(map(tuple, own.tolist())) == list(map(tuple, np.frombuffer(form, np.int64).reshape(-1, 2).tolist()))
+            forms.add(form)
+        assert len(forms) == 1
+
+
+def test_memory_forgets_the_oldest():
+    m, made = lo.Memory(3), []
+    for k in (1, 2, 3, 1, 4, 1, 2):
+        m.get(k, lambda k=k: made.append(k) or k)
+    assert made == [1, 2, 3, 4, 2] and m.size == 3
+
+
+def test_parts_have_the_whole_graphs_values(spark):
+    """Sums over parts are what the whole graph's representation gives, without a shuffle once graphs are settled."""
+    from graphloom.operators import graphs as gr
+    from graphloom.operators import packed
+
+    half = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (6, 5), (5, 7), (9, 8)]
+    ids = [3, 11, 40, 2, 7, 90, 5, 6, 70, 1, 33]
+    v = spark.createDataFrame([(g, i, 0) for g in (4, 5) for i in ids], "graph_id long, vertex_id long, label int")
+    e = spark.createDataFrame([(g, ids[a], ids[b]) for g in (4, 5) for a, b in half], "graph_id long, src long, dst long")
+    place = {x: i for i, x in enumerate(sorted(ids))}
+    theta, z = lo.theta_number(len(ids), np.array([(place[ids[a]], place[ids[b]]) for a, b in half]))
+    u = lo.representation(theta, z)
+    plain = gr.Graphs(v, gr.symmetric(e), v.select("graph_id", v.label.alias("y")).distinct())
+    for limit in (1024, 3):
+        before, packed.LIMIT = packed.LIMIT, limit
+        g = gr.settled(plain)
+        packed.LIMIT = before
+        rows = lo.graph_lists(g)
+        for r in lo.cones(rows, range(1, 5), 40, 7).collect():
+            assert r.n == 11 and r.features == pytest.approx(lo.cone_features(u, range(1, 5), 40, f"7:{r.graph_id}"), abs=1e-6)
+        assert [r.theta for r in lo.thetas(rows).collect()] == pytest.approx([theta] * 2, abs=1e-6)
+        got = {(r.graph_id, r.root): (r.ids, len(r.ends)) for r in lo.neighbour_lists(g).collect()}
+        assert got == {(4, 1): ([1, 70], 1), (5, 1): ([1, 70], 1)}
+        assert [r.ids for r in lo.neighbour_lists(g, ring=True).collect()] == [[70], [70]]
+        if limit == 1024:
+            assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (rows, lo.neighbour_lists(g)))
