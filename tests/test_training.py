@@ -134,3 +134,30 @@ def test_batches_are_dealt_alike_anywhere():
     b = models.dealt_batches(ids, 7, 3, 1)
     assert (models.dealt_batches(ids[500:], 7, 3, 1) == b[500:]).all() and (models.dealt_batches(ids, 7, 3, 2) != b).any()
     assert np.bincount(b, minlength=7).min() > 90
+
+
+def test_runs_keep_their_graphs_packed(spark):
+    """A packed graph is the nested one, a task reads a batch's graphs from its file, and no run's shuffle holds nested arrays."""
+    rng = np.random.default_rng(4)
+    graphs = []
+    for i, n in enumerate((1, 3, 5, 2, 4, 6)):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (2 * n, 2)) if a != b})
+        graphs.append((i, i % 2, rng.normal(size=(n, 2)).tolist(), rng.integers(0, 3, n).tolist(), [a for a, _ in pairs], [b for _, b in pairs]))
+    rows = spark.createDataFrame(graphs, "graph_id long, y int, x array<array<double>>, of array<int>, src array<long>, dst array<long>")
+    packed = models.packed_rows(rows).collect()
+    data = models.Dataset()
+    for r in sorted(packed, key=lambda r: r.graph_id):
+        data.add([r.graph_id], [r.y], ["train"], [r.graph])
+    data.settle()
+    part = np.array([5, 0, 3])
+    for j, (x, of, pairs) in zip(part, data.graphs(part), strict=True):
+        _, _, h, c, src, dst = graphs[j]
+        assert x.tolist() == h and of.tolist() == c and pairs.tolist() == [list(p) for p in zip(src, dst, strict=True)]
+    assert data.vertices(np.array([0])) == 1 and data.vertices(part) > 1
+    data.close()
+    assert {r.graph_id: r.top for r in packed} == {g[0]: max(g[3]) for g in graphs}
+    grid = spark.createDataFrame([(0, 1, 4, 2, 2, 0.01)], "experiment_idx int, layers int, channels int, batch int, epochs int, lr double")
+    splits = spark.createDataFrame([(0, ("train", "train", "train", "val", "test", "train")[i], i) for i in range(6)], "fold int, role string, graph_id long")
+    logs = models.train(rows, grid, splits, reruns=2)
+    moved = [line for line in logs._jdf.queryExecution().executedPlan().toString().splitlines() if "array<array" in line]
+    assert logs.count() == 4 and not moved
