@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graphs import Graphs, dataset_index, symmetric, undirected
+from graphloom.plans import cut
 
 #: Rows of a bucket of a range join: so many intervals with rows of their own meet in one at most, and one more.
 BUCKET = 256
@@ -96,8 +97,37 @@ def _numbered_graphs(g: Graphs) -> DataFrame:
     return prefix_sums(ids, "graph_id", "one").select("graph_id", "y", F.col("start").alias("number"))
 
 
+def _ordered_rows(g: Graphs) -> DataFrame | None:
+    """graph_id, y, number, start (vertices of the graphs before), n, labels, half (edges once, as places) of packed graphs, a row each: what
+    files need is a sort of these rows by number. None where some graph isn't packed."""
+    if g.rows is None or g.rest is not None:
+        return None
+    numbers = _numbered_graphs(g).join(g.rows.select("graph_id", F.size("v").cast("long").alias("n")), "graph_id")
+    numbers = prefix_sums(numbers, "number", "n").select("graph_id", "y", "number", "start", "n")
+    ids = F.transform("v", lambda x: x.vertex_id)
+    place = lambda x: F.array_position("ids", x) - 1
+    half = F.sort_array(F.transform("e", lambda x: F.struct(place(x.src).alias("src"), place(x.dst).alias("dst"))))
+    own = g.rows.select("graph_id", ids.alias("ids"), F.transform("v", lambda x: x.label).alias("labels"), "e").select("graph_id", "labels", half.alias("half"))
+    return cut(own.join(numbers, "graph_id"))
+
+
+def _lists(rows: DataFrame, values: Column, path: str, compression: str = "none") -> None:
+    """Writes the arrays `values` of rows of _ordered_rows(), a line an element."""
+    rows.orderBy("number").select(F.explode(values).alias("value")).write.option("compression", compression).text(path)
+
+
 def write_benchmark(g: Graphs, path: str, name: str) -> None:
     """Writes g in the benchmark layout: graphs and vertices are numbered from 1 in the order of their ids."""
+    packed = _ordered_rows(g)
+    if packed is not None:
+        text = lambda x: x.cast("string")
+        back = F.transform("half", lambda x: F.struct(x.dst.alias("src"), x.src.alias("dst")))
+        line = lambda x: F.concat_ws(", ", text(F.col("start") + x.src + 1), text(F.col("start") + x.dst + 1))
+        _lists(packed, F.array_repeat(text(F.col("number") + 1), F.col("n").cast("int")), f"{path}/{name}_graph_indicator.txt")
+        _lists(packed, F.transform("labels", text), f"{path}/{name}_node_labels.txt")
+        _lists(packed, F.array(text(F.col("y"))), f"{path}/{name}_graph_labels.txt")
+        _lists(packed, F.transform(F.sort_array(F.concat("half", back)), line), f"{path}/{name}_A.txt")
+        return
     index = dataset_index(g).select("graph_id", "vertex_id", (F.col("dataset_idx") + 1).alias("number"))
     number = _numbered_graphs(g)
     rows = index.join(g.vertices, ["graph_id", "vertex_id"]).join(number.select("graph_id", F.col("number").alias("g")), "graph_id")
@@ -126,6 +156,15 @@ def read_archive(spark: SparkSession, path: str) -> Graphs:
 
 def write_archive(g: Graphs, path: str) -> None:
     """Writes g in the archive layout; graphs and, within each, vertices are numbered from 0 in the order of their ids."""
+    packed = _ordered_rows(g)
+    if packed is not None:
+        text = lambda x: x.cast("string")
+        for values, what in (
+            (F.transform("labels", text), "node-feat"), (F.transform("half", lambda x: F.concat_ws(",", text(x.src), text(x.dst))), "edge"), (F.array(text(F.col("y"))), "graph-label"),
+            (F.array(text(F.col("n"))), "num-node-list"), (F.array(text(F.size("half"))), "num-edge-list"),
+        ):
+            _lists(packed, values, f"{path}/raw/{what}.csv.gz", "gzip")
+        return
     number = _numbered_graphs(g)
     places = dataset_index(g).select("graph_id", "vertex_id", "position")
     v = g.vertices.join(places, ["graph_id", "vertex_id"]).join(number.select("graph_id", "number"), "graph_id")

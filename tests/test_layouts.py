@@ -115,3 +115,20 @@ def test_a_failed_stage_leaves_nothing_under_its_key(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         reuse.stage(spark, store, "s", [source], {}, fails).count()
     assert reuse.stage(spark, store, "s", [source], {}, lambda: spark.range(3).withColumnRenamed("id", "x")).count() == 3
+
+
+def test_packed_graphs_write_the_same_lines(spark, tmp_path):
+    """Files of packed graphs hold what the joins write, and no vertex is numbered by a window over all of them."""
+    ids = {4: [7, 3, 12, 5], 9: [1], 11: [30, 20, 10]}
+    v = spark.createDataFrame([(g, x, x % 3) for g, xs in ids.items() for x in xs], "graph_id long, vertex_id long, label int")
+    e = spark.createDataFrame([(4, 3, 7), (4, 12, 3), (4, 5, 12), (11, 10, 30)], "graph_id long, src long, dst long")
+    plain = gr.Graphs(v, gr.symmetric(e), spark.createDataFrame([(4, 1), (9, 0), (11, 2)], "graph_id long, y int"))
+    settled = gr.settled(plain)
+    assert settled.rest is None and layouts._ordered_rows(plain) is None and layouts._ordered_rows(settled).count() == 3
+    read = lambda p: [x for f in sorted(p.glob("part-*")) for x in (gzip.open(f, "rt") if f.suffix == ".gz" else open(f)).read().split("\n")[:-1]]  # noqa: E731, SIM115
+    for name, g in (("plain", plain), ("settled", settled)):
+        layouts.write_benchmark(g, str(tmp_path / name), "T")
+        layouts.write_archive(g, str(tmp_path / name))
+    files = [f"T_{x}.txt" for x in ("A", "graph_indicator", "graph_labels", "node_labels")] + [f"raw/{x}.csv.gz" for x in ("edge", "node-feat", "num-node-list", "num-edge-list", "graph-label")]
+    for f in files:
+        assert read(tmp_path / "plain" / f) == read(tmp_path / "settled" / f) != [], f
