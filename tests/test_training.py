@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import configs, plans
-from graphloom.operators import models, parallel, pipelines
+from graphloom.operators import enhance, models, parallel, pipelines
 from graphloom.operators import experiments as ex
+from graphloom.operators import graphs as gr
 
 
 def _cycle(rng, n, clusters=2):
@@ -161,3 +162,34 @@ def test_runs_keep_their_graphs_packed(spark):
     logs = models.train(rows, grid, splits, reruns=2)
     moved = [line for line in logs._jdf.queryExecution().executedPlan().toString().splitlines() if "array<array" in line]
     assert logs.count() == 4 and not moved
+
+
+@pytest.mark.parametrize("augmented", [False, True])
+def test_folds_of_clusters_are_trained_at_once(spark, monkeypatch, augmented):
+    """A setting's folds are trained in one call, as each alone; the stages of a full experiment settle graphs once and train equal settings once."""
+    v = [(i, j, (i * j) % 3) for i in range(24) for j in range(3 + i % 4)]
+    e = [(i, j, j + 1) for i in range(24) for j in range(2 + i % 4)] + [(i, 0, 2) for i in range(0, 24, 3)]
+    edges = gr.symmetric(spark.createDataFrame(e, "graph_id long, src long, dst long"))
+    g = gr.Graphs(spark.createDataFrame(v, "graph_id long, vertex_id long, label int"), edges, spark.createDataFrame([(i, i % 2) for i in range(24)], "graph_id long, y int"))
+    g, calls = gr.settled(g), {"train": 0, "settled": 0}
+    features = pipelines.feature_rows(g, "disk", 3, k=1).where("vertex_id <> 2 OR graph_id <> 5")
+    s = pipelines.Settings(folds=2, epochs=[2], patience=5, dims=[4], augmented=augmented)
+    splits = ex.kfold(g.graphs, 2, seed=s.seed, stratify="y")
+    grid = ex.grid(spark, layers=[1], channels=[8], batch=[32], epochs=[2], lr=[0.01])
+    want, states = [], pipelines.one_hot(g, 3)
+    for fold in range(2):
+        own = splits.where(F.col("fold") == fold)
+        centroids, basis = enhance.clustered(features, 3, 4, fit_on=own.where("role = 'train'"))
+        ids = enhance.cluster_ids(features, centroids, basis)
+        h = enhance.augmented(states, ids) if augmented else states.join(ids, ["graph_id", "vertex_id"], "left")
+        want += models.train(models.nested(h, g.edges, g.graphs), grid, own, patience=5).orderBy("epoch").collect()
+    for name, module in (("train", models), ("settled", gr)):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _f=real, _n=name, **k: (calls.update({_n: calls[_n] + 1}), _f(*a, **k))[1])
+    got = pipelines.clustered(g, features, 3, s).orderBy("fold", "epoch").collect()
+    assert calls["train"] == 1 and len(got) == len(want) == 4
+    for a, b in zip(got, want, strict=True):
+        assert (a.fold, a.epoch) == (b.fold, b.epoch)
+        assert [a.train_loss, a.val_loss, a.val_acc, a.test_acc] == pytest.approx([b.train_loss, b.val_loss, b.val_acc, b.test_acc], abs=1e-9)
+    rows, _ = pipelines.run(g, "full", 3, s, features)
+    assert rows.count() == 1 and calls == {"train": 3, "settled": 0}
