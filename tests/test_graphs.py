@@ -1,5 +1,7 @@
 """Golden outputs, closed forms and laws of the graph operators, on toy graphs with the degenerate cases."""
 
+from itertools import combinations, product
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +187,22 @@ def test_running_sums_over_ranges(spark):
         assert got[o] == total
         total += x
     assert running(spark.createDataFrame([], "o long, x long"), "o", "x", "s").count() == 0
+
+
+def test_units_hold_what_brute_force_counts(spark, monkeypatch):
+    """Points of units of two and three dimensions are counted by bits: no row for each pair of a point and a unit is shuffled."""
+    rng = np.random.default_rng(3)
+    cells = [(i, f, int(rng.integers(0, 2))) for i in range(150) for f in range(4) if (i + f) % 7]
+    b, least = spark.createDataFrame(cells, "id long, f int, bin int").localCheckpoint(), 12
+    monkeypatch.setattr(cl, "UNITS", 5)
+    has = {}
+    for i, f, x in cells:
+        has.setdefault(i, set()).add((f, x))
+    units = cl.dense_units(b, least)
+    for size in (2, 3):
+        units = cl.next_units(b, units, size, least).localCheckpoint()
+        got = {tuple(tuple(x) for x in r.unit): r.cnt for r in units.collect()}
+        every = [tuple(zip(fs, xs)) for fs in combinations(range(4), size) for xs in product(range(2), repeat=size)]
+        want = {u: sum(set(u) <= own for own in has.values()) for u in every}
+        assert got == {u: n for u, n in want.items() if n > least} and got
+    assert "Join" not in cl.next_units(b, cl.dense_units(b, least), 2, least)._jdf.queryExecution().executedPlan().toString()
