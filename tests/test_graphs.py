@@ -206,3 +206,15 @@ def test_units_hold_what_brute_force_counts(spark, monkeypatch):
         want = {u: sum(set(u) <= own for own in has.values()) for u in every}
         assert got == {u: n for u, n in want.items() if n > least} and got
     assert "Join" not in cl.next_units(b, cl.dense_units(b, least), 2, least)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_parts_are_not_sent_to_all_tasks(spark):
+    """Parts beyond a bound are met by shuffles, whatever the size of their compressed file, and the packed graphs stay the same."""
+    from graphloom.sources.driver_tables import customer_graphs
+
+    d = "/root/testdata/sf0.001"
+    bounded, free = (customer_graphs(spark, d, sent) for sent in (1, None))
+    broadcast = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+    assert broadcast(free.lines) > broadcast(bounded.lines)
+    a, b = (sorted(map(repr, gr.settled(g).edges.collect())) for g in (bounded, free))
+    assert a == b and a
